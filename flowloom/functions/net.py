@@ -120,6 +120,11 @@ def trim_name(name: Column) -> Column:
     return F.rtrim(name, F.lit("."))
 
 
+def decode_name(raw: Column) -> Column:
+    """Bytes to text; what is not UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def local_device_name(answers: Column, questions: Column) -> Column:
     """First label of the first ``.local`` name; answer names come before question names."""
     names = F.transform(F.concat(answers, questions), trim_name)
