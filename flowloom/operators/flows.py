@@ -46,6 +46,10 @@ _FIVE = {"tot": "tot", "mean": "mean", "std": "std", "max": "max", "min": "min"}
 _FOUR = {"mean": "mean", "std": "std", "max": "max", "min": "min"}
 
 
+# Packet columns the statistics below read.
+FLOW_COLUMNS = ("pkt_len", "tcp_flags", "tcp_window", "tcp_dataofs", "tcp_payload_len", "iface")
+
+
 def flow_rows(segmented: DataFrame) -> DataFrame:
     """One row per flow, closed or not, with counters, moments and ``status``."""
     fwd, bwd = F.col("fwd"), ~F.col("fwd")
@@ -137,7 +141,7 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 def closed_flows(packets: DataFrame, rules: FlowRules) -> DataFrame:
     """Packets -> scored-ready flows: closed, with at least ``min_packets``, all features."""
-    rows = flow_rows(segment(packets, rules))
+    rows = flow_rows(segment(packets, rules, FLOW_COLUMNS))
     kept = rows.where(F.col("closed") & (F.col("n_pkts") >= rules.min_packets))
     return with_features(kept)
 

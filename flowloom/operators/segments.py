@@ -25,7 +25,7 @@ search, for all keys of a batch at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,10 +126,8 @@ def _silent(gap: Column, rules: FlowRules) -> Column:
 
 
 def _keyed(packets: DataFrame, rules: FlowRules) -> DataFrame:
-    return (
-        with_flow_key(packets, rules)
-        .withColumn("flag_close", closing_flag(rules))
-        .withColumn("block", F.expr(f"ts_us DIV {rules.block_us}L"))
+    return with_flow_key(packets, rules).withColumns(
+        {"flag_close": closing_flag(rules), "block": F.expr(f"ts_us DIV {rules.block_us}L")}
     )
 
 
@@ -145,12 +143,13 @@ def _block_table(keyed: DataFrame, rules: FlowRules) -> DataFrame:
     # Rows per key here are time span / block_us, whatever the number of packets.
     in_time = Window.partitionBy(*KEY).orderBy("block")
     before = in_time.rowsBetween(Window.unboundedPreceding, -1)
-    around = (
-        summary.withColumn("prev_pkt", F.lag("last_pkt").over(in_time))
-        .withColumn("prev_a", F.max("last_a").over(before))
-        .withColumn("prev_b", F.max("last_b").over(before))
-        .withColumn("next_block", F.lead("block").over(in_time))
-        .withColumn("next_first_ts", F.lead("first_ts").over(in_time))
+    around = summary.select(
+        "*",
+        F.lag("last_pkt").over(in_time).alias("prev_pkt"),
+        F.max("last_a").over(before).alias("prev_a"),
+        F.max("last_b").over(before).alias("prev_b"),
+        F.lead("block").over(in_time).alias("next_block"),
+        F.lead("first_ts").over(in_time).alias("next_first_ts"),
     )
     prev_ts = F.col("prev_pkt.ts_us")
     hard = prev_ts.isNull() | F.col("prev_pkt.flag_close") | _silent(F.col("first_ts") - prev_ts, rules)
@@ -232,22 +231,22 @@ def _array(batch: pa.RecordBatch, name: str, null=None) -> np.ndarray:
 def _map_batches(limit: int):
     """Rows of going-on blocks, in order -> the step function of each block."""
 
-    def finish(head: pa.RecordBatch, parts: list, hard: bool) -> pa.RecordBatch:
+    ids_of = (*KEY, "block", "next_block")
+
+    def finish(head: tuple, parts: list, hard: bool, done: list) -> None:
         ts, ids, from_a = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        prev = head.column(head.schema.get_field_index("block_prev_ts"))[0].as_py()
-        lower, target = _steps_of_block(ts, ids, from_a, hard, prev, limit)
+        lower, target = _steps_of_block(ts, ids, from_a, hard, head[-1], limit)
         none = (target < 0) | (target >= len(ts))
         at = np.where(none, 0, target)
-        keys = head.take(pa.array(np.zeros(len(lower), dtype=np.int64)))
-        columns = [keys.column(keys.schema.get_field_index(f)) for f in (*KEY, "block", "next_block")]
-        columns += [
-            pa.array(lower),
-            pa.array(target < 0),
-            pa.array(ts[at], mask=none),
-            pa.array(ids[at], mask=none),
-            pa.array(from_a[at], mask=none),
-        ]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _MAP_SCHEMA)], schema=_MAP_SCHEMA)
+        done.append((head[:-1], lower, target < 0, none, ts[at], ids[at], from_a[at]))
+
+    def packed(done: list) -> pa.RecordBatch:
+        heads, *arrays = zip(*done)
+        lower, passes, none, ts, ids, from_a = (np.concatenate(a) for a in arrays)
+        owner = pa.array(np.repeat(np.arange(len(heads)), [len(x) for x in arrays[0]]))
+        columns = [pa.array(values, type=f.type).take(owner) for values, f in zip(zip(*heads), _MAP_SCHEMA)]
+        columns += [pa.array(lower), pa.array(passes), *(pa.array(x, mask=none) for x in (ts, ids, from_a))]
+        return pa.RecordBatch.from_arrays(columns, schema=_MAP_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts, hard = None, [], False
@@ -257,17 +256,24 @@ def _map_batches(limit: int):
             ts, ids, from_a = _array(batch, "ts_us"), _array(batch, "pkt_id"), _array(batch, "from_a")
             forced, first = _array(batch, "forced"), _array(batch, "block_first")
             cuts = np.union1d(np.flatnonzero(first), [0])
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(ts))):
+            begins = batch.take(pa.array(cuts))
+            heads = list(zip(*(begins.column(begins.schema.get_field_index(c)).to_pylist() for c in (*ids_of, "block_prev_ts"))))
+            done = []
+            for i, (lo, hi) in enumerate(zip(cuts.tolist(), np.append(cuts[1:], len(ts)).tolist())):
                 if first[lo]:
                     if head is not None:
-                        yield finish(head, parts, hard)
-                    head, parts, hard = batch.slice(int(lo), 1), [], False
+                        finish(head, parts, hard, done)
+                    head, parts, hard = heads[i], [], False
                 starts = np.flatnonzero(forced[lo:hi])
                 if starts.size:  # what lies before the last sure start cannot matter
                     lo, parts, hard = lo + int(starts[-1]), [], True
                 parts.append((ts[lo:hi], ids[lo:hi], from_a[lo:hi]))
+            if done:
+                yield packed(done)
         if head is not None:
-            yield finish(head, parts, hard)
+            done = []
+            finish(head, parts, hard, done)
+            yield packed(done)
 
     return run
 
@@ -278,40 +284,43 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     A chain begins with a block whose exit does not depend on its entry, so no state is
     carried from key to key. Only the current state and one candidate step are held.
     """
-    state, pick = None, None
+    state, pick = None, None  # pick: (key and next block, passes, exit) of the step that applies so far
 
     def settle(current, step):
-        return current if step["passes"] else (step["exit_ts"], step["exit_id"], step["exit_a"])
+        return current if step[1] else step[2]
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
         from_ts = _array(batch, "from_ts")
+        columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+
+        def step(i):
+            block = tuple(columns[c][i] for c in (*KEY, "next_block"))
+            return block, columns["passes"][i], (columns["exit_ts"][i], columns["exit_id"][i], columns["exit_a"][i])
+
         cuts = np.union1d(np.flatnonzero(from_ts == _NO_ENTRY), [0])
         done = []
         for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(from_ts)).tolist()):
             if from_ts[lo] == _NO_ENTRY:
                 if pick is not None:
                     state = settle(state, pick)
-                    done.append((pick, state))
-                pick = batch.slice(lo, 1).to_pylist()[0]
+                    done.append((*pick[0], *state))
+                pick = step(lo)
                 lo += 1
             if state is not None and state[0] is not None:
                 j = lo + int(np.searchsorted(from_ts[lo:hi], state[0], side="right")) - 1
                 if j >= lo:
-                    pick = batch.slice(j, 1).to_pylist()[0]
+                    pick = step(j)
         if done:
             yield _entry_batch(done)
     if pick is not None:
-        yield _entry_batch([(pick, settle(state, pick))])
+        yield _entry_batch([(*pick[0], *settle(state, pick))])
 
 
 def _entry_batch(done: list) -> pa.RecordBatch:
-    rows = [
-        {**{k: step[k] for k in KEY}, "block": step["next_block"], "entry_ts": s[0], "entry_id": s[1], "entry_a": s[2]}
-        for step, s in done
-    ]
-    return pa.RecordBatch.from_pylist(rows, schema=_ENTRY_SCHEMA)
+    columns = [pa.array(values, type=f.type) for values, f in zip(zip(*done), _ENTRY_SCHEMA)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ENTRY_SCHEMA)
 
 
 def _in_block() -> tuple:
@@ -326,18 +335,13 @@ def _entry_states(keyed: DataFrame, blocks: DataFrame, rules: FlowRules) -> Data
     thin = keyed.select(*on, "ts_us", "pkt_id", "from_a", "flag_close").join(
         blocks.where("goes_on").select(*on, "next_block", "hard_first", "block_prev_ts"), on
     )
-    gap = F.col("ts_us") - F.lag("ts_us").over(order)
-    rows = (
-        thin.withColumn("block_first", F.lag("ts_us").over(order).isNull())
-        .withColumn(
-            "forced",
-            F.when(F.col("block_first"), F.col("hard_first")).otherwise(
-                F.lag("flag_close").over(order) | _silent(gap, rules)
-            ),
-        )
-        .select(*on, "next_block", "block_prev_ts", "ts_us", "pkt_id", "from_a", "forced", "block_first")
-        .sortWithinPartitions(*on, "ts_us", "pkt_id")
+    prev = F.lag("ts_us").over(order)
+    forced = F.when(prev.isNull(), F.col("hard_first")).otherwise(
+        F.lag("flag_close").over(order) | _silent(F.col("ts_us") - prev, rules)
     )
+    rows = thin.select(
+        *on, "next_block", "block_prev_ts", "ts_us", "pkt_id", "from_a", forced.alias("forced"), prev.isNull().alias("block_first")
+    ).sortWithinPartitions(*on, "ts_us", "pkt_id")
     steps = rows.mapInArrow(_map_batches(rules.limit), _MAP_DDL)
     ordered = steps.repartition(*KEY).sortWithinPartitions(*on, "from_ts")
     return ordered.mapInArrow(_chain_batches, _ENTRY_DDL)
@@ -414,15 +418,22 @@ def _segment_batches(limit: int):
     return run
 
 
-def segment(packets: DataFrame, rules: FlowRules) -> DataFrame:
+PACKET_COLUMNS = ("ts_us", "pkt_id", "src_ip", "dst_ip", "sport", "dport", "proto", "tcp_flags")
+
+
+def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = None) -> DataFrame:
     """Packets -> packets with their flow.
 
     Adds the key columns and: ``seg_ts, seg_id`` (time and id of the flow's first packet),
     ``fwd`` (same source as that packet), ``flag_close``, ``closes`` (this packet closes its
     flow), ``is_last`` (no later packet of the key), ``gap_us`` (since the flow's previous
     packet), ``dgap_us`` (since its previous packet of the same direction).
+
+    keep: the packet columns to carry along, all by default. Whatever is carried is
+    shuffled and passes through Arrow, so name only what is read afterwards.
     """
-    keyed = _keyed(packets, rules)
+    needed = [c for c in packets.columns if keep is None or c in keep or c in PACKET_COLUMNS]
+    keyed = _keyed(packets.select(*needed), rules)
     blocks = _block_table(keyed, rules)
     entries = _entry_states(keyed, blocks, rules)
     on = [*KEY, "block"]
@@ -430,32 +441,38 @@ def segment(packets: DataFrame, rules: FlowRules) -> DataFrame:
 
     order, before = _in_block()
     at = F.struct("ts_us", "pkt_id")
-    rows = (
-        keyed.withColumn("in_block_prev_ts", F.lag("ts_us").over(order))
-        .withColumn("prev_close", F.lag("flag_close").over(order))
-        .withColumn("next_ts", F.lead("ts_us").over(order))
-        .withColumn("last_a", F.last(F.when(F.col("from_a"), at), ignorenulls=True).over(before))
-        .withColumn("last_b", F.last(F.when(~F.col("from_a"), at), ignorenulls=True).over(before))
-        .join(known, on)
-    )
+    carried = [c for c in needed if keep is None or c in keep or c in ("ts_us", "pkt_id", "proto")]
+    placed = keyed.select(
+        *on,
+        *[c for c in carried if c not in KEY],
+        "from_a",
+        "flag_close",
+        F.lag("ts_us").over(order).alias("in_block_prev_ts"),
+        F.lag("flag_close").over(order).alias("prev_close"),
+        F.lead("ts_us").over(order).alias("next_ts"),
+        F.last(F.when(F.col("from_a"), at), ignorenulls=True).over(before).alias("last_a"),
+        F.last(F.when(~F.col("from_a"), at), ignorenulls=True).over(before).alias("last_b"),
+    ).join(known, on)
     block_first = F.col("in_block_prev_ts").isNull()
     same_side = F.when(F.col("from_a"), F.coalesce("last_a", "prev_a")).otherwise(F.coalesce("last_b", "prev_b"))
-    rows = (
-        rows.withColumn("block_first", block_first)
-        .withColumn(
-            "forced",
-            F.when(block_first, F.col("hard_first") | F.col("entry_ts").isNull()).otherwise(
-                F.col("prev_close") | _silent(F.col("ts_us") - F.col("in_block_prev_ts"), rules)
-            ),
-        )
-        .withColumn("prev_ts", F.coalesce("in_block_prev_ts", "block_prev_ts"))
-        .withColumn("same_ts", same_side["ts_us"])
-        .withColumn("same_id", same_side["pkt_id"])
-        .withColumn("is_last", F.col("next_ts").isNull() & F.col("next_block").isNull())
-        .drop("in_block_prev_ts", "prev_close", "next_ts", "last_a", "last_b", "prev_a", "prev_b")
-        .drop("block_prev_ts", "hard_first", "next_block")
-        .sortWithinPartitions(*on, "ts_us", "pkt_id")
+    forced = F.when(block_first, F.col("hard_first") | F.col("entry_ts").isNull()).otherwise(
+        F.col("prev_close") | _silent(F.col("ts_us") - F.col("in_block_prev_ts"), rules)
     )
+    rows = placed.select(
+        *on,
+        *[c for c in carried if c not in KEY],
+        "from_a",
+        "flag_close",
+        block_first.alias("block_first"),
+        forced.alias("forced"),
+        F.coalesce("in_block_prev_ts", "block_prev_ts").alias("prev_ts"),
+        same_side["ts_us"].alias("same_ts"),
+        same_side["pkt_id"].alias("same_id"),
+        (F.col("next_ts").isNull() & F.col("next_block").isNull()).alias("is_last"),
+        "entry_ts",
+        "entry_id",
+        "entry_a",
+    ).sortWithinPartitions(*on, "ts_us", "pkt_id")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     walked = rows.mapInArrow(
         _segment_batches(rules.limit), f"{ddl}, seg_ts bigint, seg_id bigint, fwd boolean, closes boolean"
@@ -464,8 +481,16 @@ def segment(packets: DataFrame, rules: FlowRules) -> DataFrame:
     same_flow = (F.col("same_ts") > F.col("seg_ts")) | (
         (F.col("same_ts") == F.col("seg_ts")) & (F.col("same_id") >= F.col("seg_id"))
     )
-    return (
-        walked.withColumn("gap_us", F.when(~opens, F.col("ts_us") - F.col("prev_ts")))
-        .withColumn("dgap_us", F.when(same_flow, F.col("ts_us") - F.col("same_ts")))
-        .drop("block", "block_first", "forced", "prev_ts", "same_ts", "same_id", "entry_ts", "entry_id", "entry_a")
+    return walked.select(
+        *KEY,
+        *[c for c in carried if c not in KEY],
+        "from_a",
+        "flag_close",
+        "is_last",
+        "seg_ts",
+        "seg_id",
+        "fwd",
+        "closes",
+        F.when(~opens, F.col("ts_us") - F.col("prev_ts")).alias("gap_us"),
+        F.when(same_flow, F.col("ts_us") - F.col("same_ts")).alias("dgap_us"),
     )

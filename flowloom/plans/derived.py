@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowloom.session import scratch_dir
+
 PACKETS = """
  WITH e AS (
   SELECT event_id, user_id AS u, event_type AS et,
@@ -110,9 +112,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Packets and control messages are what a capture job leaves as a table; the queries start
+# from such a table, written once per application, instead of working it out in every scan.
+STAGED = ("packets", "control_msgs")
+_staged: dict[tuple[str, str, str], str] = {}
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, source = DERIVED[name]
-    return spark.sql(text.replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source))
+
+    def derived() -> DataFrame:
+        return spark.sql(text.replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source))
+
+    if name not in STAGED:
+        return derived()
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _staged:
+        path = scratch_dir(spark, name)
+        derived().write.parquet(path)
+        _staged[key] = path
+    return spark.read.parquet(_staged[key])
 
 
 def duckdb_text(name: str) -> str:

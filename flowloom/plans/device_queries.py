@@ -343,7 +343,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flows.flow_rows(segment(filters.tracked(packets(spark, sf_dir)), LIVE))
+    rows = flows.flow_rows(segment(filters.tracked(packets(spark, sf_dir)), LIVE, flows.FLOW_COLUMNS))
     end = F.col("last_us") + F.when(F.col("closed"), 0).otherwise(LIVE.stale_us)
     spans = rows.select(F.col("seg_ts").alias("open_us"), end.alias("end_us"))
     fresh = registry(spark, sf_dir).select(F.col("first_seen_us").alias("ts_us"))

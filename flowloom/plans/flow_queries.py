@@ -82,7 +82,7 @@ def _status_query(name: str, rules: FlowRules, tracked: bool = True, only: str |
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = packets(spark, sf_dir)
         kept = filters.tracked(kept) if tracked else filters.drop_multicast(filters.ip_only(kept)) if rules is VERSION_0 else kept
-        rows = flows.flow_rows(segment(kept, rules))
+        rows = flows.flow_rows(segment(kept, rules, flows.FLOW_COLUMNS))
         rows = rows.where(F.col("status") == only) if only else rows
         return rows.select(*FLOW, "n_pkts", "closed_by_flag", "status")
 
