@@ -118,6 +118,7 @@ def with_endpoint_labels(flows: DataFrame, labels: DataFrame, src: str = "src_ip
 
 def alert_rows(
     flows: DataFrame,
+    flow_id: Sequence[str],
     answers: DataFrame,
     macs: DataFrame,
     hosts: DataFrame,
@@ -127,22 +128,32 @@ def alert_rows(
 ) -> DataFrame:
     """Scored flows with their endpoint labels as of the flow's end, and the alert line.
 
-    flows: src_ip, dst_ip, sport, dport, proto, iface, end_us, score and any other columns.
+    flows: src_ip, dst_ip, sport, dport, proto, iface, end_us, score, the columns of
+    ``flow_id`` and any others. Both endpoints go through one look-back and one join per
+    lookup and meet again by flow id. ``flows`` is read twice: give a stored table.
     """
-    rows = flows
-    for side in ("src", "dst"):
-        ip = f"{side}_ip"
-        rows = asof_dns_label(rows, answers, ip, "end_us", services).withColumnRenamed("service", f"{side}_service")
-        rows = rows.join(macs.select(F.col("ip").alias(ip), F.col("mac").alias("_mac")), ip, "left")
-        rows = rows.join(hosts.select(F.col("ip").alias(ip), F.col("host").alias("_host")), ip, "left")
-        address = F.col(ip)
-        label = endpoint_label(
-            address, gateway_mac(address, gateways), F.col("_mac"), F.col(f"{side}_service"), F.col("_host")
+    ends = F.array(
+        F.struct(F.col("src_ip").alias("ip"), F.lit(True).alias("is_src")),
+        F.struct(F.col("dst_ip").alias("ip"), F.lit(False).alias("is_src")),
+    )
+    sides = flows.select(F.struct("*").alias("flow"), "end_us", F.inline(ends))
+    sides = asof_dns_label(sides, answers, "ip", "end_us", services)
+    sides = sides.join(macs.select("ip", "mac"), "ip", "left").join(hosts.select("ip", "host"), "ip", "left")
+    ip = F.col("ip")
+    label = endpoint_label(ip, gateway_mac(ip, gateways), F.col("mac"), F.col("service"), F.col("host"))
+    rows = (
+        sides.select("flow", "is_src", label.alias("label"), *[F.col(f"flow.{c}").alias(f"_{c}") for c in flow_id])
+        .groupBy(*[f"_{c}" for c in flow_id])
+        .agg(
+            F.any_value("flow").alias("flow"),
+            F.max(F.when(F.col("is_src"), F.col("label"))).alias("src_label"),
+            F.max(F.when(~F.col("is_src"), F.col("label"))).alias("dst_label"),
         )
-        rows = rows.withColumn(f"{side}_label", label).drop("_mac", "_host", f"{side}_service")
-    flow = {c: F.col(c) for c in ("src_ip", "dst_ip", "sport", "dport", "proto")}
+        .select("flow.*", "src_label", "dst_label")
+    )
+    parts = {c: F.col(c) for c in ("src_ip", "dst_ip", "sport", "dport", "proto")}
     line = alert_line(
-        F.col("score"), F.col("end_us"), F.col("iface"), F.col("src_label"), F.col("dst_label"), flow, threshold
+        F.col("score"), F.col("end_us"), F.col("iface"), F.col("src_label"), F.col("dst_label"), parts, threshold
     )
     return rows.withColumn("line", line)
 

@@ -12,6 +12,7 @@ from flowloom.operators.segments import LIVE, segment
 from flowloom.plans import flow_sql
 from flowloom.plans.catalog import query
 from flowloom.plans.derived import GATEWAYS, OWN_MACS, TEST_SERVICES, derive, table, with_views
+from flowloom.session import scratch_dir
 from flowloom.plans.packet_queries import (
     DHCP_IP_SQL,
     MDNS_NAME_SQL,
@@ -217,6 +218,13 @@ def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read several times to the shared folder, instead of redoing it."""
+    path = scratch_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _flow_views(body: str) -> str:
     return with_views(VIEWS, body, recursive=True)
 
@@ -229,7 +237,7 @@ SELECT f.seg_id, f.dst_ip, n.service FROM flows f ASOF LEFT JOIN named n ON n.an
     ),
 )
 def asof_dns_label(spark, sf_dir):
-    rows = scored_flows(spark, sf_dir).select("seg_id", "dst_ip", "end_us")
+    rows = stored(spark, scored_flows(spark, sf_dir).select("seg_id", "dst_ip", "end_us"), "flows")
     return names.asof_dns_label(rows, answers(spark, sf_dir), "dst_ip", "end_us", TEST_SERVICES).drop("end_us")
 
 
@@ -284,9 +292,9 @@ SELECT seg_id, '[' || strftime(make_timestamp(end_us), '%H:%M:%S') || '] ' || CA
 
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     macs = devices.mac_table(registry(spark, sf_dir))
-    return names.alert_rows(
-        scored_flows(spark, sf_dir), answers(spark, sf_dir), macs, hosts(spark, sf_dir), GATEWAYS, TEST_SERVICES
-    ).select("seg_id", "line")
+    rows = stored(spark, scored_flows(spark, sf_dir), "flows")
+    alerts = names.alert_rows(rows, ["seg_id"], answers(spark, sf_dir), macs, hosts(spark, sf_dir), GATEWAYS, TEST_SERVICES)
+    return alerts.select("seg_id", "line")
 
 
 @query("alert_line", _flow_views(ALERT_SQL))
