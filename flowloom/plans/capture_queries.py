@@ -24,4 +24,4 @@ def pcap_ingest(spark, sf_dir):
     folder = scratch_dir(spark, "captures")
     packets = derive(spark, sf_dir, "packets")
     pcap.write_captures(packets, folder, files=8)
-    return pcap.pcap_ingest(spark, folder).select(*[F.col(c) for c in _FIELDS])
+    return pcap.pcap_ingest(spark, folder, split_bytes=64 << 10).select(*[F.col(c) for c in _FIELDS])

@@ -1,7 +1,7 @@
 """Capture files (libpcap, Ethernet) to packet rows, and packet rows to capture bytes.
 
-The job is spread by file; a task reads its files as a stream of chunks, finds the record
-boundaries, and takes the fields of a chunk's records at once with numpy.
+The job is spread by parts of files; a task reads its part as a stream of chunks, follows
+the record headers, and takes the fields of a chunk's records at once with numpy.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # File magic numbers (as read little-endian) -> (byte order, fraction to microseconds).
 MAGIC = {0xA1B2C3D4: ("<", 1), 0xD4C3B2A1: (">", 1), 0xA1B23C4D: ("<", 1000), 0x4D3CB2A1: (">", 1000)}
 ETHERNET_BYTES, IP_BYTES = 14, 20
+HEAD_BYTES, MAX_RECORD, TEN_YEARS = 24, 262_144, 315_360_000
 
 PACKET_FILE_SCHEMA = T.StructType(
     [
@@ -120,46 +121,134 @@ def _decode(data: bytes, offsets: np.ndarray, order: str, per_us: int) -> pd.Dat
     )
 
 
-def read_capture(stream, chunk: int = 16 << 20) -> Iterator[pd.DataFrame]:
-    """Packet rows of one open capture file; only a chunk of it is in memory."""
+def _file_form(stream) -> tuple[str, int, int]:
+    """(byte order, fraction to microseconds, longest record) from the file's head."""
     head = stream.read(24)
     if len(head) < 24 or struct.unpack("<I", head[:4])[0] not in MAGIC:
         raise ValueError("not a libpcap file")
     order, per_us = MAGIC[struct.unpack("<I", head[:4])[0]]
-    rest, position = b"", 0
-    while True:
-        data = stream.read(chunk)
+    snap = struct.unpack(order + "I", head[16:20])[0]
+    return order, per_us, min(snap or MAX_RECORD, MAX_RECORD)
+
+
+def read_capture(stream, begin: int = HEAD_BYTES, end: int | None = None, chunk: int = 16 << 20) -> Iterator[pd.DataFrame]:
+    """Packet rows of the records from byte ``begin`` up to ``end`` (to the last one by default).
+
+    Only a chunk is in memory. ``end`` has to be a record boundary, which is checked.
+    """
+    order, per_us, _ = _file_form(stream)
+    stream.seek(begin)
+    rest, at = b"", begin
+    while end is None or at + len(rest) < end:
+        data = stream.read(chunk if end is None else min(chunk, end - at - len(rest)))
         if not data:
-            return  # a cut-off last record is left out
+            break
         data = rest + data
-        offsets, end = _records(data, order, 0)
-        rest = data[end:]
+        offsets, used = _records(data, order, 0)
+        rest = data[used:]
         if len(offsets):
             rows = _decode(data, offsets, order, per_us)
-            rows.insert(0, "file_pos", np.arange(position, position + len(rows)))
-            position += len(rows)
+            rows.insert(0, "file_pos", at + offsets)
             yield rows
+        at += used
+    if rest and end is not None:  # at the file's own end a cut-off record is left out
+        raise ValueError(f"no record boundary at byte {end}; read the capture with split_bytes=None")
+
 
+def first_boundary(stream, start: int, size: int) -> int | None:
+    """Offset of a record at or after byte ``start``, None when none can be told for sure.
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Every place from which record headers chain on plausibly to the end of a large window is
+    followed; bytes inside a payload may do so as well. The true records enter the window
+    within one longest record and are on one of these chains, so once all chains have run
+    together, what lies beyond that distance is a true record.
+    """
+    order, per_us, longest = _file_form(stream)
+    if start <= HEAD_BYTES:
+        return HEAD_BYTES if size > HEAD_BYTES else None
+    first_sec = struct.unpack(order + "I", stream.read(4))[0]
+    stream.seek(start)
+    data = stream.read(16 * (longest + 16))
+    n = min(len(data) - 15, longest + 16)
+    if n <= 0:
+        return None
+    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    shifts = (0, 8, 16, 24) if order == "<" else (24, 16, 8, 0)
+
+    def field(skip: int) -> np.ndarray:
+        return sum(raw[skip + i : skip + i + n] << s for i, s in enumerate(shifts))
+
+    def plausible(sec, fraction, kept, full):
+        return (abs(sec - first_sec) < TEN_YEARS) & (fraction < 1_000_000 * per_us) & (kept >= ETHERNET_BYTES) & (kept <= longest) & (kept <= full) & (full <= MAX_RECORD)
+
+    head = struct.Struct(order + "IIII")
+    survives: dict[int, bool] = {}  # offset -> whether its chain reaches the window's end
+    boundary, chains = None, 0
+    for candidate in np.flatnonzero(plausible(field(0), field(4), field(8), field(12))).tolist():
+        walked, at = [], candidate
+        while at not in survives and at + 16 <= len(data):
+            values = head.unpack_from(data, at)
+            if not plausible(*values):
+                survives[at] = False
+                break
+            walked.append(at)
+            at += 16 + values[2]
+        good = survives.get(at, True)
+        survives.update(dict.fromkeys(walked, good))
+        if good and walked:
+            if at + 16 > len(data):  # a chain of its own
+                boundary, chains = candidate, chains + 1
+            else:  # runs into the known chain at this offset
+                boundary = max(boundary, at)
+    if chains != 1:
+        return None
+    while boundary < longest + 16 and boundary + 16 <= len(data):
+        boundary += 16 + head.unpack_from(data, boundary)[2]
+    return start + boundary if boundary + 16 <= len(data) else None
+
+
+def _opened(path: str):
     from pyarrow import fs
 
+    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    system, inner = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(inner)
+
+
+def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-            system, inner = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(inner) as stream:
-                for rows in read_capture(stream):
+        found = []
+        for path, start, size in zip(batch["path"], batch["split_start"], batch["length"]):
+            with _opened(path) as stream:
+                found.append(first_boundary(stream, int(start), int(size)))
+        yield pd.DataFrame({"path": batch["path"], "begin": pd.array(found, dtype="Int64")})
+
+
+def _read_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, begin, end in zip(batch["path"], batch["begin"], batch["end"]):
+            with _opened(path) as stream:
+                for rows in read_capture(stream, int(begin), None if pd.isna(end) else int(end)):
                     rows.insert(0, "file", path.rsplit("/", 1)[-1])
                     yield rows[PACKET_FILE_SCHEMA.names]
 
 
-def pcap_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Packet rows of all ``*.pcap`` files of a folder, one task slot per file at most."""
+def pcap_ingest(spark: SparkSession, folder: str, split_bytes: int | None = 256 << 20) -> DataFrame:
+    """Packet rows of all ``*.pcap`` files of a folder; ``file_pos`` is the record's byte offset.
+
+    Files are read in parts of about ``split_bytes``, so one large capture is spread over
+    many tasks. A first pass finds the record boundary each part begins with; a part that
+    does not end exactly where the next begins fails the job. ``None`` reads whole files.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(folder).select("path", "length")
-    # Largest first over as many partitions as there are cores or more keeps tasks even.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(parts, "path").select("path").mapInPandas(_read_files, PACKET_FILE_SCHEMA)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    step = F.col("length") if split_bytes is None else F.lit(split_bytes).cast("bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.greatest(step, F.lit(1)))
+    splits = files.select("path", "length", F.explode(starts).alias("split_start")).repartition(tasks, "path", "split_start")
+    begins = splits.mapInPandas(_boundaries, "path string, begin bigint").where("begin IS NOT NULL").distinct()
+    in_file = Window.partitionBy("path").orderBy("begin")  # one row per part of a file
+    parts = begins.withColumn("end", F.lead("begin").over(in_file)).repartition(tasks, "path", "begin")
+    return parts.mapInPandas(_read_parts, PACKET_FILE_SCHEMA)
 
 
 def _capture_bytes(rows: pd.DataFrame) -> bytes:
@@ -186,7 +275,7 @@ def _capture_bytes(rows: pd.DataFrame) -> bytes:
     return b"".join(out)
 
 
-CAPTURE_HEAD = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
+CAPTURE_HEAD = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 128, 1)
 
 
 def write_captures(packets: DataFrame, folder: str, files: int) -> None:

@@ -4,6 +4,7 @@ import io
 import struct
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def test_capture_forms(order, magic, per_us, chunk):
     ]
     head = struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, 1)
     data = head + b"".join(record(order, f, (7, 8 * per_us)) for f in frames) + b"cut"
-    rows = [r for part in pcap.read_capture(io.BytesIO(data), chunk) for r in part.astype(object).where(part.notna(), None).to_dict("records")]
-    assert [r["file_pos"] for r in rows] == [0, 1, 2, 3, 4] and {r["ts_us"] for r in rows} == {7_000_008}
+    rows = [r for part in pcap.read_capture(io.BytesIO(data), chunk=chunk) for r in part.astype(object).where(part.notna(), None).to_dict("records")]
+    assert [r["file_pos"] for r in rows] == list(np.cumsum([24] + [16 + len(f) for f in frames])[:-1]) and {r["ts_us"] for r in rows} == {7_000_008}
     assert [r["src_ip"] for r in rows] == ["10.0.0.1", None, "10.0.0.1", None, "10.0.0.1"]
     t = rows[0]
     assert (t["sport"], t["dport"], t["tcp_flags"], t["tcp_window"], t["tcp_dataofs"], t["tcp_payload_len"], t["ttl"]) == (1000, 443, 0x92, 512, 6, 5, 61)
@@ -52,6 +53,26 @@ def test_capture_forms(order, magic, per_us, chunk):
     assert (rows[4]["sport"], rows[4]["dport"]) == (8, 3)
 
 
+def test_boundaries_of_any_split(spark, tmp_path):
+    """Every start offset finds the next true boundary, also with a capture inside a payload."""
+    rng = np.random.default_rng(2)
+    inner = b"".join(record("<", bytes(30), (7, i)) for i in range(5))
+    bodies = [rng.bytes(int(n)) for n in rng.integers(30, 400, 60)] + [inner] + [rng.bytes(50) for _ in range(40)]
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1000, 1)
+    records = [record("<", ether(0x800) + ipv4(17, struct.pack(">HHHH", 1, 2, 8, 0) + b), (100, i)) for i, b in enumerate(bodies)]
+    data = head + b"".join(records)
+    edges = np.cumsum([24] + [len(r) for r in records])
+    for start in range(0, len(data), 37):
+        found = pcap.first_boundary(io.BytesIO(data), start, len(data))
+        assert found is None and start > len(data) - 2500 or found in edges[:-1] and start <= found <= start + 2100, start
+    (tmp_path / "x.pcap").write_bytes(data)
+    for split in (None, 300, 5000):
+        rows = pcap.pcap_ingest(spark, str(tmp_path), split).orderBy("file_pos").collect()
+        assert [r.file_pos for r in rows] == edges[:-1].tolist()
+    with pytest.raises(ValueError):
+        list(pcap.read_capture(io.BytesIO(data), 24, int(edges[3]) + 5))
+
+
 def test_not_a_capture():
     with pytest.raises(ValueError):
         list(pcap.read_capture(io.BytesIO(b"x" * 40)))
