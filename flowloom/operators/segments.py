@@ -333,14 +333,16 @@ def _entry_states(keyed: DataFrame, blocks: DataFrame, rules: FlowRules) -> Data
     order, _ = _in_block()
     on = [*KEY, "block"]
     thin = keyed.select(*on, "ts_us", "pkt_id", "from_a", "flag_close").join(
-        blocks.where("goes_on").select(*on, "next_block", "hard_first", "block_prev_ts"), on
+        blocks.where("goes_on"), on
     )
     prev = F.lag("ts_us").over(order)
     forced = F.when(prev.isNull(), F.col("hard_first")).otherwise(
         F.lag("flag_close").over(order) | _silent(F.col("ts_us") - prev, rules)
     )
+    # prev_a and prev_b are not read here; with them the block table has the same columns as in
+    # ``segment``, and Spark computes it once for both (ReusedExchange).
     rows = thin.select(
-        *on, "next_block", "block_prev_ts", "ts_us", "pkt_id", "from_a", forced.alias("forced"), prev.isNull().alias("block_first")
+        *on, "prev_a", "prev_b", "next_block", "block_prev_ts", "ts_us", "pkt_id", "from_a", forced.alias("forced"), prev.isNull().alias("block_first")
     ).sortWithinPartitions(*on, "ts_us", "pkt_id")
     steps = rows.mapInArrow(_map_batches(rules.limit), _MAP_DDL)
     ordered = steps.repartition(*KEY).sortWithinPartitions(*on, "from_ts")
