@@ -114,8 +114,6 @@ def filter_min_packets(spark, sf_dir):
     return closed(spark, sf_dir, LIVE).select(*FLOW, "n_pkts")
 
 
-_SEG_ROWS = "pkt_id, {cols}"
-
 
 @query(
     "packet_gaps",
