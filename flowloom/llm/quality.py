@@ -172,7 +172,7 @@ def fit(vectors: DataFrame) -> DataFrame:
     params = tables.kept(params, "mcd")
     sums = ["n", *(f"s{i}" for i in range(len(FEATURES))), *(f"q{i}_{j}" for i, j in _pairs())]
     for step in range(STEPS):
-        placed = vectors.join(params, "__group").withColumn("cell", _cell(_distance()))
+        placed = vectors.join(tables.hinted(params), "__group").withColumn("cell", _cell(_distance()))
         cells = tables.kept(placed.groupBy("__group", "cell").agg(*_moments()).withColumn("scaled", F.lit(step == STEPS - 1)), "mcd-cells")
         # added up over the groups: one row for each cell, of which there are a few hundred
         pooled = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in sums)).toPandas()
@@ -194,7 +194,7 @@ def vectors(docs: DataFrame, keep: list[str]) -> DataFrame:
 def judge(vectors: DataFrame, params: DataFrame) -> DataFrame:
     """``vectors`` with ``__base_failed``, ``__distance`` (squared, to its group's centre) and ``__kept``."""
     failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    placed = vectors.join(params, "__group").withColumn("__distance", _distance()).drop(*params.columns)
+    placed = vectors.join(tables.hinted(params), "__group").withColumn("__distance", _distance()).drop(*params.columns)
     return placed.withColumn("__base_failed", failed).withColumn("__kept", ~failed & (F.col("__distance") <= CUTOFF))
 
 

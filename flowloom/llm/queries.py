@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import quality
+from flowloom.llm import mixing, packing, quality, secrets, sharding
 from flowloom.llm.tables import documents
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streamed, mix = mixing.mixed(documents(spark, sf_dir))
+    found = mixing.taken(streamed, mix)
+    return found.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(documents(spark, sf_dir))
     counts = [F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select("doc_id", *counts, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("outlier_distance"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
 CHECKS: dict[str, str] = {}

@@ -22,6 +22,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hinted(stored: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A stored table, marked for broadcasting if it is counted to be small; else Spark joins it as it sees fit."""
+    return F.broadcast(stored) if stored.count() <= most_rows else stored
+
+
 def parts_for(rows: int, each: int) -> int:
     """Into how many parts ``rows`` go if each holds about ``each``."""
     return max(1, -(-rows // each))
@@ -42,10 +47,10 @@ def running_total(df: DataFrame, keys: Sequence[str], part: str, order: Sequence
     df = df.withColumn(step, value)
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys, part).agg(F.sum(step).alias(base))
-    sums = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(part).alias("__part"), F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
-    on = F.col(part) == F.col("__part")
+    sums = sums.select(*(F.col(k).alias(f"__rt_{k}") for k in keys), F.col(part).alias("__rt_part"), F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    on = F.col(part) == F.col("__rt_part")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"__rt_{k}"))
     inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(sums, on).withColumn(into, F.col(base) + F.coalesce(F.sum(step).over(inside), F.lit(0)))
-    return joined.drop(step, base, "__part", *(f"__{k}" for k in keys))
+    return joined.drop(step, base, "__rt_part", *(f"__rt_{k}" for k in keys))
