@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import mixing, packing, quality, secrets, sharding
+from flowloom.llm import language_model, mixing, packing, quality, secrets, sharding, toxicity
 from flowloom.llm.tables import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    trained = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.scored(docs.select("doc_id", "text", (toxicity.fold() == 0).alias("held_out")), trained, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "log_ratio")
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), language_model.held_out().alias("held_out"))
+    model = language_model.train(docs.filter(~F.col("held_out")))
+    scores = language_model.scored(docs, model, ["doc_id", "held_out"])
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.sharded(documents(spark, sf_dir))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,5 +48,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language_model, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
 CHECKS: dict[str, str] = {}

@@ -60,6 +60,17 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def hash_prefixes(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of runs that lie one after another, the hash of its run up to it, and up to the byte before."""
+    if len(data) == 0:
+        return np.zeros(0, U), np.zeros(0, U)
+    products = (data.astype(U) + U(1)) * _places(int(place.max()) + 1)[place]
+    sums = np.cumsum(products)
+    first = np.flatnonzero(place == 0)
+    base = np.repeat((sums - products)[first], np.diff(np.append(first, len(data))))
+    return mix(sums - base), mix(sums - products - base)
+
+
 def hash_ngrams(parts: list[np.ndarray]) -> np.ndarray:
     """One hash for each row of equally long columns of hashes; the order of columns counts."""
     total = np.zeros(len(parts[0]), U)
