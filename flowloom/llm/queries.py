@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import language_model, mixing, packing, quality, secrets, sharding, toxicity
+from flowloom.llm import language_model, mixing, near_dedup, packing, quality, secrets, sharding, toxicity
 from flowloom.llm.tables import documents
 
 
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "log_ratio")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.linked(documents(spark, sf_dir), words_each=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), language_model.held_out().alias("held_out"))
     model = language_model.train(docs.filter(~F.col("held_out")))
@@ -48,5 +53,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language_model, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
 CHECKS: dict[str, str] = {}

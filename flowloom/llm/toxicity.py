@@ -9,9 +9,10 @@ cancels. Here c counts the documents of the class that hold the beginning, N all
 a class discounts it gives back in proportion to counts that both classes share. So an expression that is
 rare, or as frequent in one class as in the other, says nothing, and inflected words are known by their stems.
 
-A document's log-likelihoods under both models are divided by its number of words and compared; a
-logistic curve over that difference (and over the same divided by the root of the number) turns it
-into a score. Counts come from the labelled rows of folds 2 to 4, the curve from those of fold 1, where
+A document's log-likelihoods under both models are divided by its number of words and compared, over all its
+words and over those alone that are much likelier in the toxic class (``STRONG``); a logistic curve over these
+differences, over the same divided by the root of the number, and over the log of the latter's sum, turns them into a
+score: a long text with few toxic words is so told from one where many words say little. Counts come from the labelled rows of folds 2 to 4, the curve from those of fold 1, where
 the fold is crc32(doc_id) mod 5; rows of fold 0 are never learnt from.
 
 ``TRAIN_DOCS`` bounds the labelled rows that are used; beyond it they are sampled by hash. The
@@ -33,12 +34,15 @@ from flowloom.llm import tables, texts
 
 #: A beginning that differs less is not told apart from a shorter one.
 DEVIATIONS = 4.0
+#: Natural log of how much likelier.
+STRONG = 3.0
 #: Beginnings in fewer documents than this cannot differ so much.
 LEAST = 5
 TRAIN_DOCS = 60_000
 DISCOUNT = 0.75
 FOLDS = 5
 _WORD_END = 3
+_MEASURED = ("n_words", "log_ratio", "strong_ratio")
 U = np.uint64
 
 
@@ -121,19 +125,22 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at] == asked, at
 
 
-def evidence(part: texts.Slice, model: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: number of words, and log P(text | toxic) - log P(text | ordinary)."""
+def evidence(part: texts.Slice, model: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Columns by document: number of words, log P(text | toxic) - log P(text | ordinary), the same of strong words."""
     word, doc, so_far, _, _, owner = beginnings(part)
     hit, at = _found(model[0], so_far)
     where = np.flatnonzero(hit)
     by_word = np.zeros(owner[-1] + 1 if len(owner) else 0)
     by_word[owner[where]] = model[1][at[where]]  # of several, the last and longest stays
-    return np.bincount(doc, minlength=part.rows), np.bincount(doc, by_word[word], minlength=part.rows)
+    by_token = by_word[word]
+    sums = [np.bincount(doc, w, minlength=part.rows) for w in (None, by_token, np.where(by_token > STRONG, by_token, 0))]
+    return np.stack(sums, axis=1).astype(float)
 
 
-def _features(words: np.ndarray, total: np.ndarray) -> np.ndarray:
-    n = np.maximum(words, 1)
-    return np.stack([np.ones(len(n)), np.clip(total / n, -5, 5) * 20, np.clip(total / np.sqrt(n), -50, 50)], axis=1)
+def _features(found: np.ndarray) -> np.ndarray:
+    n, total, strong = np.maximum(found[:, 0], 1), found[:, 1], found[:, 2]
+    means = [20 * np.clip(total / n, -5, 5), np.clip(total / np.sqrt(n), -50, 50), 20 * np.clip(strong / n, 0, 5), np.clip(strong / np.sqrt(n), 0, 50)]
+    return np.stack([np.ones(len(n)), *means, np.log1p(strong)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -158,11 +165,10 @@ def _measure(model: tuple[np.ndarray, ...], weights: np.ndarray | None):
             found = [evidence(part, model) for part in texts.slices(batch.column(batch.num_columns - 1))]
             if not found:
                 continue
-            words, total = (np.concatenate(x) for x in zip(*found, strict=True))
-            columns, names = [pa.array(words.astype(np.int64)), pa.array(total.astype(float))], ["n_words", "log_ratio"]
+            found = np.concatenate(found)
+            columns, names = [pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1]), pa.array(found[:, 2])], list(_MEASURED)
             if weights is not None:
-                score = 1 / (1 + np.exp(-np.clip(_features(words, total) @ weights, -500, 500)))
-                columns.append(pa.array(score))
+                columns.append(pa.array(1 / (1 + np.exp(-np.clip(_features(found) @ weights, -500, 500)))))
                 names.append("score")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
@@ -172,7 +178,7 @@ def _measure(model: tuple[np.ndarray, ...], weights: np.ndarray | None):
 def _measured(docs: DataFrame, keep: list[str], model: tuple, weights: np.ndarray | None) -> DataFrame:
     df = docs.select(*keep, F.col("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-    return df.mapInArrow(_measure(model, weights), ", ".join([*fields, "n_words long, log_ratio double", *(["score double"] if weights is not None else [])]))
+    return df.mapInArrow(_measure(model, weights), ", ".join([*fields, "n_words long, log_ratio double, strong_ratio double", *(["score double"] if weights is not None else [])]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS) -> tuple[tuple, np.ndarray]:
@@ -191,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS) -> tu
     found = grams.filter(F.col("ordinary") + F.col("toxic") >= LEAST).drop("whole").toPandas()
     model = log_ratios(found, *(np.array([x or 0 for x in r], float) for r in (pairs, words)))
     judged: pd.DataFrame = _measured(rows.filter("fold = 1"), ["toxic"], model, None).toPandas()
-    x = _features(judged["n_words"].to_numpy(), judged["log_ratio"].to_numpy())
+    x = _features(judged[list(_MEASURED)].to_numpy(float))
     return model, logistic(x, judged["toxic"].to_numpy(float))
 
 
