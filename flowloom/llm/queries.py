@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import language_model, mixing, near_dedup, packing, quality, secrets, sharding, toxicity
+from flowloom.llm import language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
 from flowloom.llm.tables import documents
 
 
@@ -28,6 +28,14 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each distinct line of ``documents`` that is compared."""
+    docs = documents(spark, sf_dir)
+    found = line_dedup.classes(docs, tables.kept(line_dedup.occurrences(docs), "lines"))
+    kept = F.col("first") == F.col("class_first")
+    return found.select("line", "copies", "class_id", F.col("first.d").alias("first_doc"), F.col("first.number").alias("first_number"), kept.alias("kept"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.sharded(documents(spark, sf_dir))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,5 +61,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
 CHECKS: dict[str, str] = {}
