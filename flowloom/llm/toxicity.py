@@ -38,7 +38,7 @@ DEVIATIONS = 4.0
 STRONG = 3.0
 #: Beginnings in fewer documents than this cannot differ so much.
 LEAST = 5
-TRAIN_DOCS = 60_000
+TRAIN_DOCS = 20_000
 DISCOUNT = 0.75
 FOLDS = 5
 _WORD_END = 3
