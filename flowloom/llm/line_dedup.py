@@ -341,4 +341,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").drop("__doc", "__hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     cut = joined.withColumn("__was", F.size("__drop") > 0).select(*docs.columns, "__was", "__drop").mapInArrow(_cut, f"{schema}, __was boolean")
-    return cut.filter(F.coalesce(~F.col("__was"), F.lit(True)) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    left = cut.filter(F.coalesce(~F.col("__was"), F.lit(True)) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("__was"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)

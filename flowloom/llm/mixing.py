@@ -11,7 +11,7 @@ it are cut there, and closing slots at the end take blocks still missing.
 Sizes are words. Sources in order of code points, null last, weigh 5, 2, 1, repeating. A target
 stops at ``REPEATS`` times its source's size; the excess goes to the others by weight.
 
-Null texts have no words. Documents without words are in no block. Repeated rows have places of
+Null texts have no words. Documents without words are in no block, and :func:`applied` leaves them out. Repeated rows have places of
 their own in the stream. A source with a third of all rows is spread over parts by hash.
 """
 
@@ -134,3 +134,25 @@ def taken(streamed: DataFrame, mix: DataFrame) -> DataFrame:
     on = (F.col("source_no") == F.col("__no")) & (F.col("begin") == F.col("__begin")) & (F.col("__size") > 0)
     joined = streamed.join(words, on, "left").drop("__no", "__begin")
     return joined.withColumn("taken", F.coalesce("__taken", F.lit(0)).cast("long")).drop("__taken")
+
+
+def applied(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row for each time that a document is taken, its text cut where its source's target ends."""
+    place = Window.partitionBy("doc_id", "__hash").orderBy("begin")
+    sizes = tables.kept(sized(docs.withColumn("__hash", F.xxhash64("text")), ["doc_id", "__hash"]), "sizes")
+    sources = tables.kept(targets(sizes), "targets")
+    total = sources.agg(F.sum("target")).first()[0] or 0.0
+    streamed = tables.kept(streams(sizes, sources, sizes.count()), "streams")
+    mix = pieces(streamed, slots(sources, total)).groupBy(F.col("source_no").alias("__no"), F.col("begin").alias("__begin"), "round").agg(F.sum("length").alias("__words"))
+    on = (F.col("source_no") == F.col("__no")) & (F.col("begin") == F.col("__begin"))
+    numbered = streamed.filter("__size > 0").withColumn("__copy", F.row_number().over(place))
+    takes = numbered.join(mix, on).select(F.col("doc_id").alias("__doc"), F.col("__hash").alias("__key"), F.col("__copy").alias("__n"), "__size", "__words")
+    # equal rows of one id are told apart by a number
+    rows = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))))
+    joined = rows.join(takes, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__key")) & (F.col("__row") == F.col("__n")))
+    cut = F.col("__words") < F.col("__size")
+    words = F.expr(f"array_join(slice(regexp_extract_all(text, '{WORD}', 0), 1, cast(__words as int)), ' ')")
+    taken_text = joined.withColumn("text", F.when(cut, words).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        taken_text = taken_text.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return taken_text.select(*docs.columns)

@@ -318,3 +318,14 @@ def linked(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame
     names = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     classed = members.filter("n > 0").join(names, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return classed.unionByName(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that have another of their class with a smaller id; of rows with one id, one stays."""
+    found = tables.kept(linked(docs, words_each, percent), "classes")
+    gone = tables.kept(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    left = docs.join(tables.hinted(gone, 1_000_000), "doc_id", "left_anti")
+    ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if ids[0] == ids[1]:
+        return left
+    return left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
+from flowloom.llm import ann, language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
 from flowloom.llm.tables import documents
 
 
@@ -61,5 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours)}
 CHECKS: dict[str, str] = {}
