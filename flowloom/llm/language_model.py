@@ -46,9 +46,9 @@ U = np.uint64
 END = U(0x9D39247E33776D41)
 BEGIN = U(0x2AF7398005AAA5C7)
 #: Text bytes for each bucket of the model.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Distinct pairs a counting task gathers before it gives them out.
-GATHER = 4_000_000
+GATHER = 2_000_000
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 10) -> Column:
