@@ -1,0 +1,48 @@
+import base64
+import gzip
+import hashlib
+from urllib.parse import quote
+
+from flowloom.llm import secrets
+from flowloom.llm.secrets import scan
+from tests.llm import data
+
+KEY = "password=abcDEF123456xyz"
+
+
+def spans(text):
+    base, more, _ = scan(text)
+    return base, more
+
+
+def test_base_rules():
+    text = 'Api_Key": "abcdefghijkl" and token = short; AKIA1234 AKIA12345678901234 0123456789abcdef0 0123456789abcde'
+    base, more = spans(text)
+    found = {(text[s:e], k) for s, e, k in base}
+    assert found == {('Api_Key": "abcdefghijkl', 0), ("AKIA12345678901234", 1), ("12345678901234", 2)} - {("12345678901234", 2)} | {("0123456789abcdef0", 2)}
+    assert more == []
+
+
+def test_layers_are_unwrapped_and_spans_mapped():
+    for wrapped in (quote(KEY, safe=""), "".join(f"\\u{ord(c):04x}" for c in KEY), base64.b64encode(KEY.encode()).decode(), base64.b64encode(gzip.compress(KEY.encode(), mtime=0)).decode()):
+        text = f"before {wrapped} after"
+        base, more = spans(text)
+        assert [(s >= 7, e <= 7 + len(wrapped), k) for s, e, k in more if k == 0] == [(True, True, 0)], wrapped
+
+
+def test_nested_layers_and_fixpoint():
+    nested = quote(base64.b64encode(quote(KEY, safe="").encode()).decode(), safe="")
+    nested = base64.b64encode(nested.encode()).decode()
+    assert any(k == 0 for _, _, k in spans(f"x {nested} y")[1])
+    assert spans("%25" * 50)[1] == [] and spans("%2525252525")[1] == []
+
+
+def test_query_rows(spark):
+    rows = data.odd_rows() + [data.row(400, KEY)]
+    found = secrets.scanned(spark.createDataFrame(rows, data.SCHEMA)).collect()
+    assert len(found) == len(rows)
+    last = next(r for r in found if r["doc_id"] == 400)
+    assert (last["n_assign"], last["spans"]) == (1, f"assign:0:{len(KEY)}")
+    assert last["base_sha256"] == hashlib.sha256(last["spans"].encode()).hexdigest()
+    assert next(r for r in found if r["doc_id"] == 100)["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secrets.scanned(spark.createDataFrame([], data.SCHEMA)).count() == 0
