@@ -7,13 +7,15 @@ have a retained value in common for certain. Values that are in very many sets c
 whatever their hash, so that a common passage makes no long lists; any order that is the same for all sets will do.
 
 1. Texts with equal sets are one node (``set_id``, a hash of the set). Sets and sketches of the ``SKETCH``
-   smallest hashes are worked out in one pass, which also counts values that repeat.
+   smallest hashes (their upper half) are worked out in one pass, which also counts values that repeat.
 2. A second pass gives out retained values; lists are read in order, as a stream. Lists of up to
-   ``SHORT`` sets give all their pairs; longer ones link each set with its ``NEAR`` next ones by size.
-3. Pairs whose union sketch estimates a similarity below ``DOUBT`` (six standard deviations below t) go.
+   ``SHORT`` sets give all their pairs; longer ones link each set with the list's ``PIVOTS`` first, those
+   with the largest share of very common values: of many copies with edits of their own, the ones with fewest.
+3. Pairs whose union sketch estimates a similarity of more than ``DOUBT`` standard deviations below t go.
    Each set's best pair is verified first, on whole sets; then all other pairs between different
-   components, and those that long lists hold between different components. So every link that could join two
-   components is looked at, while copies of one text cost a number of pairs that grows with their number.
+   components, and the components in each long list with its pivot; last all pairs that long lists still hold
+   between different components. So every link that could join two components is looked at, while copies
+   of one text cost a number of pairs that grows with their number.
 
 Null, empty and blank texts have no set and are linked with nothing. Repeated rows are copies. Two sets
 share a 64-bit ``set_id`` by chance once in 10**19 pairs.
@@ -31,15 +33,15 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import graph, tables, texts
 
-SKETCH = 64
+SKETCH = 128
 SHORT = 24
-NEAR = 4
-DOUBT = 0.5
+PIVOTS = 4
+DOUBT = 6.0
 #: A value counts as very common from so many sets on; the most common ``COMMON`` values are put last.
 OFTEN = 64
 COMMON = 1_000_000
 #: Sets of one part of a long list that are compared with another part in one step.
-BLOCK = 4096
+BLOCK = 1024
 U = np.uint64
 
 
@@ -58,7 +60,10 @@ def shingle_sets(part: texts.Slice, words_each: int) -> tuple[np.ndarray, np.nda
         first = np.cumsum(count)[short] - count[short]
         whole = [texts.hash_ngrams([hashes[f + i : f + i + 1] for i in range(c)] + [np.array([c], U)])[0] for f, c in zip(first, count[short], strict=True)]
         owner, grams = np.concatenate([owner, short]), np.concatenate([grams, np.array(whole, U)])
-    order = np.lexsort((grams, owner))
+    key = (owner.astype(U) << U(44)) | (grams >> U(20))
+    order = np.argsort(key)
+    if len(order) and (np.diff(key[order]) == 0)[np.diff(grams[order]) != 0].any():  # the part of the hash in the key is not all of it
+        order = np.lexsort((grams, owner))
     owner, grams = owner[order], grams[order]
     fresh = np.append(True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1]))[: len(owner)]
     return owner[fresh], grams[fresh]
@@ -88,7 +93,8 @@ def _sets(words_each: int):
                 owner, grams = shingle_sets(part, words_each)
                 sizes, ids = _set_ids(owner, grams, part.rows)
                 begin = np.cumsum(sizes) - sizes
-                sketches = [grams[b : b + min(s, SKETCH)].tobytes() for b, s in zip(begin, sizes, strict=True)]
+                halves = (grams >> U(32)).astype(np.uint32)
+                sketches = [halves[b : b + min(s, SKETCH)].tobytes() for b, s in zip(begin, sizes, strict=True)]
                 docs = batch.column(0).slice(part.first, part.rows)
                 n = part.rows
                 yield pa.RecordBatch.from_arrays([docs, _longs(ids), _longs(sizes), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "set_id", "n", "sketch", "value", "times"])
@@ -120,79 +126,118 @@ def _retained(words_each: int, percent: int, common: np.ndarray):
                 use = wanted[owner]
                 owner, grams = owner[use], grams[use]
                 sizes = np.where(wanted, sizes, 0)
+                late = np.zeros(len(grams), bool)
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                    late = common[at] == grams
-                    order = np.lexsort((grams, late, owner))
-                    owner, grams, late = owner[order], grams[order], late[order]
-                else:
-                    late = np.zeros(len(grams), bool)
-                place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+                    late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+                # place in the order of values: those that are not very common first, then by hash
+                begin = (np.cumsum(sizes) - sizes)[owner]
+                lates = np.concatenate([[0], np.cumsum(late)])
+                late_before = lates[:-1] - lates[begin]
+                late_all = np.bincount(owner, late, minlength=part.rows).astype(np.int64)
+                place = np.where(late, (sizes - late_all)[owner] + late_before, np.arange(len(owner)) - begin - late_before)
                 keep = place < (sizes - -(-sizes * percent // 100) + 1)[owner]
+                share = 1000 * late_all // np.maximum(sizes, 1)
                 owner, grams, late = owner[keep], grams[keep], late[keep]
-                yield pa.RecordBatch.from_arrays([_longs(grams), _longs(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(late)], names=["value", "set_id", "n", "late"])
+                columns = (pa.array(sizes[owner].astype(np.int32)), pa.array(share[owner].astype(np.int32)), pa.array(late))
+                yield pa.RecordBatch.from_arrays([_longs(grams), _longs(ids[owner]), *columns], names=["value", "set_id", "n", "share", "late"])
 
     return run
 
 
 def _lists(percent: int):
-    """From entries in order of value and size: pairs of sets, and the entries of long lists (``b`` null)."""
-
-    def pairs(value: np.ndarray, ids: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        length = np.repeat(np.diff(np.append(first, len(value))), np.diff(np.append(first, len(value))))
-        out = []
+    """From entries in order of value: pairs of sets, and the entries of long lists (``b`` null)."""
+
+    def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
+
+    def batch(a: np.ndarray, b: np.ndarray | None, value: np.ndarray, n: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
+        other = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())] if b is not None else [pa.array(value), pa.array(n), pa.array(share)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64()), *other], names=["a", "b", "value", "n", "share"])
+
+    def begins(value: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (salt[1:] != salt[:-1])))
+
+    def emit(value: np.ndarray, salt: np.ndarray, ids: np.ndarray, n: np.ndarray, share: np.ndarray, pivots: tuple | None) -> Iterator[pa.RecordBatch]:
+        """``pivots``: of the first list, if it has begun before."""
+        first = begins(value, salt)
+        size = np.diff(np.append(first, len(value)))
+        run = np.repeat(np.arange(len(first)), size)
+        long = (size[run] > SHORT) | (salt >= 0)
+        if pivots is not None:
+            long[run == 0] = True
+        found = []
         for step in range(1, SHORT):
-            at = np.flatnonzero((value[step:] == value[:-step]) & ((length[step:] <= SHORT) | (step <= NEAR)) & (100 * n[:-step].astype(np.int64) >= percent * n[step:].astype(np.int64)))
-            if len(at):
-                out.append((ids[at], ids[at + step]))
-            elif step > NEAR:
-                break
-        return out, length > SHORT
+            at = np.flatnonzero((run[step:] == run[:-step]) & ~long[step:])
+            at = at[alike(n[at], n[at + step])]
+            found.append((ids[at], ids[at + step]))
+        rows = np.flatnonzero(long)
+        for k in range(PIVOTS if len(rows) else 0):
+            at = first[run[rows]] + np.minimum(k, size[run[rows]] - 1)
+            pivot, pivot_n = ids[at], n[at]
+            if pivots is not None:
+                begun = run[rows] == 0
+                pivot, pivot_n = np.where(begun, pivots[0][k], pivot), np.where(begun, pivots[1][k], pivot_n)
+            ok = (pivot != ids[rows]) & alike(pivot_n, n[rows])
+            found.append((pivot[ok], ids[rows][ok]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        if len(both):
+            yield batch(both[:, 0], both[:, 1], *[np.zeros(0)] * 3)
+        if len(rows):
+            yield batch(ids[rows], None, value[rows], n[rows], share[rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
-
-        def emit(value: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found, long = pairs(value, ids, n)
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int32())], names=["a", "b", "value", "n"])
-            if long.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(value[long]), pa.array(n[long])], names=["a", "b", "value", "n"])
-
-        for batch in batches:
-            columns = tuple(batch.column(i).to_numpy() for i in range(3))
+        pivots = None  # of the list in ``rest``, if part of it has been given out
+        for record in batches:
+            columns = tuple(record.column(i).to_numpy() for i in range(5))
             if rest is not None:
                 columns = tuple(np.concatenate(x) for x in zip(rest, columns, strict=True))
-            value = columns[0]
-            if len(value) == 0:
+            if len(columns[0]) == 0:
                 continue
-            # the last list may go on in the next batch; of a very long one the last entries are enough
-            start = int(np.flatnonzero(np.append(True, value[1:] != value[:-1]))[-1])
-            if len(value) - start > 1 << 16:
-                start = len(value) - 2 * SHORT
-            yield from emit(*(x[:start] for x in columns)) if start else ()
+            # the last list may go on in the next batch
+            start = int(begins(*columns[:2])[-1])
+            if start:
+                yield from emit(*(x[:start] for x in columns), pivots)
+                pivots = None
             rest = tuple(x[start:] for x in columns)
+            if len(rest[0]) > 1 << 14:
+                # of a very long list all but one entry, which stands for its value
+                known = pivots or (rest[2][:PIVOTS].copy(), rest[3][:PIVOTS].copy())
+                yield from emit(*(x[:-1] for x in rest), known)
+                rest, pivots = tuple(x[-1:] for x in rest), known
         if rest is not None and len(rest[0]):
-            yield from emit(*rest)
+            yield from emit(*rest, pivots)
 
     return run
 
 
+def _likely(x: np.ndarray, others: list[np.ndarray], totals: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of the set of sketch ``x`` to others, and whether it may be so high; ``totals``: sums of both sizes."""
+    t, top = percent / 100, U(1) << U(32)
+    lengths = np.array([len(y) for y in others])
+    every = np.concatenate(others)
+    owner = np.repeat(np.arange(len(others)), lengths)
+    last = np.where(lengths < SKETCH, top, every[np.cumsum(lengths) - 1].astype(U))
+    limit = np.minimum(last, x[-1] if len(x) == SKETCH else top)  # below it both sketches are whole
+    at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+    common = np.bincount(owner, x[at] == every, minlength=len(others))
+    seen = np.searchsorted(x, limit, side="right") + np.bincount(owner, every <= limit[owner], minlength=len(others)) - common
+    # of the union of two sets with similarity t, so much is not seen
+    unseen = np.maximum(0.0, 1 - seen / (totals / (1 + t)))
+    return common / seen, common / seen >= t - 0.01 - DOUBT * np.sqrt(t * (1 - t) * unseen / seen)
+
+
 def _estimate(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            estimates = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                # below the smaller of both largest values both sketches are whole
-                limit = min(x[-1] if len(x) == SKETCH else U(0xFFFFFFFFFFFFFFFF), y[-1] if len(y) == SKETCH else U(0xFFFFFFFFFFFFFFFF))
-                x, y = x[x <= limit], y[y <= limit]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                estimates.append(common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimates, pa.float64())], names=["a", "b", "estimate"])
+            found = []
+            for x, y, total in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                found.append(_likely(x, [y], np.array([total]), percent))
+            estimates, keep = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0, bool))
+            columns = [batch.column(0), batch.column(1), pa.array(estimates, pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in columns], names=["a", "b", "estimate"])
 
     return run
 
@@ -229,22 +274,23 @@ class _Search:
         found = tables.kept(self.docs.mapInArrow(_sets(words_each), _SETS.format(id=id_type)), "sets")
         self.sets = found.filter("times IS NULL").select("doc_id", "set_id", "n", "sketch")
         self.repeats = found.filter("times IS NOT NULL").select("value", "times")
+        # one row for each different set
+        self.sketches = self.sets.filter("n > 0").groupBy("set_id").agg(F.min("sketch").alias("sketch"), F.min("n").alias("size"))
 
     def lists(self) -> DataFrame:
         often = self.repeats.groupBy("value").agg(F.sum("times").alias("times")).filter(F.col("times") >= OFTEN)
         common = np.sort(often.orderBy(F.desc("times"), "value").limit(COMMON).select("value").toPandas()["value"].to_numpy(np.int64).view(U))
-        entries = self.docs.select("text").mapInArrow(_retained(self.words_each, self.percent, common), "value long, set_id long, n int, late boolean")
-        # lists of very common values are dealt to several tasks
-        salt = F.when(F.col("late"), F.pmod("set_id", F.lit(16))).otherwise(0)
-        ordered = entries.select("value", "set_id", "n", salt.cast("int").alias("salt")).repartition("value", "salt").sortWithinPartitions("value", "salt", "n", "set_id")
-        return ordered
+        entries = self.docs.select("text").mapInArrow(_retained(self.words_each, self.percent, common), "value long, set_id long, n int, share int, late boolean")
+        # lists of very common values are dealt to several tasks, and count as long in each
+        salt = F.when(F.col("late"), F.pmod("set_id", F.lit(16))).otherwise(-1)
+        dealt = entries.select("value", salt.cast("int").alias("salt"), "set_id", "n", "share").repartition("value", "salt")
+        return dealt.sortWithinPartitions("value", "salt", F.desc("share"), "n", "set_id")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        sketches = self.sets.filter("n > 0").groupBy("set_id").agg(F.min("sketch").alias("s"))
-        x = sketches.select(F.col("set_id").alias("a"), F.col("s").alias("x"))
-        y = sketches.select(F.col("set_id").alias("b"), F.col("s").alias("y"))
-        joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return joined.mapInArrow(_estimate(self.percent), "a long, b long, estimate double").filter(F.col("estimate") >= DOUBT)
+        x = self.sketches.select(F.col("set_id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("nx"))
+        y = self.sketches.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("ny"))
+        joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("total"))
+        return joined.mapInArrow(_estimate(self.percent), "a long, b long, estimate double")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (stored) whose whole sets are similar enough."""
@@ -266,52 +312,77 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _cross(percent: int):
-    """From the entries of two parts of one long list: pairs between different components."""
+    """From two parts of the sets of one pivot: likely pairs between different components."""
 
     def run(met: pd.DataFrame) -> pd.DataFrame:
         out = []
         left, right = met[met["part"] == met["high"]], met[met["part"] == met["low"]].sort_values("n")
         n = right["n"].to_numpy(np.int64)
-        ids, roots = right["a"].to_numpy(np.int64), right["root"].to_numpy(np.int64)
-        for a, root, size in zip(left["a"], left["root"], left["n"], strict=True):
+        ids, roots, own = (right[c].to_numpy(np.int64) for c in ("a", "root", "own"))
+        sketches = [np.frombuffer(v, np.uint32) for v in right["sketch"]]
+        for a, root, size, mine, sketch in zip(left["a"], left["root"], left["n"], left["own"], left["sketch"], strict=True):
             lo, hi = np.searchsorted(n, -(-size * percent // 100)), np.searchsorted(n, size * 100 // percent, side="right")
-            other = ids[lo:hi][roots[lo:hi] != root]
-            out.append(np.stack([np.minimum(a, other), np.maximum(a, other)], axis=1))
+            both = size + n[lo:hi]
+            differing = both - 2 * -(-percent * both // (100 + percent))  # at most so many values in one set alone
+            at = lo + np.flatnonzero((roots[lo:hi] != root) & (mine + own[lo:hi] <= differing))
+            if len(at):
+                at = at[_likely(np.frombuffer(sketch, np.uint32), [sketches[i] for i in at], size + n[at], percent)[1]]
+                out.append(np.stack([np.minimum(a, ids[at]), np.maximum(a, ids[at])], axis=1))
         both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(both, columns=["a", "b"])
 
     return run
 
 
-def _long_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs that long lists hold between different components.
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+
+
+def _pivot_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """In each long list, of every component one set, with the pivot of all: as many pairs as there are components."""
+    one = _rooted(entries, roots).groupBy("value", "root").agg(F.max(F.struct("share", "a")).alias("r"))
+    pivots = one.groupBy(F.col("value").alias("v")).agg(F.max("r").alias("p"))
+    met = one.join(pivots, F.col("value") == F.col("v")).filter("r.a != p.a")
+    return met.select(F.least("r.a", "p.a").alias("a"), F.greatest("r.a", "p.a").alias("b")).distinct()
 
-    Of a component in a list whose other sets are all in the same one nothing is left. The rest of a list is cut
-    into parts by hash, and each two parts meet in a task of their own.
+
+def _long_pairs(entries: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs that long lists hold between different components.
+
+    Lists of one pivot have mostly the same sets and become one. If all its sets are in one component nothing is
+    left of it; others are cut into parts by hash, and each two parts meet in a task of their own. A set's retained values that
+    are in no long list are its ``own``: sets that have one of them in common met in its short list, so of two
+    sets that did not these values all differ.
     """
-    rooted = entries.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    lists = rooted.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 != r1")
+    own = entries.groupBy(F.col("a").alias("id")).agg(F.first("n").alias("n"), F.count("*").alias("listed"))
+    own = own.select("id", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("listed")).cast("long").alias("own"))
+    pivots = entries.groupBy(F.col("value").alias("v")).agg(F.max(F.struct("share", "a")).alias("p"))
+    members = entries.join(pivots, F.col("value") == F.col("v")).select(F.col("p.a").alias("pivot"), "a").distinct()
+    members = _rooted(members, roots)
+    mixed = members.groupBy(F.col("pivot").alias("key")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 != r1")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    rooted = rooted.join(lists.select("value", parts.alias("parts")), "value").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    other = F.explode(F.expr("sequence(0, parts - 1)"))
-    met = rooted.withColumn("other", other).withColumn("high", F.greatest("part", "other")).withColumn("low", F.least("part", "other"))
-    return met.select("value", "high", "low", "part", "a", "root", "n").groupBy("value", "high", "low").applyInPandas(_cross(percent), "a long, b long").distinct()
+    members = members.join(mixed.select("key", parts.alias("parts")), F.col("pivot") == F.col("key"))
+    members = members.join(own, F.col("a") == F.col("id")).drop("id").join(sketches.select("set_id", "sketch"), F.col("a") == F.col("set_id"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    met = members.select("pivot", F.greatest("part", "other").alias("high"), F.least("part", "other").alias("low"), "part", "a", "root", "n", "own", "sketch")
+    return met.groupBy("pivot", "high", "low").applyInPandas(_cross(percent), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id of its class."""
     search = _Search(docs, words_each, percent)
-    found = tables.kept(search.lists().select("value", "set_id", "n").mapInArrow(_lists(percent), "a long, b long, value long, n int"), "lists")
-    pairs = found.filter("b IS NOT NULL").select("a", "b").distinct()
-    likely = tables.kept(search.estimated(pairs), "likely")
-
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    links = tables.kept(search.verified(tables.kept(best, "best")), "links")
-    roots = graph.components(links)
-
-    other = _between(likely.select("a", "b"), roots).unionByName(search.estimated(_long_pairs(found.filter("b IS NULL").select("a", "value", "n"), roots, percent)).select("a", "b"))
-    more = tables.kept(search.verified(tables.kept(other.distinct(), "other")), "links")
-    roots = graph.components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    found = tables.kept(search.lists().mapInArrow(_lists(percent), "a long, b long, value long, n int, share int"), "lists")
+    entries = found.filter("b IS NULL").select("a", "value", "n", "share")
+    likely = tables.kept(search.estimated(found.filter("b IS NOT NULL").select("a", "b").distinct()), "likely")
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        more = search.verified(tables.kept(pairs.select("a", "b").distinct(), "pairs"))
+        return graph.components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
+    best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
+    roots = graph.components(search.verified(tables.kept(best.select("a", "b"), "pairs")))
+    roots = joined(roots, _between(likely.select("a", "b"), roots).unionByName(search.estimated(_pivot_pairs(entries, roots)).select("a", "b")))
+    roots = joined(roots, _long_pairs(entries, search.sketches, roots, percent))
 
     members = search.sets.select("doc_id", "set_id", "n").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
     members = members.withColumn("class", F.coalesce("root", "set_id"))
