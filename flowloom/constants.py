@@ -294,8 +294,9 @@ NAME_CACHE_SIZE = 2000
 PREFERRED_CSV = "Thursday-22-02-2018.csv"
 
 # Private addresses as patterns, "#" standing for one decimal octet. 192.0.0.9 and
-# 192.0.0.10 are reachable exceptions. IPv6 is taken in compressed lower case: unspecified,
-# loopback, IPv4-mapped, unique local, link-local, documentation, 6to4.
+# 192.0.0.10 are reachable exceptions. IPv6 is taken in compressed form: unspecified, loopback,
+# local translation, discard only, protocol assignments (with their reachable exceptions),
+# documentation, 6to4, unique local, link-local.
 PRIVATE_PATTERNS = (
     r"(0|10|127)\.#\.#\.#",
     r"169\.254\.#\.#",
@@ -308,9 +309,11 @@ PRIVATE_PATTERNS = (
     r"203\.0\.113\.#",
     r"(24[0-9]|25[0-5])\.#\.#\.#",
     r"::1?",
-    r"::ffff:.*",
-    r"f[cd][0-9a-f]{2}:.*",
-    r"fe[89ab][0-9a-f]:.*",
+    r"64:ff9b:1:.*",
+    r"100::([0-9a-f]{1,4}(:[0-9a-f]{1,4}){0,3})?",
+    r"2001:(?!1::[12]$|3:|4:112:|[23][0-9a-f]:)(:|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:).*",
     r"2001:0?db8:.*",
     r"2002:.*",
+    r"f[cd][0-9a-f]{2}:.*",
+    r"fe[89ab][0-9a-f]:.*",
 )

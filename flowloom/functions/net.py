@@ -12,7 +12,8 @@ from flowloom.constants import ICMP_TYPES, PRIVATE_PATTERNS, PROTO_NAMES, UNKNOW
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-PRIVATE_PATTERN = "^(" + "|".join(PRIVATE_PATTERNS).replace("#", _OCTET) + ")$"
+# IPv4 addresses mapped into IPv6 are as private as themselves.
+PRIVATE_PATTERN = "(?i)^((::ffff:)?(" + "|".join(p for p in PRIVATE_PATTERNS if "#" in p).replace("#", _OCTET) + ")|" + "|".join(p for p in PRIVATE_PATTERNS if "#" not in p) + ")$"
 
 
 def ipv4_number(ip: Column) -> Column:

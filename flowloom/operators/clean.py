@@ -48,7 +48,8 @@ def feature_list(df: DataFrame, labels: Iterable[str] = (LABEL, LABEL_BINARY)) -
 
 
 _INFINITE_TEXT = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
-_MISSING_TEXT = ("", "nan", "null", "n/a", "na", "none")
+# Words that count as missing, in lower case.
+_MISSING_TEXT = ("", "#n/a", "#n/a n/a", "#na", "-1.#ind", "-1.#qnan", "-nan", "1.#ind", "1.#qnan", "<na>", "n/a", "na", "nan", "none", "null")
 
 
 def _number_column(text: Column) -> Column:
@@ -72,6 +73,8 @@ def drop_incomplete_rows(df: DataFrame) -> DataFrame:
 def clean_rows(df: DataFrame) -> DataFrame:
     """Normalised names, no identifiers, no row with a missing or infinite cell."""
     cleaned = drop_identifiers(normalize_columns(df))
+    if LABEL in cleaned.columns:
+        cleaned = cleaned.withColumn(LABEL, F.when(~F.lower(F.trim(quoted(LABEL))).isin(*_MISSING_TEXT), quoted(LABEL)))
     return drop_incomplete_rows(inf_to_null(cleaned, feature_list(cleaned)))
 
 

@@ -72,7 +72,7 @@ def is_local(ip: Column) -> Column:
 
 
 def with_display_name(devices: DataFrame, services: DataFrame, dhcp: DataFrame, mdns: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Outside: service, else host name. Local: DHCP, mDNS, host name, else '-'. At most 24 characters."""
+    """Outside: service, else host name. Local: DHCP, mDNS, host name, else '-'."""
     rows = (
         devices.join(services.select("ip", "service"), "ip", "left")
         .join(dhcp.select("ip", F.col("name").alias("_dhcp")), "ip", "left")
@@ -86,7 +86,7 @@ def with_display_name(devices: DataFrame, services: DataFrame, dhcp: DataFrame,
     public = F.coalesce("service", "_host", F.lit(""))
     private = F.coalesce(*filled("_dhcp", "_mdns", "_host"), F.lit("-"))
     shown = F.when(is_local(F.col("ip")), private).otherwise(public)
-    return rows.withColumn("display_name", F.substring(shown, 1, 24)).drop("service", "_dhcp", "_mdns", "_host")
+    return rows.withColumn("display_name", shown).drop("service", "_dhcp", "_mdns", "_host")
 
 
 def ip_bucket(ip: Column) -> Column:
@@ -117,7 +117,7 @@ def device_summary(named: DataFrame) -> DataFrame:
     rows = named.withColumns(
         {
             "scope": F.when(is_local(F.col("ip")), "private").otherwise("public"),
-            "vendor": F.when(F.col("mac") == UNKNOWN_MAC, "").otherwise(F.substring(names.vendor_of(F.col("mac")), 1, 11)),
+            "vendor": F.when(F.col("mac") == UNKNOWN_MAC, "").otherwise(names.vendor_of(F.col("mac"))),
             "tag": net.iface_tag(F.col("iface")),
         }
     )

@@ -51,11 +51,14 @@ def _on_port(*ports: int) -> Column:
 def route(packets: DataFrame) -> DataFrame:
     """Tag each packet with what it is parsed as and whether it also enters flow tracking.
 
-    ARP rows carry no IP address; SSDP only registers its sender. DNS, DHCP and mDNS are
-    parsed and tracked as well.
+    SSDP only registers its sender. DNS, DHCP and mDNS are parsed and tracked as well. Frames
+    without an IPv4 address are ARP if they say so, else ``other``; tables without ``arp_op`` hold no other frames.
     """
+    no_ip = F.col("src_ip").isNull()
+    is_arp = no_ip & F.col("arp_op").isNotNull() if "arp_op" in packets.columns else no_ip
     parsed = (
-        F.when(F.col("src_ip").isNull(), "arp")
+        F.when(is_arp, "arp")
+        .when(no_ip, "other")
         .when(_on_port(DNS_PORT), "dns")
         .when(_on_port(*DHCP_PORTS), "dhcp")
         .when(_on_port(MDNS_PORT), "mdns")

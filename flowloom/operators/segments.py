@@ -362,6 +362,9 @@ def cut(ts, new_run, entry_open, entry_ts, limit):
     run_of = np.cumsum(new_run) - 1
     run_last = np.append(run_first[1:], n) - 1
     first_ts = ts[run_first]
+    since_all = entry_ts[run_first][entry_open[run_first]]
+    # a limit beyond the batch's own span closes nothing; cut so that runs fit on one axis of 64 bits
+    limit = min(limit, int(ts.max()) - int(min(ts.min(), since_all.min(initial=ts.min()))) + 1)
     width = ts[run_last] - first_ts + limit + 2
     base = np.cumsum(width) - width
     line = ts - first_ts[run_of] + base[run_of]  # one rising axis; runs never overlap on it

@@ -128,7 +128,7 @@ DHCP_SQL = f"dhcp AS (SELECT {DHCP_IP_SQL} AS ip, arg_max(dhcp_hostname, (ts_us,
 MDNS_SQL = f"mdns AS (SELECT src_ip AS ip, arg_max({MDNS_NAME_SQL}, (ts_us, {MDNS_NAME_SQL})) AS name FROM control_msgs WHERE kind = 'mdns' AND {MDNS_NAME_SQL} IS NOT NULL GROUP BY src_ip)"
 LOCAL_SQL = f"({private_sql('r.ip')} OR r.ip LIKE '224.%' OR r.ip LIKE '239.%' OR r.ip LIKE '%.255')"
 NAMES_SQL = f"""{REGISTRY_SQL}, {NAMED_SQL}, {SERVICES_SQL}, {DHCP_SQL}, {MDNS_SQL}, {HOSTS_SQL},
-shown AS (SELECT r.*, substr(CASE WHEN {LOCAL_SQL} THEN coalesce(d.name, m.name, h.host, '-') ELSE coalesce(s.service, h.host, '') END, 1, 24) AS display_name,
+shown AS (SELECT r.*, CASE WHEN {LOCAL_SQL} THEN coalesce(d.name, m.name, h.host, '-') ELSE coalesce(s.service, h.host, '') END AS display_name,
  CASE WHEN {LOCAL_SQL} THEN 'private' ELSE 'public' END AS scope
  FROM registry r LEFT JOIN services s ON s.ip = r.ip LEFT JOIN dhcp d ON d.ip = r.ip LEFT JOIN mdns m ON m.ip = r.ip LEFT JOIN hosts h ON h.ip = r.ip)"""
 
@@ -153,7 +153,7 @@ _IP_ORDER = ", ".join(f"split_part(ip, '.', {i})::INTEGER" for i in (1, 2, 3, 4)
     with_views(
         VIEWS,
         f"""WITH {NAMES_SQL} SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY {_IP_ORDER}) AS position, ip, mac,
- CASE WHEN mac = '{UNKNOWN_MAC}' THEN '' ELSE substr({_VENDOR_SQL.format('mac')}, 1, 11) END AS vendor, display_name, {TAG_SQL} AS tag, packets, first_seen_us, last_seen_us,
+ CASE WHEN mac = '{UNKNOWN_MAC}' THEN '' ELSE {_VENDOR_SQL.format('mac')} END AS vendor, display_name, {TAG_SQL} AS tag, packets, first_seen_us, last_seen_us,
  count(*) OVER (PARTITION BY scope) AS total_devices FROM shown""",
     ),
 )

@@ -203,8 +203,9 @@ def stream_backpressure(spark, sf_dir):
     rows = dq.packets(session, sf_dir)
     write_slices(rows, source)
     stream = jobs.packet_stream(session, source, rows.schema, max_files=2)
-    run = jobs.run_available(stream.select("pkt_id"), out, checkpoint)
-    return jobs.progress_table(spark, run).agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_late").alias("rows_late"))
+    with jobs.ProgressTotals(session) as totals:
+        jobs.run_available(stream.select("pkt_id"), out, checkpoint)
+    return totals.table().select("rows_read", "rows_late")
 
 
 @query(
@@ -226,10 +227,11 @@ def late_data(spark, sf_dir):
     # One group of files at a time, so that the repeated rows come after the watermark has moved.
     stream = jobs.packet_stream(session, source, rows.schema, max_files=1)
     counted = jobs.windowed(stream, 10, DELAY, rows_at=F.count(F.lit(1)))
-    run = jobs.run_available(counted.withColumnRenamed("rows_at", "packets"), out, checkpoint)
+    with jobs.ProgressTotals(session) as totals:
+        jobs.run_available(counted.withColumnRenamed("rows_at", "packets"), out, checkpoint)
     # Spark counts late rows after partial aggregation; packets are counted as read less counted
     # in windows, less the tick, whose window never ends.
     windows = spark.read.parquet(out)
-    read = jobs.progress_table(spark, run).agg(F.sum("rows_read").alias("read"))
+    read = totals.table().select(F.col("rows_read").alias("read"))
     late = read.join(windows.agg(F.sum("packets").alias("kept")), F.lit(True)).selectExpr("read - kept - 1 AS rows_late")
     return windows.join(F.broadcast(late), F.lit(True))

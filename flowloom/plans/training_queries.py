@@ -103,7 +103,8 @@ def scan_preferred_csv(spark, sf_dir):
 )
 def scan_csv_exclude(spark, sf_dir):
     folder = csv_folder(spark, sf_dir)
-    rows = flow_csv.scan_csv_exclude(spark, folder, "final_dataset.csv")
+    outputs = {flow_csv.file_name(p) for p in flow_csv.list_csv(spark, folder) if p.endswith("-final_dataset.csv")}  # its parts
+    rows = flow_csv.scan_csv_exclude(spark, folder, outputs)
     return rows.select("Order", "Line", F.coalesce(clean.quoted("Label"), clean.quoted(" Label")).alias("Label"))
 
 

@@ -31,10 +31,12 @@ def local_session(cpus: int = 8, app: str = "flowloom", memory: str = "8g") -> S
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``.
 
-    The cluster names that folder and every executor sees it. Only where the setting is
-    absent (single-machine tests) is a temporary folder used instead.
+    The cluster names that folder and every executor sees it. Where the setting is absent, a temporary
+    folder stands in for it on a single machine; anywhere else that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="flowloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ the record headers, and takes the fields of a chunk's records at once with numpy
 
 from __future__ import annotations
 
+import logging
 import struct
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 # File magic numbers (as read little-endian) -> (byte order, fraction to microseconds).
 MAGIC = {0xA1B2C3D4: ("<", 1), 0xD4C3B2A1: (">", 1), 0xA1B23C4D: ("<", 1000), 0x4D3CB2A1: (">", 1000)}
 ETHERNET_BYTES, IP_BYTES = 14, 20
@@ -127,14 +130,17 @@ def _file_form(stream) -> tuple[str, int, int]:
     if len(head) < 24 or struct.unpack("<I", head[:4])[0] not in MAGIC:
         raise ValueError("not a libpcap file")
     order, per_us = MAGIC[struct.unpack("<I", head[:4])[0]]
-    snap = struct.unpack(order + "I", head[16:20])[0]
+    snap, link = struct.unpack(order + "II", head[16:24])
+    if link & 0x0FFFFFFF != 1:
+        raise ValueError(f"link type {link & 0x0FFFFFFF} is not Ethernet")
     return order, per_us, min(snap or MAX_RECORD, MAX_RECORD)
 
 
 def read_capture(stream, begin: int = HEAD_BYTES, end: int | None = None, chunk: int = 16 << 20) -> Iterator[pd.DataFrame]:
     """Packet rows of the records from byte ``begin`` up to ``end`` (to the last one by default).
 
-    Only a chunk is in memory. ``end`` has to be a record boundary, which is checked.
+    Only a chunk is in memory. ``end`` has to be a record boundary, which is checked. A record that claims more
+    bytes than any record has is an error; one that the file's end cuts off is logged.
     """
     order, per_us, _ = _file_form(stream)
     stream.seek(begin)
@@ -146,13 +152,17 @@ def read_capture(stream, begin: int = HEAD_BYTES, end: int | None = None, chunk:
         data = rest + data
         offsets, used = _records(data, order, 0)
         rest = data[used:]
+        if len(rest) >= 16 and struct.unpack_from(order + "I", rest, 8)[0] > MAX_RECORD:
+            raise ValueError(f"bad record length at byte {at + used}")
         if len(offsets):
             rows = _decode(data, offsets, order, per_us)
             rows.insert(0, "file_pos", at + offsets)
             yield rows
         at += used
-    if rest and end is not None:  # at the file's own end a cut-off record is left out
+    if rest and end is not None:
         raise ValueError(f"no record boundary at byte {end}; read the capture with split_bytes=None")
+    if rest:
+        log.warning("the last record, at byte %d, is cut off by the end of the file", at)
 
 
 def first_boundary(stream, start: int, size: int) -> int | None:

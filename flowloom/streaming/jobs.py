@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowloom.constants import UNKNOWN_MAC
 from flowloom.operators import health, names
@@ -167,13 +168,48 @@ def run_rate_alarm(packets: DataFrame, out: str, checkpoint: str, delay: str = "
     return run_batches(counts, write, checkpoint)
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Rows read and rows dropped behind the watermark, per micro-batch, from the query's progress."""
-    rows = [
-        (p["batchId"], p["numInputRows"], sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]))
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "batch_id bigint, rows_read bigint, rows_late bigint")
+class ProgressTotals(StreamingQueryListener):
+    """Rows read, and dropped behind the watermark, over all micro-batches of the queries started while it listens.
+
+    Spark keeps the progress of the last 100 micro-batches only; this keeps sums, however long a query runs.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.open = spark, set()
+        self.batches = self.rows_read = self.rows_late = 0
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self.changed:
+            self.open.add(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        with self.changed:
+            self.batches += 1
+            self.rows_read += progress.numInputRows
+            self.rows_late += sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.open.discard(event.runId)
+            self.changed.notify_all()
+
+    def __enter__(self) -> ProgressTotals:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        with self.changed:  # events come after a query has ended
+            self.changed.wait_for(lambda: not self.open, timeout=60)
+        self.spark.streams.removeListener(self)
+
+    def table(self) -> DataFrame:
+        row = (self.batches, self.rows_read, self.rows_late)
+        return self.spark.createDataFrame([row], "batches bigint, rows_read bigint, rows_late bigint")
 
 
 def new_folders(spark: SparkSession, *labels: str) -> list[str]:
