@@ -291,7 +291,7 @@ def links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     short = found.filter("key IS NULL").select("a", "b")
     long = _long_pairs(found.filter("key IS NOT NULL").select("key", F.col("a").alias("entry"), "bins"), edits)
     pairs = tables.kept(short.unionByName(long).distinct(), "line-pairs")
-    needed = tables.kept(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "needed")
+    needed = tables.kept(pairs.select(F.col("a").alias("line")).distinct().unionByName(pairs.select(F.col("b").alias("line")).distinct()).distinct(), "needed")
     lines = docs.select("text").mapInArrow(_line_texts, "line long, bytes binary").join(tables.hinted(needed, 1_000_000), "line").dropDuplicates(["line"])
     lines = tables.kept(lines, "line-texts")
     x = lines.select(F.col("line").alias("a"), F.col("bytes").alias("x"))

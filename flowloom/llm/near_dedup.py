@@ -294,7 +294,7 @@ class _Search:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (stored) whose whole sets are similar enough."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        needed = pairs.select(F.col("a").alias("set_id")).distinct().unionByName(pairs.select(F.col("b").alias("set_id")).distinct()).distinct()
         rows = tables.kept(self.sets.join(needed, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "needed")
         full = self.docs.join(tables.hinted(rows, 1_000_000), "doc_id").select("text").mapInArrow(_full(self.words_each), "id long, grams binary").dropDuplicates(["id"])
         full = tables.kept(full, "full-sets")
