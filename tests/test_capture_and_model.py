@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from flowloom.operators import clean, training
-from flowloom.plans.model_queries import SMALL, prepared
+from flowloom.plans.model_queries import prepared
 from flowloom.plans.training_queries import FEATURES, IDS
 from flowloom.sources import pcap
 from tests.conftest import SF_SMALL
 
+SMALL = training.ForestConfig(trees=20, depth=8)
+
 
 def record(order, frame, ts=(7, 8), size=None):
     return struct.pack(order + "IIII", *ts, len(frame), size or len(frame)) + frame
