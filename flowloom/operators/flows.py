@@ -69,7 +69,8 @@ def flow_rows(segmented: DataFrame) -> DataFrame:
         "opened_from_a": F.bool_or(opens & F.col("from_a")),
         "first_us": F.min("ts_us"),
         "last_us": F.max("ts_us"),
-        "iface": F.min(F.when(opens, F.col("iface"))),
+        # as a number: with text among them Spark would sort all packets to aggregate them
+        "iface_hash": F.min(F.when(opens & F.col("iface").isNotNull(), F.xxhash64("iface"))),
         "tot_fwd_pkts": _count(fwd),
         "tot_bwd_pkts": _count(bwd),
         "totlen_fwd_pkts": _zero(F.sum(F.when(fwd, length))),
@@ -139,11 +140,15 @@ def with_features(rows: DataFrame) -> DataFrame:
     )
 
 
-def closed_flows(packets: DataFrame, rules: FlowRules) -> DataFrame:
-    """Packets -> scored-ready flows: closed, with at least ``min_packets``, all features."""
+def closed_flows(packets: DataFrame, rules: FlowRules, iface: bool = False) -> DataFrame:
+    """Packets -> scored-ready flows: closed, with at least ``min_packets``, all features; on request
+    with ``iface``, the interface of the first packet."""
     rows = flow_rows(segment(packets, rules, FLOW_COLUMNS))
-    kept = rows.where(F.col("closed") & (F.col("n_pkts") >= rules.min_packets))
-    return with_features(kept)
+    kept = with_features(rows.where(F.col("closed") & (F.col("n_pkts") >= rules.min_packets)))
+    if not iface:
+        return kept.drop("iface_hash")
+    known = packets.where("iface IS NOT NULL").select("iface").distinct().select(F.xxhash64("iface").alias("iface_hash"), "iface")
+    return kept.join(known, "iface_hash", "left").drop("iface_hash")
 
 
 def flow_features(packets: DataFrame, rules: FlowRules) -> DataFrame:

@@ -131,15 +131,40 @@ def _keyed(packets: DataFrame, rules: FlowRules) -> DataFrame:
     )
 
 
+_ID_SHIFT, _TIME_SHIFT = "10BD", "100000000000000000000BD"
+
+
+def _packed(flag: Column) -> Column:
+    """Time, id and a flag as one decimal of at most 38 digits, in order of time and id.
+
+    Times and ids are not negative here. A decimal buffer is changed in place, so that its maximum is
+    taken by hash aggregation; with a struct Spark would sort all packets first.
+    """
+    ts, pkt = (F.col(c).cast("decimal(19,0)") for c in ("ts_us", "pkt_id"))
+    total = ts * F.expr(_TIME_SHIFT) + pkt * F.expr(_ID_SHIFT) + flag.cast("int").cast("decimal(1,0)")
+    return total.cast("decimal(38,0)")
+
+
+def _unpacked(packed: Column) -> Column:
+    digits = F.lpad(packed.cast("string"), 38, "0")
+    parts = [digits.substr(1, 18).cast("bigint").alias("ts_us"), digits.substr(19, 19).cast("bigint").alias("pkt_id"), (digits.substr(38, 1) == "1").alias("flag_close")]
+    return F.when(packed.isNotNull(), F.struct(*parts))
+
+
+def _at(packed: Column) -> Column:
+    whole = _unpacked(packed)
+    return F.when(packed.isNotNull(), F.struct(whole["ts_us"].alias("ts_us"), whole["pkt_id"].alias("pkt_id")))
+
+
 def _block_table(keyed: DataFrame, rules: FlowRules) -> DataFrame:
     """One row per (key, block) with what the blocks around it tell."""
-    at = F.struct("ts_us", "pkt_id")
-    summary = keyed.groupBy(*KEY, "block").agg(
+    counted = keyed.groupBy(*KEY, "block").agg(
         F.min("ts_us").alias("first_ts"),
-        F.max(F.struct("ts_us", "pkt_id", "flag_close")).alias("last_pkt"),
-        F.max(F.when(F.col("from_a"), at)).alias("last_a"),
-        F.max(F.when(~F.col("from_a"), at)).alias("last_b"),
+        F.max(_packed(F.col("flag_close"))).alias("last_pkt"),
+        F.max(F.when(F.col("from_a"), _packed(F.lit(False)))).alias("last_a"),
+        F.max(F.when(~F.col("from_a"), _packed(F.lit(False)))).alias("last_b"),
     )
+    summary = counted.withColumns({"last_pkt": _unpacked(F.col("last_pkt")), "last_a": _at(F.col("last_a")), "last_b": _at(F.col("last_b"))})
     # Rows per key here are time span / block_us, whatever the number of packets.
     in_time = Window.partitionBy(*KEY).orderBy("block")
     before = in_time.rowsBetween(Window.unboundedPreceding, -1)

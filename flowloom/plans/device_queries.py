@@ -89,11 +89,12 @@ _VENDOR_SQL = "CASE lower(substr({0}, 1, 8)) " + " ".join(f"WHEN '{p}' THEN '{v}
 
 @query(
     "join_oui_vendor",
-    with_views("control_msgs", f"SELECT msg_id, {_VENDOR_SQL.format('src_mac')} AS vendor FROM control_msgs WHERE src_mac IS NOT NULL"),
+    with_views("control_msgs", f"SELECT msg_id, {_VENDOR_SQL.format('src_mac')} AS vendor FROM control_msgs"),
 )
 def join_oui_vendor(spark, sf_dir):
-    rows = messages(spark, sf_dir).where("src_mac IS NOT NULL")
-    return rows.select("msg_id", names.vendor_of(F.col("src_mac")).alias("vendor"))
+    """Rows without a MAC have no vendor."""
+    vendor = F.coalesce(names.vendor_of(F.col("src_mac")), F.lit(""))
+    return messages(spark, sf_dir).select("msg_id", vendor.alias("vendor"))
 
 
 # ---------------------------------------------------------------- registry
@@ -211,7 +212,7 @@ flows AS (SELECT ip_a AS src_ip, ip_b AS dst_ip, port_a AS sport, port_b AS dpor
 
 def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed flows under a stand-in score made from the flow's id."""
-    rows = flows.closed_flows(filters.tracked(packets(spark, sf_dir)), LIVE)
+    rows = flows.closed_flows(filters.tracked(packets(spark, sf_dir)), LIVE, iface=True)
     return rows.select(
         F.col("ip_a").alias("src_ip"), F.col("ip_b").alias("dst_ip"), F.col("port_a").alias("sport"), F.col("port_b").alias("dport"),
         "proto", "seg_id", F.col("last_us").alias("end_us"), "iface", F.expr(_SCORE).alias("score"),

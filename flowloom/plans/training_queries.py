@@ -108,14 +108,15 @@ def scan_csv_exclude(spark, sf_dir):
     return rows.select("Order", "Line", F.coalesce(clean.quoted("Label"), clean.quoted(" Label")).alias("Label"))
 
 
-@query("union_outer_columns", on_dirty(f"{_CSV_2017} UNION ALL {_CSV_2018}"))
+@query("union_outer_columns", on_dirty(f"{_CSV_2017} UNION ALL {_CSV_2018} UNION ALL {_CSV_FINAL}"))
 def union_outer_columns(spark, sf_dir):
     rows = dirty(spark, sf_dir).withColumn("part", F.expr(_SHARE))
     shared = {"Order": F.col("l_orderkey").cast("string"), "Line": F.col("l_linenumber").cast("string"), "Tot Fwd Pkts": F.col("tot_fwd_pkts"), "Flow Byts/s": F.col("flow_byts_s")}
     cells = [c.alias(n) for n, c in shared.items()]
     old = rows.where(F.col("part") == "Friday-2017.csv").select(*cells, F.col("syn_flag_cnt").alias("Fwd Header Len"), "Label")
     new = rows.where(F.col("part") == "Thursday-2018.csv").select(*cells, "Label")
-    return flow_csv.union_outer_columns(old, new)
+    final = rows.where(F.col("part") == "final_dataset.csv").select(cells[0], "Label")
+    return flow_csv.union_outer_columns(flow_csv.union_outer_columns(old, new), final)
 
 
 @query("write_flow_csv", on_dirty("SELECT l_orderkey, l_linenumber, tot_fwd_pkts, flow_byts_s, Label AS \"Label\" FROM dirty_flows"))
@@ -235,7 +236,7 @@ def fill_zero(spark, sf_dir):
 def feature_list(spark, sf_dir):
     df = dirty(spark, sf_dir).drop(*IDS)
     names = F.array(*[F.lit(c) for c in clean.feature_list(df)])
-    return df.select(F.posexplode(names).alias("pos", "name")).groupBy("name", "pos").agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.posexplode(names).alias("pos", "name"), "n_rows")
 
 
 @query(

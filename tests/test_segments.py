@@ -198,3 +198,11 @@ def test_plan_has_no_task_per_key(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
     assert set(KEY) <= set(df.columns)
+
+
+def test_both_aggregations_hash(spark):
+    """No packets are sorted to be aggregated: neither into blocks nor into flows."""
+    packets = filters.tracked(derive(spark, "/root/testdata/sf0.001", "packets"))
+    for df in (flows.flow_features(packets, LIVE_TWO_WAY), flows.closed_flows(packets, LIVE_TWO_WAY, iface=True)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
