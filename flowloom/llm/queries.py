@@ -67,4 +67,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours)}
-CHECKS: dict[str, str] = {}
+
+# All pairs that share a shingle, and all that their links reach.
+CHECKS = {
+    "op2_near_dedup": r"""
+WITH RECURSIVE words AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+ FROM documents),
+shingles AS (
+ SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+ FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+ SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+ SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+either AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT node, b FROM reached JOIN either ON other = a),
+classes AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN classes ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+}
