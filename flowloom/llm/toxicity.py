@@ -10,8 +10,8 @@ a class discounts it gives back in proportion to counts that both classes share.
 rare, or as frequent in one class as in the other, says nothing, and inflected words are known by their stems.
 
 A document's log-likelihoods under both models are divided by its number of words and compared, over all its
-words and over those alone that are much likelier in the toxic class (``STRONG``); a logistic curve over these
-differences, over the same divided by the root of the number, and over the log of the latter's sum, turns them into a
+words and over those alone that are much likelier in the toxic class (two limits, ``STRONG``); a logistic curve over these
+differences, over the same divided by the root of the number, and over the logs of the latter's sums, turns them into a
 score: a long text with few toxic words is so told from one where many words say little. Counts come from the labelled rows of folds 2 to 4, the curve from those of fold 1, where
 the fold is crc32(doc_id) mod 5; rows of fold 0 are never learnt from.
 
@@ -35,14 +35,14 @@ from flowloom.llm import tables, texts
 #: A beginning that differs less is not told apart from a shorter one.
 DEVIATIONS = 4.0
 #: Natural log of how much likelier.
-STRONG = 3.0
+STRONG = (2.0, 3.0)
 #: Beginnings in fewer documents than this cannot differ so much.
 LEAST = 5
 TRAIN_DOCS = 20_000
 DISCOUNT = 0.75
 FOLDS = 5
 _WORD_END = 3
-_MEASURED = ("n_words", "log_ratio", "strong_ratio")
+_MEASURED = ("n_words", "log_ratio", "strong_ratio", "stronger_ratio")
 U = np.uint64
 
 
@@ -126,21 +126,23 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def evidence(part: texts.Slice, model: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Columns by document: number of words, log P(text | toxic) - log P(text | ordinary), the same of strong words."""
+    """Columns by document: number of words, log P(text | toxic) - log P(text | ordinary), the same of strong words for each limit."""
     word, doc, so_far, _, _, owner = beginnings(part)
     hit, at = _found(model[0], so_far)
     where = np.flatnonzero(hit)
     by_word = np.zeros(owner[-1] + 1 if len(owner) else 0)
     by_word[owner[where]] = model[1][at[where]]  # of several, the last and longest stays
     by_token = by_word[word]
-    sums = [np.bincount(doc, w, minlength=part.rows) for w in (None, by_token, np.where(by_token > STRONG, by_token, 0))]
+    sums = [np.bincount(doc, w, minlength=part.rows) for w in (None, by_token, *(np.where(by_token > limit, by_token, 0) for limit in STRONG))]
     return np.stack(sums, axis=1).astype(float)
 
 
 def _features(found: np.ndarray) -> np.ndarray:
-    n, total, strong = np.maximum(found[:, 0], 1), found[:, 1], found[:, 2]
-    means = [20 * np.clip(total / n, -5, 5), np.clip(total / np.sqrt(n), -50, 50), 20 * np.clip(strong / n, 0, 5), np.clip(strong / np.sqrt(n), 0, 50)]
-    return np.stack([np.ones(len(n)), *means, np.log1p(strong)], axis=1)
+    n, total = np.maximum(found[:, 0], 1), found[:, 1]
+    columns = [np.ones(len(n)), 20 * np.clip(total / n, -5, 5), np.clip(total / np.sqrt(n), -50, 50)]
+    for strong in found[:, 2:].T:
+        columns += [20 * np.clip(strong / n, 0, 5), np.clip(strong / np.sqrt(n), 0, 50), np.log1p(strong)]
+    return np.stack(columns, axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -166,7 +168,7 @@ def _measure(model: tuple[np.ndarray, ...], weights: np.ndarray | None):
             if not found:
                 continue
             found = np.concatenate(found)
-            columns, names = [pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1]), pa.array(found[:, 2])], list(_MEASURED)
+            columns, names = [pa.array(found[:, 0].astype(np.int64)), *(pa.array(x) for x in found[:, 1:].T)], list(_MEASURED)
             if weights is not None:
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(_features(found) @ weights, -500, 500)))))
                 names.append("score")
@@ -178,7 +180,7 @@ def _measure(model: tuple[np.ndarray, ...], weights: np.ndarray | None):
 def _measured(docs: DataFrame, keep: list[str], model: tuple, weights: np.ndarray | None) -> DataFrame:
     df = docs.select(*keep, F.col("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-    return df.mapInArrow(_measure(model, weights), ", ".join([*fields, "n_words long, log_ratio double, strong_ratio double", *(["score double"] if weights is not None else [])]))
+    return df.mapInArrow(_measure(model, weights), ", ".join([*fields, "n_words long, log_ratio double, strong_ratio double, stronger_ratio double", *(["score double"] if weights is not None else [])]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS) -> tuple[tuple, np.ndarray]:
