@@ -323,8 +323,8 @@ def _cross(percent: int):
         for a, root, size, mine, sketch in zip(left["a"], left["root"], left["n"], left["own"], left["sketch"], strict=True):
             lo, hi = np.searchsorted(n, -(-size * percent // 100)), np.searchsorted(n, size * 100 // percent, side="right")
             both = size + n[lo:hi]
-            differing = both - 2 * -(-percent * both // (100 + percent))  # at most so many values in one set alone
-            at = lo + np.flatnonzero((roots[lo:hi] != root) & (mine + own[lo:hi] <= differing))
+            shared = -(-percent * both // (100 + percent))  # at least so many values in both sets
+            at = lo + np.flatnonzero((roots[lo:hi] != root) & ((mine <= size - shared) | (own[lo:hi] <= n[lo:hi] - shared)))
             if len(at):
                 at = at[_likely(np.frombuffer(sketch, np.uint32), [sketches[i] for i in at], size + n[at], percent)[1]]
                 out.append(np.stack([np.minimum(a, ids[at]), np.maximum(a, ids[at])], axis=1))
@@ -351,8 +351,10 @@ def _long_pairs(entries: DataFrame, sketches: DataFrame, roots: DataFrame, perce
 
     Lists of one pivot have mostly the same sets and become one. If all its sets are in one component nothing is
     left of it; others are cut into parts by hash, and each two parts meet in a task of their own. A set's retained values that
-    are in no long list are its ``own``: sets that have one of them in common met in its short list, so of two
-    sets that did not these values all differ.
+    are in no long list are its ``own``: sets that retain one of them in common met in its short list. Of two sets that
+    did not, the one whose last retained value comes first in the order has its own values alone: what the other set
+    holds of them it would retain too. The other's own values may lie beyond, and be shared. Which set comes first is
+    not known here, so a pair goes only if both sets have more own values than the similarity leaves to one alone.
     """
     own = entries.groupBy(F.col("a").alias("id")).agg(F.first("n").alias("n"), F.count("*").alias("listed"))
     own = own.select("id", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("listed")).cast("long").alias("own"))

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowloom.llm import graph, near_dedup
+from flowloom.llm import graph, near_dedup, texts
 from tests.llm import data
 
 
@@ -76,3 +78,17 @@ def test_components_of_a_path_and_a_star(spark):
     random.Random(1).shuffle(path)
     found = dict(map(tuple, graph.components(spark.createDataFrame(path, "a long, b long")).collect()))
     assert found == {i: 100 for i in range(101, 141)} | {x: 7 for x in range(8, 60)}
+
+
+def test_unequal_sets_at_the_threshold_that_meet_only_in_a_long_list(spark):
+    """All 144 words of one text among the 180 of another; the 36 others come first in the order of hashes."""
+    names = [f"w{i}" for i in range(6000)]
+    part = next(texts.slices(pa.array(names)))
+    owner, grams = near_dedup.shingle_sets(part, 1)
+    names = [names[i] for i in owner[np.argsort(grams)]]
+    more, both, rest = names[:36], names[36:180], names[180:]
+    rows = [data.row(1, " ".join(both)), data.row(2, " ".join(more + both))]
+    # 27 of the 29 values that the smaller set retains are in long lists, and one of those of the larger set
+    rows += [data.row(10 + i, " ".join(both[:27] + rest[105 * i : 105 * (i + 1)])) for i in range(40)]
+    found = near_dedup.linked(spark.createDataFrame(rows, data.SCHEMA), words_each=1).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == plain(rows, 1)
