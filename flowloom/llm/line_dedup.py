@@ -308,10 +308,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, found: DataFrame, edits: int = EDITS) -> DataFrame:
     """One row for each distinct line: ``line``, ``copies``, ``class_id``, ``first`` and ``class_first`` (the
-    smallest doc_id, text_hash and number where the line, or a line of its class, occurs), ``class_copies``."""
+    smallest doc_id, text_hash and number where the line, or a line of its class, occurs; a null doc_id is smaller than
+    others), ``class_copies``."""
     roots = graph.components(links(docs, edits)).select(F.col("node").alias("line"), "root")
-    lines = found.groupBy("line").agg(F.count("*").alias("copies"), F.min("doc_id").alias("d"), F.min_by(F.struct("text_hash", "number"), F.struct("doc_id", "text_hash", "number")).alias("t"))
-    lines = lines.select("line", "copies", F.struct("d", "t.text_hash", "t.number").alias("first"))
+    lines = found.groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").alias("d"), "text_hash", "number")).alias("first"))
     lines = lines.join(roots, "line", "left").withColumn("class_id", F.coalesce("root", "line")).drop("root")
     whole = lines.groupBy("class_id").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_copies"))
     return lines.join(whole, "class_id")

@@ -87,3 +87,14 @@ def test_texts_keep_first_lines(spark):
             expected[(r[0], text)] += 1
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == expected
     assert line_dedup.deduplicated(spark.createDataFrame([], data.SCHEMA)).count() == 0
+
+
+def test_first_occurrence_without_id(spark):
+    """A line shared by a row without id and another stays in the row without id."""
+    line = "one line of several words that two documents have"
+    rows = [data.row(7, f"{line}\nand a line of the document with an id"), data.row(None, f"a line before it in the other\n{line}"), data.row(9, line)]
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    left = {(r["doc_id"], r["text"]) for r in line_dedup.deduplicated(docs).collect()}
+    assert left == {(7, "and a line of the document with an id"), (None, f"a line before it in the other\n{line}")}
+    found = line_dedup.classes(docs, line_dedup.occurrences(docs)).filter("copies = 3").collect()
+    assert [(r["first"]["d"], r["first"]["number"]) for r in found] == [(None, 1)]
