@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat or nearly repeat an earlier one go; documents of which nothing is left go too."""
-    return line_dedup.deduplicated(docs)
+    return line_dedup.deduplicated(docs, words=line_dedup.EVERY)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near-equal lines by segment partition, and texts without their repeats.
 
-Lines (texts split at ``\\n``) of at least ``WORDS`` words are compared; shorter ones are too
-common to mean anything and stay. Two lines are near if ``EDITS`` or fewer insertions, deletions or
+Lines (texts split at ``\\n``) of at least ``words`` words are compared, by default ``WORDS``; shorter ones stay. With
+``EVERY``, as the query and the pipeline have it, these are all but blank lines, also those of scripts that
+put no spaces between words. Two lines are near if ``EDITS`` or fewer insertions, deletions or
 substitutions of bytes of their UTF-8 form turn one into the other; lines below ``EXACT_BELOW`` bytes are near only
 if they are equal. Classes are what links of near lines connect.
 
@@ -31,6 +32,8 @@ from flowloom.llm import graph, tables, texts
 
 EDITS = 2
 WORDS = 5
+#: For ``words``: every line that is not blank.
+EVERY = 1
 EXACT_BELOW = 32
 LONG = 2048
 #: Pairs looked at together in memory.
@@ -82,23 +85,26 @@ def trimmed_near(a: bytes, b: bytes, edits: int = EDITS) -> bool:
     return near(a[start : len(a) - stop], b[start : len(b) - stop], edits)
 
 
-def _lines(part: texts.Slice) -> tuple[np.ndarray, ...]:
+def _lines(part: texts.Slice, words: int) -> tuple[np.ndarray, ...]:
     """Start, end, document and number there of the lines that are compared, and their ids."""
     starts, ends, doc = part.lines()
     first = np.searchsorted(doc, np.arange(part.rows))
     number = np.arange(len(doc)) - first[doc]
     begins, _ = part.words()
-    enough = np.searchsorted(begins, ends) - np.searchsorted(begins, starts) >= WORDS
+    enough = np.searchsorted(begins, ends) - np.searchsorted(begins, starts) >= words
     starts, ends = starts[enough], ends[enough]
     return starts, ends, doc[enough], number[enough], texts.hash_runs(part.data, starts, ends) & ~U(1)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in texts.slices(batch.column(2)):
-            _, _, doc, number, ids = _lines(part)
-            at = pa.array(doc + part.first)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number), pa.array(ids.view(np.int64))], names=["doc_id", "text_hash", "number", "line"])
+def _occurrences(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts.slices(batch.column(2)):
+                _, _, doc, number, ids = _lines(part, words)
+                at = pa.array(doc + part.first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number), pa.array(ids.view(np.int64))], names=["doc_id", "text_hash", "number", "line"])
+
+    return run
 
 
 def _bins(part: texts.Slice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -117,7 +123,7 @@ def _segments(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray,
     return each * number + late, each + (number >= edits + 1 - more)
 
 
-def _entries(edits: int):
+def _entries(edits: int, words: int):
     def keys(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, number: int) -> np.ndarray:
         content = (sums[start + size] - sums[start]) * inverse[start]
         return texts.hash_ngrams([content, length.astype(U) * U(16) + U(number)])
@@ -126,7 +132,7 @@ def _entries(edits: int):
         seen = np.zeros(0, U)
         for batch in batches:
             for part in texts.slices(batch.column(0), texts.SLICE // 2):
-                starts, ends, _, _, ids = _lines(part)
+                starts, ends, _, _, ids = _lines(part, words)
                 kinds, first = np.unique(ids, return_index=True)
                 first = first[(ends - starts)[first] >= EXACT_BELOW]
                 first = first[~np.isin(ids[first], seen)]
@@ -265,13 +271,16 @@ def _long_pairs(entries: DataFrame, edits: int) -> DataFrame:
     return met.groupBy("key", "high", "low").applyInPandas(_met_in_parts(edits), "a long, b long")
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in texts.slices(batch.column(0)):
-            starts, ends, _, _, ids = _lines(part)
-            _, first = np.unique(ids, return_index=True)
-            data = part.data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first].view(np.int64)), pa.array([data[s:e] for s, e in zip(starts[first], ends[first], strict=True)], pa.binary())], names=["line", "bytes"])
+def _line_texts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts.slices(batch.column(0)):
+                starts, ends, _, _, ids = _lines(part, words)
+                _, first = np.unique(ids, return_index=True)
+                data = part.data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first].view(np.int64)), pa.array([data[s:e] for s, e in zip(starts[first], ends[first], strict=True)], pa.binary())], names=["line", "bytes"])
+
+    return run
 
 
 def _verify(edits: int):
@@ -283,34 +292,34 @@ def _verify(edits: int):
     return run
 
 
-def links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def links(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
     """All pairs ``a < b`` of ids of different lines within so many edits."""
-    entries = docs.select("text").mapInArrow(_entries(edits), "key long, entry long, bins long")
+    entries = docs.select("text").mapInArrow(_entries(edits, words), "key long, entry long, bins long")
     ordered = entries.repartition("key").sortWithinPartitions("key")
     found = tables.kept(ordered.mapInArrow(_pairs(edits), "a long, b long, key long, bins long"), "line-pairs")
     short = found.filter("key IS NULL").select("a", "b")
     long = _long_pairs(found.filter("key IS NOT NULL").select("key", F.col("a").alias("entry"), "bins"), edits)
     pairs = tables.kept(short.unionByName(long).distinct(), "line-pairs")
     needed = tables.kept(pairs.select(F.col("a").alias("line")).distinct().unionByName(pairs.select(F.col("b").alias("line")).distinct()).distinct(), "needed")
-    lines = docs.select("text").mapInArrow(_line_texts, "line long, bytes binary").join(tables.hinted(needed, 1_000_000), "line").dropDuplicates(["line"])
+    lines = docs.select("text").mapInArrow(_line_texts(words), "line long, bytes binary").join(tables.hinted(needed, 1_000_000), "line").dropDuplicates(["line"])
     lines = tables.kept(lines, "line-texts")
     x = lines.select(F.col("line").alias("a"), F.col("bytes").alias("x"))
     y = lines.select(F.col("line").alias("b"), F.col("bytes").alias("y"))
     return tables.kept(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(edits), "a long, b long"), "line-links")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``text_hash``, ``number`` and ``line`` (id) of all lines that are compared."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_occurrences, f"doc_id {id_type}, text_hash long, number long, line long")
+    return rows.mapInArrow(_occurrences(words), f"doc_id {id_type}, text_hash long, number long, line long")
 
 
-def classes(docs: DataFrame, found: DataFrame, edits: int = EDITS) -> DataFrame:
+def classes(docs: DataFrame, found: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
     """One row for each distinct line: ``line``, ``copies``, ``class_id``, ``first`` and ``class_first`` (the
     smallest doc_id, text_hash and number where the line, or a line of its class, occurs; a null doc_id is smaller than
     others), ``class_copies``."""
-    roots = graph.components(links(docs, edits)).select(F.col("node").alias("line"), "root")
+    roots = graph.components(links(docs, edits, words)).select(F.col("node").alias("line"), "root")
     lines = found.groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").alias("d"), "text_hash", "number")).alias("first"))
     lines = lines.join(roots, "line", "left").withColumn("class_id", F.coalesce("root", "line")).drop("root")
     whole = lines.groupBy("class_id").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_copies"))
@@ -332,10 +341,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
     """The documents, each line only where it or a near one occurs first; texts of which nothing is left go."""
-    found = tables.kept(occurrences(docs), "lines")
-    repeated = classes(docs, found, edits).filter("class_copies > 1").select("line", "class_first")
+    found = tables.kept(occurrences(docs, words), "lines")
+    repeated = classes(docs, found, edits, words).filter("class_copies > 1").select("line", "class_first")
     again = found.join(repeated, "line").filter(F.struct(F.col("doc_id").alias("d"), "text_hash", "number") != F.col("class_first"))
     drops = again.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("number").alias("__drop"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").drop("__doc", "__hash")

@@ -29,9 +29,9 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each distinct line of ``documents`` that is compared."""
+    """One row for each distinct line of ``documents`` that is not blank."""
     docs = documents(spark, sf_dir)
-    found = line_dedup.classes(docs, tables.kept(line_dedup.occurrences(docs), "lines"))
+    found = line_dedup.classes(docs, tables.kept(line_dedup.occurrences(docs, line_dedup.EVERY), "lines"), words=line_dedup.EVERY)
     kept = F.col("first") == F.col("class_first")
     return found.select("line", "copies", "class_id", F.col("first.d").alias("first_doc"), F.col("first.number").alias("first_number"), kept.alias("kept"))
 

@@ -3,7 +3,8 @@ from collections import Counter
 
 import pytest
 
-from flowloom.llm import line_dedup
+import corpus_pipeline
+from flowloom.llm import line_dedup, queries
 from tests.llm import data
 
 
@@ -98,3 +99,16 @@ def test_first_occurrence_without_id(spark):
     assert left == {(7, "and a line of the document with an id"), (None, f"a line before it in the other\n{line}")}
     found = line_dedup.classes(docs, line_dedup.occurrences(docs)).filter("copies = 3").collect()
     assert [(r["first"]["d"], r["first"]["number"]) for r in found] == [(None, 1)]
+
+
+def test_every_line_in_query_and_pipeline(spark, tmp_path):
+    """Few words, and none between spaces: equal lines are repeats, near ones of 32 bytes and more too."""
+    chinese = "这一行没有空格所以只算一个词但是它很长"
+    texts = ["yes\n" + chinese + "\nno more", " \nyes\nfirst of its kind", chinese + "x\n \nyes ", "short\n\nshort\nshorn"]
+    docs = spark.createDataFrame([data.row(i, x) for i, x in enumerate(texts)], data.SCHEMA)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert left == {0: texts[0], 1: " \nfirst of its kind", 2: " \nyes ", 3: "short\n\nshorn"}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_line_dedup(spark, str(tmp_path)).collect()
+    assert len(found) == len({line for x in texts for line in x.split("\n") if line.strip()})
+    assert Counter(r["copies"] for r in found) == {1: 6, 2: 2} and sum(not r["kept"] for r in found) == 1
