@@ -2,12 +2,12 @@
 
 Every whole text is scanned for three kinds of secrets. Then its encoded parts are unwrapped:
 URL escapes, Unicode and HTML escapes, base64, and gzip or zlib data inside base64. Each result
-is a new layer that is scanned and unwrapped in turn, until no new layer appears; a layer with
-a digest seen before is not looked at again, so that texts that decode to each other end. Every
-character of a layer knows which part of the text it came from, and spans are given in the text.
+is a new layer that is scanned and unwrapped in turn, until no new layer appears. Every character of a
+layer knows which part of the text it came from, and spans are given in the text. A layer with the digest of one
+that came from the same parts of the text is not looked at again, so that texts that decode to each other end;
+equal layers from different places are each looked at, with the secrets of their text found once.
 
-``assign`` and ``access`` are looked for in every layer; runs of hex digits only where the text
-itself shows them or escapes hid them, since decoded bytes are not written as hex by chance.
+All three kinds are looked for in every layer.
 One decompressed layer is read up to ``INFLATE`` bytes, against data made to exhaust memory; a layer that is
 longer counts in ``cut_layers``.
 
@@ -23,7 +23,9 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -141,6 +143,17 @@ def _may_decode(text: str) -> bool:
     return _ESCAPED.search(text) is not None or _BASE64.search(text) is not None
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _place(where: Spans) -> tuple[int, int] | bytes:
+    """What tells mappings apart. Spans never go back, so a mapping with equal ends is one span throughout."""
+    if where[0] == where[-1]:
+        return where[0]
+    return hashlib.sha256(np.fromiter(chain.from_iterable(where), np.int64, 2 * len(where))).digest()
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Secrets of the text itself, secrets that only decoding shows (in spans of the text), and cut layers."""
     base = matches(text)
@@ -148,20 +161,25 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     cut_layers = 0
     if not _may_decode(text):
         return base, [], 0
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    seen: set[tuple[bytes, tuple[int, int] | bytes]] = set()
+    known: dict[bytes, list[tuple[int, int, int]]] = {}
     work: deque[tuple[str, Spans | None]] = deque([(text, None)])
     while work:
         layer, at = work.popleft()
-        children = [(*x, False, True) for x in [_unescape(layer, at)] if x] + [(*x, False) for x in _unwrap(layer, at)]
-        for chars, where, cut, escaped in children:
-            digest = hashlib.sha256(chars.encode("utf-8", "surrogatepass")).digest()
-            if not chars or digest in seen:
+        children = chain(((*x, False) for x in [_unescape(layer, at)] if x), _unwrap(layer, at))
+        for chars, where, cut in children:
+            if not chars:
+                continue
+            digest = _digest(chars)
+            key = (digest, _place(where))
+            if key in seen:
                 continue
-            seen.add(digest)
+            seen.add(key)
             cut_layers += cut
-            for start, end, kind in matches(chars):
-                if kind != 2 or escaped:
-                    found.add((where[start][0], where[end - 1][1], kind))
+            if digest not in known:
+                known[digest] = matches(chars)
+            for start, end, kind in known[digest]:
+                found.add((where[start][0], where[end - 1][1], kind))
             work.append((chars, where))
     return base, sorted(found - set(base)), cut_layers
 

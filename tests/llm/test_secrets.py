@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 from urllib.parse import quote
 
 from flowloom.llm import secrets
@@ -37,6 +38,23 @@ def test_nested_layers_and_fixpoint():
     assert spans("%25" * 50)[1] == [] and spans("%2525252525")[1] == []
 
 
+def test_every_place_of_a_repeated_layer():
+    for inner in (KEY, quote(KEY, safe=""), base64.b64encode(KEY.encode()).decode()):
+        for wrapped in (base64.b64encode(inner.encode()).decode(), base64.b64encode(gzip.compress(inner.encode(), mtime=0)).decode()):
+            text = f"one {wrapped} two {wrapped} three"
+            second = 9 + len(wrapped)
+            more = [(s, e) for s, e, k in spans(text)[1] if k == 0]
+            assert len(more) == 2 and more[0][0] >= 4 and more[0][1] <= 4 + len(wrapped), inner
+            assert more[1] == (more[0][0] + second - 4, more[0][1] + second - 4), inner
+
+
+def test_hex_in_every_layer():
+    digits = "0123456789abcdef01"
+    for raw in (digits.encode(), gzip.compress(digits.encode(), mtime=0), zlib.compress(f"key {digits}".encode())):
+        wrapped = base64.b64encode(b"<" + raw + b">" if raw == digits.encode() else raw).decode()
+        assert [k for _, _, k in spans(f"x {wrapped} y")[1]] == [2]
+
+
 def test_query_rows(spark):
     rows = data.odd_rows() + [data.row(400, KEY)]
     found = secrets.scanned(spark.createDataFrame(rows, data.SCHEMA)).collect()
