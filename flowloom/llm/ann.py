@@ -128,7 +128,8 @@ def build(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width:
 
 def _search(k: int, largest: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        shard, queries = frame[~frame["asks"]], frame[frame["asks"]]
+        # rows come as the shuffle delivers them; in order of id, members of a node are too
+        shard, queries = frame[~frame["asks"]].sort_values("vec_id", kind="stable"), frame[frame["asks"]]
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if len(shard) == 0 or len(queries) == 0:
             return empty

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,22 @@ def test_few_rows(spark):
     assert [tuple(r) for r in ann.nearest(three, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 2, 0.9), (0, 2, 1, 0.5)]
     assert ann.nearest(three.limit(0), F.lit(True)).count() == 0
     assert ann.nearest(three.limit(1), F.lit(True)).count() == 0
+
+
+def test_smallest_ids_of_equal_vectors_in_any_order():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x[:40] = 3 * x[0]
+    order = rng.permutation(60)
+    rows = pd.DataFrame({"vec_id": order, "embedding": [x[i] for i in order], "asks": False})
+    query = pd.DataFrame({"vec_id": [0], "embedding": [x[0]], "asks": [True]})
+    found = ann._search(20, float(np.sqrt(np.square(x).sum(axis=1).max())))(pd.concat([rows, query], ignore_index=True))
+    assert found.vec_id.tolist() == list(range(1, 21))
+
+
+def test_smallest_ids_of_equal_vectors_in_a_shuffled_table(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(i, [0.1, 0.0]) for i in range(400, 440)]
+    np.random.default_rng(6).shuffle(rows)
+    table = spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(7)
+    found = ann.nearest(table, F.col("vec_id") == 40).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == list(range(20))
