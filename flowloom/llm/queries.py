@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import ann, language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
+from flowloom.llm import ann, language_model, line_dedup, merkle, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
 from flowloom.llm.tables import documents
 
 
@@ -66,7 +66,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours)}
+def manifest_rows(docs: DataFrame) -> DataFrame:
+    """Leaf, roots and proof digest of each document, and whether the proof of its leaf, tampered with for a seventh of the ids, leads to the root."""
+    touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+
+    def leaf(n_chars):
+        return merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+
+    keep = {"doc_id": F.col("doc_id"), "shown": F.when(touched == 1, leaf(F.col("n_chars") + 1))}
+    found = merkle.manifest(docs, leaf(F.col("n_chars")), F.col("lang"), F.col("doc_id"), keep)
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("shown", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_rows(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours, op13_merkle_manifest)}
 
 # All pairs that share a shingle, and all that their links reach.
 CHECKS = {
@@ -87,4 +104,43 @@ reached AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT n
 classes AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN classes ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE pieces AS (
+ SELECT *, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS p,
+  [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR), text] AS q
+ FROM (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, b: xor(x >> 1, (x & 1) * 3988292384)))) AS crc FROM documents)),
+hashed AS (
+ SELECT doc_id, lang,
+  sha256(array_to_string(list_transform(p, lambda v: coalesce(CAST(strlen(v) AS VARCHAR) || ':' || v, '-')), '')) AS leaf,
+  sha256(array_to_string(list_transform(q, lambda v: coalesce(CAST(strlen(v) AS VARCHAR) || ':' || v, '-')), '')) AS shown
+ FROM pieces),
+leaves AS (
+ SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+levels AS (
+ SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM leaves GROUP BY lang
+ UNION ALL
+ SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], ''))) FROM levels WHERE len(nodes) > 1),
+tops AS (
+ SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, max(level) OVER () + 1 AS base FROM levels WHERE len(nodes) = 1),
+over_levels AS (
+ SELECT 0 AS level, list(subroot ORDER BY j) AS nodes FROM tops HAVING count(*) > 0
+ UNION ALL
+ SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], ''))) FROM over_levels WHERE len(nodes) > 1),
+steps AS (
+ SELECT doc_id, leaf, shown, level, (i >> level) & 1 AS side, coalesce(nodes[xor(i >> level, 1) + 1], '') AS near
+ FROM leaves JOIN levels ON leaves.lang IS NOT DISTINCT FROM levels.lang WHERE len(nodes) > 1
+ UNION ALL
+ SELECT doc_id, leaf, shown, base + level, (j >> level) & 1, coalesce(nodes[xor(j >> level, 1) + 1], '')
+ FROM leaves JOIN tops ON leaves.lang IS NOT DISTINCT FROM tops.lang, over_levels WHERE len(nodes) > 1),
+proofs AS (
+ SELECT doc_id, leaf, shown, list({'side': side, 'near': near} ORDER BY level) AS proof FROM steps GROUP BY ALL),
+folds AS (
+ SELECT doc_id, leaf, proof, 0 AS k, shown AS h FROM proofs
+ UNION ALL
+ SELECT doc_id, leaf, proof, k + 1, sha256(CASE WHEN proof[k + 1].side = 1 THEN proof[k + 1].near || h ELSE h || proof[k + 1].near END) FROM folds WHERE k < len(proof)),
+ends AS (SELECT doc_id, leaf, h, sha256(array_to_string(list_transform(proof, lambda s: s.near), '')) AS proof_sha256 FROM folds WHERE k = len(proof))
+SELECT l.doc_id, l.leaf, subroot, (SELECT nodes[1] FROM over_levels WHERE len(nodes) = 1) AS root, proof_sha256, h AS folded_root,
+ h = (SELECT nodes[1] FROM over_levels WHERE len(nodes) = 1) AS verified
+FROM leaves l JOIN tops ON l.lang IS NOT DISTINCT FROM tops.lang JOIN ends e ON e.doc_id IS NOT DISTINCT FROM l.doc_id AND e.leaf = l.leaf""",
 }
