@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import ann, language_model, line_dedup, merkle, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
+from flowloom.llm import ann, codes, language_model, line_dedup, merkle, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
 from flowloom.llm.tables import documents
 
 
@@ -66,6 +66,15 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def vector_codes(vectors: DataFrame) -> DataFrame:
+    found, books = codes.compressed(vectors, F.col("vec_id"), F.col("embedding"), F.col("label"))
+    return found.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def manifest_rows(docs: DataFrame) -> DataFrame:
     """Leaf, roots and proof digest of each document, and whether the proof of its leaf, tampered with for a seventh of the ids, leads to the root."""
     touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
@@ -83,7 +92,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_rows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours, op11_vector_codes, op13_merkle_manifest)}
 
 # All pairs that share a shingle, and all that their links reach.
 CHECKS = {
@@ -104,6 +113,37 @@ reached AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT n
 classes AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN classes ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+    # every part against every entry of its codebook, three times
+    "op11_vector_codes": r"""
+WITH kept AS (
+ SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+ FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM kept, unnest(range(0, 16)) u(p)),
+book0 AS (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY r) - 1 AS e FROM parts WHERE vec_id IS NOT NULL) WHERE e < 64),
+near0 AS (
+ SELECT r, p, v, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d
+ FROM (SELECT r, x.p, x.v, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT AS d
+  FROM parts x JOIN book0 b ON b.p = x.p) GROUP BY r, p, v),
+means0 AS (
+ SELECT p, e, list(m ORDER BY j) AS v
+ FROM (SELECT p, e, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS m FROM near0, unnest(range(1, len(v) + 1)) u(j) GROUP BY p, e, j) GROUP BY p, e),
+book1 AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book0 b LEFT JOIN means0 m ON m.p = b.p AND m.e = b.e),
+near1 AS (
+ SELECT r, p, v, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d
+ FROM (SELECT r, x.p, x.v, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT AS d
+  FROM parts x JOIN book1 b ON b.p = x.p) GROUP BY r, p, v),
+means1 AS (
+ SELECT p, e, list(m ORDER BY j) AS v
+ FROM (SELECT p, e, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS m FROM near1, unnest(range(1, len(v) + 1)) u(j) GROUP BY p, e, j) GROUP BY p, e),
+book2 AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book1 b LEFT JOIN means1 m ON m.p = b.p AND m.e = b.e),
+near2 AS (
+ SELECT r, p, v, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d
+ FROM (SELECT r, x.p, x.v, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT AS d
+  FROM parts x JOIN book2 b ON b.p = x.p) GROUP BY r, p, v),
+coded AS (SELECT r, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books""",
     "op13_merkle_manifest": r"""
 WITH RECURSIVE pieces AS (
  SELECT *, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS p,
