@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import ann, codes, language_model, line_dedup, merkle, mixing, near_dedup, packing, quality, secrets, sharding, tables, toxicity
+from flowloom.llm import ann, codes, language_model, line_dedup, merkle, mixing, near_dedup, packing, quality, rules, secrets, sharding, tables, toxicity
 from flowloom.llm.tables import documents
 
 
@@ -75,6 +75,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    ensemble = rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out), F.col("quality") == 1)
+    found = rules.scored(docs, ensemble, {"doc_id": F.col("doc_id"), "held_out": held_out})
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def manifest_rows(docs: DataFrame) -> DataFrame:
     """Leaf, roots and proof digest of each document, and whether the proof of its leaf, tampered with for a seventh of the ids, leads to the root."""
     touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
@@ -92,7 +100,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_rows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours, op11_vector_codes, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_language_model, op4_line_dedup, op5_sharding, op6_mixing, op7_secret_scans, op8_quality_rules, op9_packing, op10_nearest_neighbours, op11_vector_codes, op12_quality_classifier, op13_merkle_manifest)}
 
 # All pairs that share a shingle, and all that their links reach.
 CHECKS = {

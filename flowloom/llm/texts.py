@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 22
+CHUNK = 1 << 18
 U = np.uint64
 
 _SPACE = np.zeros(256, bool)
@@ -44,19 +45,36 @@ def _places(n: int) -> np.ndarray:
     return _PLACES
 
 
+def _place_range(first: int, last: int) -> np.ndarray:
+    """The random numbers of the places from ``first`` up to ``last``, for places that no table is kept of."""
+    return mix(np.arange(first + 1, last + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each ``data[start:end]``; runs may be empty and must not overlap."""
+    """A hash for each ``data[start:end]``; runs may be empty and must not overlap.
+
+    Works on about ``CHUNK`` bytes at a time, so that memory follows neither the slice nor the longest run.
+    """
     out = np.zeros(len(starts), U)
     lengths = ends - starts
-    full = np.flatnonzero(lengths)
-    if len(full) == 0:
-        return out
-    lengths, first = lengths[full], starts[full]
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(begin, lengths)
-    at = place + np.repeat(first, lengths)
-    products = (data[at].astype(U) + U(1)) * _places(int(lengths.max()))[place]
-    out[full] = mix(np.add.reduceat(products, begin))
+    for i in np.flatnonzero(lengths > CHUNK):
+        total = np.zeros(1, U)
+        for at in range(0, int(lengths[i]), CHUNK):
+            piece = data[starts[i] + at : min(starts[i] + at + CHUNK, ends[i])]
+            total = total + ((piece.astype(U) + U(1)) * _place_range(at, at + len(piece))).sum(dtype=U)
+        out[i] = mix(total)[0]
+    full = np.flatnonzero((lengths > 0) & (lengths <= CHUNK))
+    upto = np.cumsum(lengths[full])
+    done = 0
+    while done < len(full):
+        last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + CHUNK, side="right")))
+        some = full[done:last]
+        size, first = lengths[some], starts[some]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(begin, size)
+        products = (data[place + np.repeat(first, size)].astype(U) + U(1)) * _places(int(size.max()))[place]
+        out[some] = mix(np.add.reduceat(products, begin))
+        done = last
     return out
 
 
