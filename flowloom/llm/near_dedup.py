@@ -17,7 +17,8 @@ whatever their hash, so that a common passage makes no long lists; any order tha
    between different components. So every link that could join two components is looked at, while copies
    of one text cost a number of pairs that grows with their number.
 
-Null, empty and blank texts have no set and are linked with nothing. Repeated rows are copies. Two sets
+Null, empty and blank texts have no set and are linked with nothing. Repeated rows are copies. Documents without id link
+like others; a class has the smallest id that there is, null if there is none. Two sets
 share a 64-bit ``set_id`` by chance once in 10**19 pairs.
 """
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,43 +86,59 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 _SETS = "doc_id {id}, set_id long, n long, sketch binary, value long, times long"
+#: Bytes of text whose shingles a task works out at a time, and values that it counts at a time.
+SLICE = 1 << 20
+WINDOW = 1 << 21
 
 
 def _sets(words_each: int):
+    names = ["doc_id", "set_id", "n", "sketch", "value", "times"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        kind = pa.null()
+
+        def repeats() -> pa.RecordBatch:
+            values, times = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            values, times = values[times > 1], times[times > 1]
+            n = len(values)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), _longs(values), _longs(times)], names=names)
+
         for batch in batches:
-            for part in texts.slices(batch.column(1), 4 * texts.SLICE):
+            kind = batch.column(0).type
+            for part in texts.slices(batch.column(1), SLICE):
                 owner, grams = shingle_sets(part, words_each)
                 sizes, ids = _set_ids(owner, grams, part.rows)
                 begin = np.cumsum(sizes) - sizes
                 halves = (grams >> U(32)).astype(np.uint32)
                 sketches = [halves[b : b + min(s, SKETCH)].tobytes() for b, s in zip(begin, sizes, strict=True)]
-                docs = batch.column(0).slice(part.first, part.rows)
                 n = part.rows
-                yield pa.RecordBatch.from_arrays([docs, _longs(ids), _longs(sizes), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "set_id", "n", "sketch", "value", "times"])
-                # values in several different sets of this slice
-                _, kinds = np.unique(ids, return_index=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, n), _longs(ids), _longs(sizes), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                # values in several different sets
                 once = np.zeros(n, bool)
-                once[kinds] = True
-                values, times = np.unique(grams[once[owner]], return_counts=True)
-                values, times = values[times > 1], times[times > 1]
-                n = len(values)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, docs.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), _longs(values), _longs(times)], names=["doc_id", "set_id", "n", "sketch", "value", "times"])
+                once[np.unique(ids, return_index=True)[1]] = True
+                waiting.append(grams[once[owner]])
+                if sum(map(len, waiting)) >= WINDOW:
+                    yield repeats()
+        if waiting:
+            yield repeats()
 
     return run
 
 
-def _retained(words_each: int, percent: int, common: np.ndarray):
+def _retained(words_each: int, percent: int, shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, U)
+        seen: set[int] = set()
+        common = shared.value
         for batch in batches:
-            for part in texts.slices(batch.column(0), 2 * texts.SLICE):
+            for part in texts.slices(batch.column(0), SLICE):
                 owner, grams = shingle_sets(part, words_each)
                 sizes, ids = _set_ids(owner, grams, part.rows)
                 # a set that this task has given out already needs no second time
                 kinds, first = np.unique(ids, return_index=True)
-                first = first[~np.isin(kinds, seen) & (sizes[first] > 0)]
-                seen = np.union1d(seen, ids[first])
+                first = first[np.fromiter((k not in seen for k in kinds.tolist()), bool, len(kinds)) & (sizes[first] > 0)]
+                seen.update(ids[first].tolist())
                 wanted = np.zeros(part.rows, bool)
                 wanted[first] = True
                 use = wanted[owner]
@@ -193,6 +211,10 @@ def _lists(percent: int):
             columns = tuple(record.column(i).to_numpy() for i in range(5))
             if rest is not None:
                 columns = tuple(np.concatenate(x) for x in zip(rest, columns, strict=True))
+            # tasks that hold copies of one text give out the same entries, which stand side by side
+            again = np.zeros(len(columns[0]), bool)
+            again[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[2][1:] == columns[2][:-1])
+            columns = tuple(x[~again] for x in columns)
             if len(columns[0]) == 0:
                 continue
             # the last list may go on in the next batch
@@ -245,7 +267,7 @@ def _estimate(percent: int):
 def _full(words_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in texts.slices(batch.column(0)):
+            for part in texts.slices(batch.column(0), SLICE):
                 owner, grams = shingle_sets(part, words_each)
                 sizes, ids = _set_ids(owner, grams, part.rows)
                 begin = np.cumsum(sizes) - sizes
@@ -280,7 +302,8 @@ class _Search:
     def lists(self) -> DataFrame:
         often = self.repeats.groupBy("value").agg(F.sum("times").alias("times")).filter(F.col("times") >= OFTEN)
         common = np.sort(often.orderBy(F.desc("times"), "value").limit(COMMON).select("value").toPandas()["value"].to_numpy(np.int64).view(U))
-        entries = self.docs.select("text").mapInArrow(_retained(self.words_each, self.percent, common), "value long, set_id long, n int, share int, late boolean")
+        shared = self.docs.sparkSession.sparkContext.broadcast(common)
+        entries = self.docs.select("text").mapInArrow(_retained(self.words_each, self.percent, shared), "value long, set_id long, n int, share int, late boolean")
         # lists of very common values are dealt to several tasks, and count as long in each
         salt = F.when(F.col("late"), F.pmod("set_id", F.lit(16))).otherwise(-1)
         dealt = entries.select("value", salt.cast("int").alias("salt"), "set_id", "n", "share").repartition("value", "salt")
@@ -295,9 +318,16 @@ class _Search:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (stored) whose whole sets are similar enough."""
         needed = pairs.select(F.col("a").alias("set_id")).distinct().unionByName(pairs.select(F.col("b").alias("set_id")).distinct()).distinct()
-        rows = tables.kept(self.sets.join(needed, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "needed")
-        full = self.docs.join(tables.hinted(rows, 1_000_000), "doc_id").select("text").mapInArrow(_full(self.words_each), "id long, grams binary").dropDuplicates(["id"])
-        full = tables.kept(full, "full-sets")
+        rows = tables.kept(self.sets.join(needed, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "needed")
+        whole = self.docs.join(tables.hinted(rows.select("doc_id").filter("doc_id IS NOT NULL"), 1_000_000), "doc_id").select("text")
+        unnamed = rows.filter("doc_id IS NULL").select(F.col("set_id").alias("id"))
+        schema = "id long, grams binary"
+        full = whole.mapInArrow(_full(self.words_each), schema)
+        if unnamed.take(1):
+            # sets of which no row has an id are looked for in all texts without id
+            without = self.docs.filter("doc_id IS NULL").select("text").mapInArrow(_full(self.words_each), schema)
+            full = full.unionByName(without.join(unnamed, "id", "left_semi"))
+        full = tables.kept(full.dropDuplicates(["id"]), "full-sets")
         x = full.select(F.col("id").alias("a"), F.col("grams").alias("x"))
         y = full.select(F.col("id").alias("b"), F.col("grams").alias("y"))
         return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_exact(self.percent), "a long, b long")
@@ -370,8 +400,8 @@ def _long_pairs(entries: DataFrame, sketches: DataFrame, roots: DataFrame, perce
     return met.groupBy("pivot", "high", "low").applyInPandas(_cross(percent), "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id of its class."""
+def _classed(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """For each document ``doc_id``, ``set_id``, ``n``, ``class`` and the smallest doc_id of the class; without words the class is null."""
     search = _Search(docs, words_each, percent)
     found = tables.kept(search.lists().mapInArrow(_lists(percent), "a long, b long, value long, n int, share int"), "lists")
     entries = found.filter("b IS NULL").select("a", "value", "n", "share")
@@ -387,18 +417,46 @@ def linked(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame
     roots = joined(roots, _long_pairs(entries, search.sketches, roots, percent))
 
     members = search.sets.select("doc_id", "set_id", "n").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-    members = members.withColumn("class", F.coalesce("root", "set_id"))
+    members = members.withColumn("class", F.coalesce("root", "set_id")).drop("root")
     names = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    classed = members.filter("n > 0").join(names, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return classed.unionByName(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    empty = members.filter("n = 0").withColumn("class", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return members.filter("n > 0").join(names, "class").unionByName(empty)
+
+
+def linked(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id of its class."""
+    return _classed(docs, words_each, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_set(words_each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_set_ids(*shingle_sets(part, words_each), part.rows) for part in texts.slices(batch.column(batch.num_columns - 1), SLICE)]
+            if found:
+                sizes, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _longs(ids), _longs(sizes)], names=[*batch.schema.names[:-1], "set_of_row", "size_of_set"])
+
+    return run
+
+
+def _unnamed(docs: DataFrame, found: DataFrame, words_each: int) -> DataFrame:
+    """Of the documents without id those that stay: without words, or the first of a class in which no document has an id."""
+    rows = docs.filter("doc_id IS NULL").select(F.struct(*docs.columns).alias("row"), "text")
+    rows = rows.mapInArrow(_with_set(words_each), f"row {rows.schema['row'].dataType.simpleString()}, set_of_row long, size_of_set long")
+    classes = found.filter("class IS NOT NULL AND component_id IS NULL").select(F.col("set_id").alias("set_of_row"), "class").distinct()
+    first = rows.filter("size_of_set > 0").join(classes, "set_of_row").dropDuplicates(["class"])
+    return first.select("row.*").unionByName(rows.filter("size_of_set = 0").select("row.*"))
 
 
 def deduplicated(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that have another of their class with a smaller id; of rows with one id, one stays."""
-    found = tables.kept(linked(docs, words_each, percent), "classes")
+    """The documents without those that have another of their class with a smaller id; of rows with one id, one stays,
+    and of a class without any id one document."""
+    found = tables.kept(_classed(docs, words_each, percent), "classes")
     gone = tables.kept(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     left = docs.join(tables.hinted(gone, 1_000_000), "doc_id", "left_anti")
-    ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if ids[0] == ids[1]:
+    rows, named, ids = found.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if named == ids == rows:
         return left
-    return left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    once = left.filter("doc_id IS NOT NULL")
+    once = once if named == ids else once.dropDuplicates(["doc_id"])
+    return once if named == rows else once.unionByName(_unnamed(docs, found, words_each))

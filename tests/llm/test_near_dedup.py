@@ -92,3 +92,42 @@ def test_unequal_sets_at_the_threshold_that_meet_only_in_a_long_list(spark):
     rows += [data.row(10 + i, " ".join(both[:27] + rest[105 * i : 105 * (i + 1)])) for i in range(40)]
     found = near_dedup.linked(spark.createDataFrame(rows, data.SCHEMA), words_each=1).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == plain(rows, 1)
+
+
+def test_documents_without_id_link_like_others(spark):
+    rng = random.Random(12)
+    near = [data.prose(rng, 100) for _ in range(3)]
+    rows = [data.row(None, near[0]), data.row(1, near[0] + " tail"), data.row(None, near[1]), data.row(None, near[1] + " tail"), data.row(None, near[1]), data.row(9, near[2]), data.row(8, near[2] + " x"), data.row(None, None), data.row(None, "")]
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    found = near_dedup.linked(docs, words_each=4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == plain(rows, 4)
+    left = near_dedup.deduplicated(docs)
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert sum(got.values()) == 5 and {(1, rows[1][1]), (8, rows[6][1]), (None, None), (None, "")} <= set(got)
+    assert sum(got[None, x[1]] for x in (rows[2], rows[3])) == 1
+
+
+def test_copies_in_very_many_partitions_stand_once_in_a_list(spark, monkeypatch):
+    rng = random.Random(4)
+    one, other = data.prose(rng, 60), data.prose(rng, 60)
+    rows = [data.row(i, one if i % 3 else other) for i in range(300)] + [data.row(400, one + " tail")]
+    docs = spark.createDataFrame(rows, data.SCHEMA).repartition(200)
+    search = near_dedup._Search(docs, 4, 80)
+    listed = search.lists().mapInArrow(near_dedup._lists(80), "a long, b long, value long, n int, share int").collect()
+    assert listed and all(r["a"] != r["b"] for r in listed) and not any(r["b"] is None for r in listed)
+    found = near_dedup.linked(docs, words_each=4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == plain(rows, 4)
+
+
+def test_memory_of_a_slice():
+    """One text of 8 MB and its shingles, in the arrays that numpy holds at a time."""
+    import tracemalloc
+
+    text = " ".join(data.prose(random.Random(1), 40_000).split()) * 40
+    part = next(texts.slices(pa.array([text])))
+    tracemalloc.start()
+    texts.hash_runs(part.data, *part.words())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
