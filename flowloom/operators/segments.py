@@ -7,7 +7,12 @@ began, so neither a window function nor a session window can say it; it takes an
 walk.
 
 The walk is split so that no task ever holds one whole key. Time is cut in blocks
-(``block_us``) and work is distributed by (key, block):
+(``block_us``, named by their first microsecond) and work is distributed by (key, block).
+A block of one key that holds more than ``block_rows`` packets is cut again, into as many
+equal spans as its count asks for, until every block is below that bound or a single
+instant (``blocked``). Block counts are a table of the shared folder, so a busy minute is known
+before any packet is moved; packets of the few keys and blocks that were cut find their
+span by a join with that short list, all others are not touched.
 
 1. ``_block_table``: one row per (key, block) from a map-side-combined aggregation: first
    and last packet, and from its neighbour block whether the first packet surely opens a
@@ -33,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.session import scratch_dir
+
 KEY = ("ip_a", "ip_b", "port_a", "port_b", "proto")
 _KEY_DDL = "ip_a string, ip_b string, port_a bigint, port_b bigint, proto int"
 _KEY_SCHEMA = [
@@ -52,6 +59,7 @@ class FlowRules:
 
     key: ``directed`` (source first) or ``canonical`` (smaller endpoint first, both ways).
     ports: protocols whose port fields enter the key; others have ports 0.
+    block_us, block_rows: how work is cut, without a bearing on the result.
     inclusive: close at ``>= close_us`` instead of ``>``.
     """
 
@@ -63,6 +71,7 @@ class FlowRules:
     stale_us: int | None = 30_000_000
     min_packets: int = 3
     block_us: int = 60_000_000
+    block_rows: int = 500_000
 
     @property
     def limit(self) -> int:
@@ -125,10 +134,14 @@ def _silent(gap: Column, rules: FlowRules) -> Column:
     return F.lit(False) if rules.stale_us is None else gap > F.lit(rules.stale_us)
 
 
+def _start(ts: Column, start: Column, width: Column) -> Column:
+    """Where the span of ``ts`` begins, if spans of ``width`` are counted from ``start``."""
+    return start + F.floor((ts - start) / width) * width
+
+
 def _keyed(packets: DataFrame, rules: FlowRules) -> DataFrame:
-    return with_flow_key(packets, rules).withColumns(
-        {"flag_close": closing_flag(rules), "block": F.expr(f"ts_us DIV {rules.block_us}L")}
-    )
+    start = F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(rules.block_us))
+    return with_flow_key(packets, rules).withColumns({"flag_close": closing_flag(rules), "block": start.cast("bigint")})
 
 
 _ID_SHIFT, _TIME_SHIFT = "10BD", "100000000000000000000BD"
@@ -137,8 +150,8 @@ _ID_SHIFT, _TIME_SHIFT = "10BD", "100000000000000000000BD"
 def _packed(flag: Column) -> Column:
     """Time, id and a flag as one decimal of at most 38 digits, in order of time and id.
 
-    Times and ids are not negative here. A decimal buffer is changed in place, so that its maximum is
-    taken by hash aggregation; with a struct Spark would sort all packets first.
+    Times and ids are not negative (``blocked`` raises otherwise). A decimal buffer is changed in place, so that its
+    maximum is taken by hash aggregation; with a struct Spark would sort all packets first.
     """
     ts, pkt = (F.col(c).cast("decimal(19,0)") for c in ("ts_us", "pkt_id"))
     total = ts * F.expr(_TIME_SHIFT) + pkt * F.expr(_ID_SHIFT) + flag.cast("int").cast("decimal(1,0)")
@@ -156,16 +169,63 @@ def _at(packed: Column) -> Column:
     return F.when(packed.isNotNull(), F.struct(whole["ts_us"].alias("ts_us"), whole["pkt_id"].alias("pkt_id")))
 
 
-def _block_table(keyed: DataFrame, rules: FlowRules) -> DataFrame:
-    """One row per (key, block) with what the blocks around it tell."""
-    counted = keyed.groupBy(*KEY, "block").agg(
+def _counted(keyed: DataFrame) -> DataFrame:
+    """One row per (key, block), combined before the shuffle."""
+    rows = keyed.select(*KEY, "block", "ts_us", "pkt_id", "from_a", _packed(F.col("flag_close")).alias("at"))
+    return rows.groupBy(*KEY, "block").agg(
+        F.count(F.lit(1)).alias("n"),
         F.min("ts_us").alias("first_ts"),
-        F.max(_packed(F.col("flag_close"))).alias("last_pkt"),
-        F.max(F.when(F.col("from_a"), _packed(F.lit(False)))).alias("last_a"),
-        F.max(F.when(~F.col("from_a"), _packed(F.lit(False)))).alias("last_b"),
+        F.max("ts_us").alias("last_ts"),
+        F.min("pkt_id").alias("least_id"),
+        F.max("at").alias("last_pkt"),
+        F.max(F.when(F.col("from_a"), F.col("at"))).alias("last_a"),
+        F.max(F.when(~F.col("from_a"), F.col("at"))).alias("last_b"),
     )
-    summary = counted.withColumns({"last_pkt": _unpacked(F.col("last_pkt")), "last_a": _at(F.col("last_a")), "last_b": _at(F.col("last_b"))})
-    # Rows per key here are time span / block_us, whatever the number of packets.
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: A list of blocks to be cut of at most so many rows is broadcast (about 100 bytes each).
+SHORT_LIST = 100_000
+
+
+def blocked(packets: DataFrame, rules: FlowRules) -> tuple[DataFrame, DataFrame]:
+    """Packets with key and ``block``, and the stored table of (key, block) counts.
+
+    No block holds more than ``block_rows`` packets, unless they are all of one instant. A level cuts each block by its own count, so one
+    level does for packets that are spread evenly over a busy block, and a few for bursts within bursts.
+    """
+    keyed = _keyed(packets, rules)
+    counts = _stored(_counted(keyed), "blocks")
+    on = [*KEY, "block"]
+    while True:
+        busy = (F.col("n") > rules.block_rows) & (F.col("first_ts") < F.col("last_ts"))
+        low, least_id, many = counts.agg(F.min("first_ts"), F.min("least_id"), F.count_if(busy)).first()
+        if low is not None and (low < 0 or least_id < 0):
+            raise ValueError("packets have times and ids that are not negative")
+        if not many:
+            return keyed, counts
+        spans = F.ceil(F.col("n") * 2 / rules.block_rows)
+        width = F.greatest(F.lit(1), F.ceil((F.col("last_ts") - F.col("first_ts") + 1) / spans)).cast("bigint")
+        # spans are counted from the block's first packet, whose own block keeps its name
+        cuts = _stored(counts.where(busy).select(*on, F.col("first_ts").alias("cut_from"), width.alias("cut_us")), "busy-blocks")
+        cuts = F.broadcast(cuts) if many <= SHORT_LIST else cuts
+        inside = _start(F.col("ts_us"), F.col("cut_from"), F.col("cut_us")).cast("bigint")
+        recut = F.when(F.col("cut_us").isNull() | (inside == F.col("cut_from")), F.col("block")).otherwise(inside)
+        again = keyed.join(cuts, on).withColumn("block", recut).drop("cut_from", "cut_us")
+        counts = _stored(counts.where(~busy).unionByName(_counted(again)), "blocks")
+        keyed = keyed.join(cuts, on, "left").withColumn("block", recut).drop("cut_from", "cut_us")
+
+
+def _block_table(counts: DataFrame, rules: FlowRules) -> DataFrame:
+    """One row per (key, block) with what the blocks around it tell."""
+    unpacked = {"last_pkt": _unpacked(F.col("last_pkt")), "last_a": _at(F.col("last_a")), "last_b": _at(F.col("last_b"))}
+    summary = counts.drop("n", "last_ts", "least_id").withColumns(unpacked)
+    # Rows per key here are at most time span / block_us + 4 packets / block_rows.
     in_time = Window.partitionBy(*KEY).orderBy("block")
     before = in_time.rowsBetween(Window.unboundedPreceding, -1)
     around = summary.select(
@@ -364,10 +424,8 @@ def _entry_states(keyed: DataFrame, blocks: DataFrame, rules: FlowRules) -> Data
     forced = F.when(prev.isNull(), F.col("hard_first")).otherwise(
         F.lag("flag_close").over(order) | _silent(F.col("ts_us") - prev, rules)
     )
-    # prev_a and prev_b are not read here; with them the block table has the same columns as in
-    # ``segment``, and Spark computes it once for both (ReusedExchange).
     rows = thin.select(
-        *on, "prev_a", "prev_b", "next_block", "block_prev_ts", "ts_us", "pkt_id", "from_a", forced.alias("forced"), prev.isNull().alias("block_first")
+        *on, "next_block", "block_prev_ts", "ts_us", "pkt_id", "from_a", forced.alias("forced"), prev.isNull().alias("block_first")
     ).sortWithinPartitions(*on, "ts_us", "pkt_id")
     steps = rows.mapInArrow(_map_batches(rules.limit), _MAP_DDL)
     ordered = steps.repartition(*KEY).sortWithinPartitions(*on, "from_ts")
@@ -463,8 +521,8 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
     shuffled and passes through Arrow, so name only what is read afterwards.
     """
     needed = [c for c in packets.columns if keep is None or c in keep or c in PACKET_COLUMNS]
-    keyed = _keyed(packets.select(*needed), rules)
-    blocks = _block_table(keyed, rules)
+    keyed, counts = blocked(packets.select(*needed), rules)
+    blocks = _block_table(counts, rules)
     entries = _entry_states(keyed, blocks, rules)
     on = [*KEY, "block"]
     known = blocks.drop("goes_on").join(entries, on, "left")

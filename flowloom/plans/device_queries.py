@@ -210,12 +210,12 @@ flows AS (SELECT ip_a AS src_ip, ip_b AS dst_ip, port_a AS sport, port_b AS dpor
  FROM seg GROUP BY {flow_sql.FLOW} HAVING bool_or(closes) AND count(*) >= 3)"""
 
 
-def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed flows under a stand-in score made from the flow's id."""
-    rows = flows.closed_flows(filters.tracked(packets(spark, sf_dir)), LIVE, iface=True)
+def scored_flows(spark: SparkSession, sf_dir: str, iface: bool = False) -> DataFrame:
+    """Closed flows under a stand-in score made from the flow's id; with ``iface`` their interface, which takes a scan for the names."""
+    rows = flows.closed_flows(filters.tracked(packets(spark, sf_dir)), LIVE, iface=iface)
     return rows.select(
         F.col("ip_a").alias("src_ip"), F.col("ip_b").alias("dst_ip"), F.col("port_a").alias("sport"), F.col("port_b").alias("dport"),
-        "proto", "seg_id", F.col("last_us").alias("end_us"), "iface", F.expr(_SCORE).alias("score"),
+        "proto", "seg_id", F.col("last_us").alias("end_us"), *(["iface"] if iface else []), F.expr(_SCORE).alias("score"),
     )
 
 
@@ -293,7 +293,7 @@ SELECT seg_id, '[' || strftime(make_timestamp(end_us), '%H:%M:%S') || '] ' || CA
 
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     macs = devices.mac_table(registry(spark, sf_dir))
-    rows = stored(spark, scored_flows(spark, sf_dir), "flows")
+    rows = stored(spark, scored_flows(spark, sf_dir, iface=True), "flows")
     alerts = names.alert_rows(rows, ["seg_id"], answers(spark, sf_dir), macs, hosts(spark, sf_dir), GATEWAYS, TEST_SERVICES)
     return alerts.select("seg_id", "line")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import filters, flows
-from flowloom.operators.segments import KEY, LIVE, LIVE_TWO_WAY, VERSION_0, VERSION_1, FlowRules, _steps_of_block, segment
+from flowloom.operators.segments import KEY, LIVE, LIVE_TWO_WAY, VERSION_0, VERSION_1, FlowRules, _steps_of_block, blocked, segment
 from flowloom.plans.derived import derive
 
 SCHEMA = (
@@ -89,6 +89,9 @@ CASES = [
     (FlowRules(close_us=2000, on_flags=False, stale_us=None, min_packets=1, block_us=100_000), 50, 0.0),
     (FlowRules(close_us=10**12, stale_us=None, block_us=3000), 700, 0.01),
     (FlowRules(ports=(6,), close_us=3000, on_flags=False, stale_us=None, block_us=2500), 500, 0.0),
+    (FlowRules(close_us=5000, stale_us=30_000, block_rows=20), 400, 0.01),
+    (FlowRules(close_us=5000, stale_us=30_000, block_us=50_000, block_rows=1), 3, 0.01),
+    (FlowRules(close_us=2000, on_flags=False, stale_us=None, min_packets=1, block_rows=50), 50, 0.0),
 ]
 
 
@@ -191,6 +194,59 @@ def test_golden_counts(spark, sf, rules, want):
     assert (packets.count() - kept.count(), *counts) == want
 
 
+def burst(n):
+    """90 % of the packets are of one key and one minute, half of those in 50 ms, and 40 of them in one microsecond."""
+    rng = random.Random(9)
+    packets = []
+    for i in range(n):
+        if i < 40:
+            packets.append(packet(i, 7_000_000))
+        elif i < n * 0.45:
+            packets.append(packet(i, 7_000_000 + rng.randrange(50_000)))
+        elif i < n * 0.9:
+            packets.append(packet(i, rng.randrange(60_000_000)))
+        else:
+            packets.append(packet(i, rng.randrange(600_000_000), sport=1000 + rng.randrange(50)))
+    return packets
+
+
+def test_a_busy_minute_is_cut_until_no_task_holds_much_of_it(spark):
+    packets = burst(6000)
+    rules = FlowRules(close_us=1_000_000, block_rows=100)
+    assert run(spark, packets, rules) == plain_fold(packets, rules)
+    frame = spark.createDataFrame(packets, SCHEMA)
+    keyed, counts = blocked(frame, rules)
+    sizes = keyed.groupBy(*KEY, "block").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).toPandas()
+    assert sizes.n.sum() == len(packets) and sizes.n.max() <= 100 and len(sizes) < 700
+    assert sorted(sizes.n) == sorted(r.n for r in counts.select("n").collect())
+    for _, part in sizes.groupby(list(KEY)):
+        part = part.sort_values("block")
+        assert (part.hi.to_numpy()[:-1] < part.lo.to_numpy()[1:]).all()
+    # what a task of the walk gets, with as many tasks as the blocks can fill
+    tasks = keyed.repartition(60, *KEY, "block").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert tasks.max() < 0.1 * len(packets)
+    wide, _ = blocked(frame, FlowRules(close_us=1_000_000))
+    assert wide.groupBy(*KEY, "block").count().agg(F.max("count")).first()[0] > 0.85 * len(packets)
+
+
+def test_one_instant_cannot_be_cut(spark):
+    packets = [packet(i, 5) for i in range(50)] + [packet(50 + i, 5 + i) for i in range(50)]
+    rules = FlowRules(close_us=10, block_rows=4)
+    _, counts = blocked(spark.createDataFrame(packets, SCHEMA), rules)
+    assert sorted(r.n for r in counts.collect())[-1] == 51
+    assert run(spark, packets, rules) == plain_fold(packets, rules)
+
+
+@pytest.mark.parametrize("odd", [packet(-1, 5), packet(1, -5)])
+def test_negative_times_and_ids_are_an_error(spark, odd):
+    with pytest.raises(ValueError, match="negative"):
+        segment(spark.createDataFrame([packet(0, 0), odd], SCHEMA), LIVE)
+
+
+def test_no_packets(spark):
+    assert segment(spark.createDataFrame([], SCHEMA), LIVE).count() == 0
+
+
 def test_plan_has_no_task_per_key(spark):
     """Packets are shuffled by (key, block); only block rows are ordered per key."""
     df = segment(filters.tracked(derive(spark, "/root/testdata/sf0.001", "packets")), LIVE_TWO_WAY)
