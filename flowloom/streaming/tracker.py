@@ -1,15 +1,17 @@
 """The flow tracker as a stream: keyed state, event time, the close rules of the batch form.
 
-Rows of a key may arrive in any order within the watermark delay. They wait in a small
-buffer until the watermark has passed them, are then walked in (time, id) order, and leave
-only running totals behind: counts, and count / mean / squared deviation / min / max per
-series. Rows behind the watermark are dropped by Spark and counted in the query progress.
-A flow silent for longer than ``stale_us`` is removed by the same timeout that releases the
-buffer. Flows still open when the input ends are never emitted.
+Rows of a key may arrive in any order within the watermark delay. They are appended to a list state, which is
+not read when rows come; an event-time timer of the earliest of them fires once the watermark has passed it.
+Then the rows that are due are walked in (time, id) order and leave only running totals in a
+value state: counts, and count / mean / squared deviation / min / max per series. What is not due yet goes back
+to the list. Rows behind the watermark are dropped by Spark and counted in the query progress.
+A flow silent for longer than ``stale_us`` is ended by a timer of its own. Flows still open when the input ends are
+never emitted.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flowloom.operators.flows import FLOW_ID, IDLE_US
 from flowloom.operators.segments import KEY, FlowRules, closing_flag, cut, with_flow_key
@@ -35,10 +38,9 @@ BUFFERED = ("ts_us", "pkt_id", "from_a", "flag_close", "pkt_len", "flags", "wind
 
 _long, _bool, _double = T.LongType(), T.BooleanType(), T.DoubleType()
 _longs, _doubles = T.ArrayType(_long), T.ArrayType(_double)
-STATE = T.StructType(
+WAITING = T.StructType([T.StructField(c, _long) for c in BUFFERED] + [T.StructField("iface", T.StringType())])
+OPEN_FLOW = T.StructType(
     [
-        T.StructField("rows", _longs),  # waiting packets: the BUFFERED columns one after another
-        T.StructField("ifaces", T.ArrayType(T.StringType())),
         T.StructField("head", _longs),  # open flow: start ts, id, side; last ts; last ts and first window per direction
         T.StructField("iface", T.StringType()),
         T.StructField("counts", _longs),
@@ -79,6 +81,9 @@ class _Flow:
         flow.moments = np.array(moments).reshape(len(SERIES), 5)
         return flow
 
+    def state(self) -> tuple:
+        return [int(x) for x in self.head], self.iface, self.counts.tolist(), self.moments.ravel().tolist()
+
     def add(self, r: dict[str, np.ndarray]) -> None:
         """Take in packets of this flow, in order."""
         ts, fwd, length, flags = r["ts_us"], r["from_a"] == bool(self.head[2]), r["pkt_len"], r["flags"]
@@ -168,54 +173,78 @@ def _walk(rows: dict[str, np.ndarray], ifaces: np.ndarray, flow: _Flow | None, r
     return done, flow
 
 
-def _tracker(rules: FlowRules):
-    width = len(BUFFERED)
-
-    def track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows, ifaces, flow = np.zeros((width, 0), dtype=np.int64), np.array([], dtype=object), None
-        if state.exists:
-            held, held_ifaces, head, iface, counts, moments = state.get
-            rows = np.array(held, dtype=np.int64).reshape(width, -1)
-            ifaces = np.array(held_ifaces, dtype=object)
-            flow = _Flow.restore(head, iface, counts, moments) if head else None
-        for batch in batches:
-            rows = np.concatenate([rows, batch[list(BUFFERED)].to_numpy(dtype=np.int64).T], axis=1)
-            ifaces = np.concatenate([ifaces, batch["iface"].to_numpy(dtype=object)])
-        watermark = state.getCurrentWatermarkMs() * 1000
-        order = np.lexsort((rows[1], rows[0]))
-        rows, ifaces = rows[:, order], ifaces[order]
-        ready = int(np.searchsorted(rows[0], watermark, side="right"))
+class Tracker(StatefulProcessor):
+    """One key: waiting packets (list), the open flow (value) and when it wakes next (value and timer)."""
+
+    def __init__(self, rules: FlowRules) -> None:
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.flow = handle.getValueState("flow", OPEN_FLOW)
+        self.wake = handle.getValueState("wake", T.StructType([T.StructField("at_ms", _long)]))
+
+    def _wake_at(self, at_us: int | None, known: int | None) -> None:
+        """Keeps a single timer, at the first moment after ``at_us``."""
+        at = None if at_us is None else at_us // 1000 + 1
+        if at == known:
+            return
+        if known is not None:
+            self.handle.deleteTimer(known)
+        if at is None:
+            self.wake.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.wake.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            columns = [batch[c].tolist() for c in (*BUFFERED, "iface")]
+            self.waiting.appendList(list(zip(*columns, strict=True)))
+            low = min(columns[0])
+            first = low if first is None else min(first, low)
+        known = self.wake.get()
+        if first is not None and (known is None or first // 1000 + 1 < known[0]):
+            self._wake_at(first, None if known is None else known[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        state = self.flow.get()
+        flow = _Flow.restore(*state) if state is not None else None
+        ready = bisect_right(held, watermark, key=lambda r: r[0])
         done = []
         if ready:
-            named = {c: rows[i, :ready] for i, c in enumerate(BUFFERED)}
-            done, flow = _walk(named, ifaces[:ready], flow, rules, key)
-            rows, ifaces = rows[:, ready:], ifaces[ready:]
-        stale_at = flow.head[3] + rules.stale_us if flow is not None and rules.stale_us is not None else None
-        next_ts = int(rows[0, 0]) if rows.shape[1] else None
+            due = np.array([r[:-1] for r in held[:ready]], dtype=np.int64).T
+            ifaces = np.array([r[-1] for r in held[:ready]], dtype=object)
+            done, flow = _walk(dict(zip(BUFFERED, due, strict=True)), ifaces, flow, self.rules, key)
+            rest = held[ready:]
+            if rest:
+                self.waiting.put([tuple(r) for r in rest])
+            else:
+                self.waiting.clear()
+            held = rest
+        next_ts = held[0][0] if held else None
+        stale_at = flow.head[3] + self.rules.stale_us if flow is not None and self.rules.stale_us is not None else None
         if stale_at is not None and stale_at < watermark and (next_ts is None or next_ts > stale_at):
             done.append(flow.row(key, "stale", False))
             flow = stale_at = None
-        if flow is None and next_ts is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(
-                (
-                    rows.ravel().tolist(),
-                    ifaces.tolist(),
-                    flow.head if flow else [],
-                    flow.iface if flow else None,
-                    flow.counts.tolist() if flow else [],
-                    flow.moments.ravel().tolist() if flow else [],
-                )
-            )
-            wake = [t for t in (next_ts, stale_at) if t is not None]
-            if wake:
-                state.setTimeoutTimestamp(max(min(wake), watermark) // 1000 + 1)
+        if flow is not None:
+            self.flow.update(flow.state())
+        elif state is not None:
+            self.flow.clear()
+        wakes = [t for t in (next_ts, stale_at) if t is not None]
+        # what is left of this moment is due after the next move of the watermark
+        self.wake.clear()
+        self._wake_at(max(min(wakes), watermark) if wakes else None, None)
         if done:
             yield pd.DataFrame(done, columns=OUTPUT.names)
 
-    return track
+    def close(self) -> None:
+        pass
 
 
 def with_event_time(packets: DataFrame, delay: str) -> DataFrame:
@@ -244,7 +273,7 @@ def track(packets: DataFrame, rules: FlowRules, delay: str = "10 seconds") -> Da
         F.coalesce("tcp_payload_len", F.lit(0)).cast("bigint").alias("payload"),
         "iface",
     )
-    return rows.groupBy(*KEY).applyInPandasWithState(_tracker(rules), OUTPUT, STATE, "append", "EventTimeTimeout")
+    return rows.groupBy(*KEY).transformWithStateInPandas(Tracker(rules), OUTPUT, "append", "EventTime")
 
 
 def scorable(ended: DataFrame, rules: FlowRules) -> DataFrame:
