@@ -1,26 +1,38 @@
 """Health counters and interface rates over fixed windows.
 
-The window tables have one row per window (or window and interface), so ordering them is
-small work whatever the traffic.
+The window tables have one row per window (or window and interface). Totals over them are summed by blocks of
+windows, so that neither packets nor windows meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.timeline import previous, running_sums
+from flowloom.session import scratch_dir
+
 HEALTH_US = 10_000_000
 RATE_US = 30_000_000
+#: Windows that are ordered in one task.
+SPAN = 512
 
 
 def window_start(ts: Column, width: int) -> Column:
     return ts - F.pmod(ts, F.lit(width))
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _spine(starts: DataFrame, width: int) -> DataFrame:
-    """Every window from the first to the last."""
-    ends = starts.agg(F.min("window_us").alias("lo"), F.max("window_us").alias("hi")).where("lo IS NOT NULL")
-    return ends.select(F.explode(F.sequence("lo", "hi", F.lit(width).cast("bigint"))).alias("window_us"))
+    """Every window from the first to the last of a stored table; their two ends pass through the driver."""
+    lo, hi = starts.agg(F.min("window_us"), F.max("window_us")).first()
+    ends = (0, 0) if lo is None else (lo, hi + width)
+    return starts.sparkSession.range(*ends, width).withColumnRenamed("id", "window_us")
 
 
 def health_counters(frames: DataFrame, flow_spans: DataFrame, first_seen: DataFrame, width: int = HEALTH_US) -> DataFrame:
@@ -43,6 +55,7 @@ def health_counters(frames: DataFrame, flow_spans: DataFrame, first_seen: DataFr
         .agg(F.sum("d").alias("flow_moves"))
     )
     devices = first_seen.groupBy(start).agg(F.count(F.lit(1)).alias("new_devices"))
+    counts = _stored(counts, "window-counts")
     rows = (
         _spine(counts, width)
         .join(counts, "window_us", "left")
@@ -50,24 +63,16 @@ def health_counters(frames: DataFrame, flow_spans: DataFrame, first_seen: DataFr
         .join(devices, "window_us", "left")
         .na.fill(0)
     )
-    upto = Window.orderBy("window_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(
-        "window_us",
-        "packets",
-        "arp",
-        "ip",
-        "reached_tracker",
-        F.sum("packets").over(upto).alias("total_packets"),
-        F.sum("flow_moves").over(upto).alias("active_flows"),
-        F.sum("new_devices").over(upto).alias("devices"),
-        F.lit(0).cast("bigint").alias("dropped"),
-    )
+    totals = {"total_packets": "packets", "active_flows": "flow_moves", "devices": "new_devices"}
+    summed = running_sums(_stored(rows, "windows"), "window_us", SPAN * width, totals)
+    return summed.select("window_us", "packets", "arp", "ip", "reached_tracker", *totals, F.lit(0).cast("bigint").alias("dropped"))
 
 
-def counter_delta(snapshots: DataFrame, columns: list[str], order: str = "window_us") -> DataFrame:
+def counter_delta(snapshots: DataFrame, columns: list[str], order: str = "window_us", span: int = SPAN * HEALTH_US) -> DataFrame:
     """Counter values minus those of the snapshot before (the first counts from 0)."""
-    w = Window.orderBy(order)
-    return snapshots.withColumns({f"d_{c}": F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)) for c in columns})
+    found = previous(snapshots, order, span, {f"_p_{c}": c for c in columns})
+    deltas = {f"d_{c}": F.col(c) - F.coalesce(f"_p_{c}", F.lit(0)) for c in columns}
+    return found.withColumns(deltas).drop(*(f"_p_{c}" for c in columns))
 
 
 def iface_rate(packets: DataFrame, width: int = RATE_US) -> DataFrame:

@@ -43,8 +43,16 @@ def _latest(df: DataFrame, key: str, values: Sequence[str], ts: str) -> DataFram
 
 def named_answers(answers: DataFrame, services: Sequence[Service] = DEFAULT_SERVICES) -> DataFrame:
     """DNS answers of known services whose data looks like an IPv4 address."""
-    named = answers.withColumn("qname", net.trim_name(F.col("qname"))).withColumn("service", service_of(F.col("qname"), services))
-    return named.where(F.col("service").isNotNull() & F.col("answer_ip").contains("."))
+    return with_service(answers, services).where(is_named())
+
+
+def with_service(answers: DataFrame, services: Sequence[Service] = DEFAULT_SERVICES) -> DataFrame:
+    return answers.withColumn("qname", net.trim_name(F.col("qname"))).withColumn("service", service_of(F.col("qname"), services))
+
+
+def is_named() -> Column:
+    """Whether an answer with its ``service`` names an address."""
+    return F.coalesce(F.col("service").isNotNull() & F.col("answer_ip").contains("."), F.lit(False))
 
 
 def dns_ip_service(answers: DataFrame, services: Sequence[Service] = DEFAULT_SERVICES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,3 +62,49 @@ def numbered(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequen
         .withColumn(name, F.col("_offset") + F.col("_place"))
         .drop("_bucket", "_place", "_offset")
     )
+
+
+_LEVELS = 48
+
+
+def before_blocks(rows: DataFrame, block: str, parts: Mapping[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """For each value of ``block`` (a number, not negative) what holds of all rows in lower blocks; null where there are none.
+
+    parts: name -> (an aggregation over rows, an aggregation that merges such results). The blocks below j are a
+    few dyadic intervals, one for each bit that is set in j. Every block adds to the interval of each length that it
+    lies in, and asks for those that make up its past; so all work is hashed by interval and no task sees all blocks.
+    """
+    names = list(parts)
+    merged = [parts[n][1](n).alias(n) for n in names]
+    sums = rows.groupBy(block).agg(*(parts[n][0].alias(n) for n in names))
+    level = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("_level")
+    each = sums.select(F.col(block).cast("bigint").alias(block), *names, level)
+    node = F.expr(f"shiftright({block}, _level)")
+    nodes = each.groupBy("_level", node.alias("_node")).agg(*merged)
+    asked = each.where(F.expr(f"shiftright({block}, _level) & 1 = 1")).select(block, "_level", (node - 1).alias("_node"))
+    past = asked.join(nodes, ["_level", "_node"]).groupBy(block).agg(*merged)
+    return sums.select(F.col(block).cast("bigint").alias(block)).join(past, block, "left")
+
+
+def running_sums(rows: DataFrame, order: str, span: int, columns: Mapping[str, str]) -> DataFrame:
+    """Adds for each (new name -> column) the sum up to and with the row, in the order of ``order``, a number of which no two rows are equal; null adds 0.
+
+    Rows are put in order within blocks of ``span``; what comes before a block is added by ``before_blocks``. ``rows`` is read
+    twice: give a stored table where it is much work.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / span).cast("bigint"))
+    parts = {f"_b_{n}": (F.sum(c), F.sum) for n, c in columns.items()}
+    upto = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.join(before_blocks(rows, "_block", parts), "_block", "left")
+    return found.withColumns({n: F.sum(F.coalesce(c, F.lit(0))).over(upto) + F.coalesce(f"_b_{n}", F.lit(0)) for n, c in columns.items()}).drop("_block", *parts)
+
+
+def previous(rows: DataFrame, order: str, span: int, columns: Mapping[str, str]) -> DataFrame:
+    """Adds for each (new name -> column) the column of the row before, in the order of ``order``; null for the first row."""
+    rows = rows.withColumn("_block", F.floor(F.col(order) / span).cast("bigint"))
+    last = F.max(F.struct(order, *columns.values()))
+    found = rows.join(before_blocks(rows, "_block", {"_last": (last, F.max)}), "_block", "left")
+    here = Window.partitionBy("_block").orderBy(order)
+    first = F.row_number().over(here) == 1
+    picked = {n: F.when(first, F.col("_last")[c]).otherwise(F.lag(c).over(here)) for n, c in columns.items()}
+    return found.withColumns(picked).drop("_block", "_last")

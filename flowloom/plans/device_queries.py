@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.constants import OUI_VENDORS, SERVICE_SUFFIXES, UNKNOWN_MAC
 from flowloom.functions import net
-from flowloom.operators import devices, filters, flows, health, names, sampling
+from flowloom.operators import devices, filters, flows, health, names, sampling, timeline
 from flowloom.operators.segments import LIVE, segment
 from flowloom.plans import flow_sql
 from flowloom.plans.catalog import query
@@ -230,13 +230,13 @@ def _flow_views(body: str) -> str:
     return with_views(VIEWS, body, recursive=True)
 
 
-@query(
-    "asof_dns_label",
-    _flow_views(
-        f"""WITH {CLOSED_SQL}, {NAMED_SQL}
+ASOF_SQL = _flow_views(
+    f"""WITH {CLOSED_SQL}, {NAMED_SQL}
 SELECT f.seg_id, f.dst_ip, n.service FROM flows f ASOF LEFT JOIN named n ON n.answer_ip = f.dst_ip AND f.end_us >= n.ts_us"""
-    ),
 )
+
+
+@query("asof_dns_label", ASOF_SQL)
 def asof_dns_label(spark, sf_dir):
     rows = stored(spark, scored_flows(spark, sf_dir).select("seg_id", "dst_ip", "end_us"), "flows")
     return names.asof_dns_label(rows, answers(spark, sf_dir), "dst_ip", "end_us", TEST_SERVICES).drop("end_us")
@@ -376,8 +376,8 @@ def counter_delta(spark, sf_dir):
     counts = frames(spark, sf_dir).groupBy(health.window_start(F.col("ts_us"), health.HEALTH_US).alias("window_us")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    totals = counts.select("window_us", F.sum("n").over(Window.orderBy("window_us")).alias("total"))
-    return health.counter_delta(totals, ["total"])
+    totals = timeline.running_sums(stored(spark, counts, "window-counts"), "window_us", health.SPAN * health.HEALTH_US, {"total": "n"})
+    return health.counter_delta(stored(spark, totals.select("window_us", "total"), "window-totals"), ["total"])
 
 
 @query(

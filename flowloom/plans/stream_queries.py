@@ -20,6 +20,10 @@ from flowloom.streaming.tracker import scorable, track
 SLICES = 6
 # Files of one slice arrive in any order, so the delay covers a slice.
 DELAY = "130 seconds"
+# Spark takes the moment 0 as behind a watermark that has not moved yet; tables that hold it are streamed a second later.
+LATER = 1_000_000
+# How long a clock runs on after the last packet.
+CLOCK_GOES_ON = 3_600_000_000
 
 
 def write_slices(df: DataFrame, folder: str, slices: int = SLICES, shuffled: bool = False) -> None:
@@ -141,8 +145,8 @@ def stream_new_device(spark, sf_dir):
 )
 def stream_device_registry(spark, sf_dir):
     _, sightings, out, checkpoint = _sighting_stream(spark, sf_dir)
-    jobs.run_updates(jobs.device_registry(sightings), out, checkpoint)
-    return jobs.latest_rows(spark, out, ["ip"])
+    jobs.run_updates(jobs.device_registry(sightings), out, checkpoint, ["ip"])
+    return jobs.latest_rows(spark, out)
 
 
 @query("stream_dns_cache", with_views("dns_answers", f"WITH {dq.NAMED_SQL}, {dq.SERVICES_SQL} SELECT * FROM services"))
@@ -152,8 +156,8 @@ def stream_dns_cache(spark, sf_dir):
     rows = dq.answers(session, sf_dir)
     write_slices(rows, source, 3)
     stream = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.run_updates(jobs.dns_cache(stream, TEST_SERVICES), out, checkpoint)
-    return jobs.latest_rows(spark, out, ["ip"])
+    jobs.run_updates(jobs.dns_cache(stream, TEST_SERVICES), out, checkpoint, ["ip"])
+    return jobs.latest_rows(spark, out)
 
 
 _WINDOWS = f"""WITH {dq.FRAMES_SQL} SELECT ts_us - ts_us % 10000000 AS window_us, count(*) AS packets, count(*) FILTER (WHERE is_arp) AS arp,
@@ -184,15 +188,107 @@ SELECT s.iface, s.window_us, coalesce(packets, 0) AS packets FROM s LEFT JOIN c
     ),
 )
 def stream_rate_alarm(spark, sf_dir):
+    rows, found = _rates(spark, sf_dir, "iface = 'Wi-Fi' AND ts_us BETWEEN 20000000 AND 95000000")
+    newest = rows.agg((F.max("ts_us") - F.max("ts_us") % 30_000_000).alias("newest"))
+    return found.join(F.broadcast(newest), F.col("window_us") <= F.col("newest")).drop("newest")
+
+
+def _rates(spark: SparkSession, sf_dir: str, quiet: str) -> tuple[DataFrame, DataFrame]:
+    """The packets outside ``quiet``, and what the alarm gives for them under a clock that goes on for an hour after the last."""
     session = jobs.stream_session(spark)
-    source, out, checkpoint = jobs.new_folders(spark, "in", "out", "checkpoint")
-    quiet = (F.col("iface") == "Wi-Fi") & F.col("ts_us").between(20_000_000, 95_000_000)
-    rows = dq.packets(session, sf_dir).where(~quiet)
+    source, ticks, out, checkpoint = jobs.new_folders(spark, "in", "clock", "out", "checkpoint")
+    rows = dq.packets(session, sf_dir).where(f"NOT ({quiet})")
     write_slices(rows, source)
+    for tick in (F.min("ts_us"), F.max("ts_us") + CLOCK_GOES_ON):
+        rows.agg(tick.alias("ts_us")).write.mode("append").parquet(ticks)
+        stream = jobs.packet_stream(session, source, rows.schema)
+        clock = session.readStream.schema("ts_us bigint").parquet(ticks)
+        jobs.run_available(jobs.rate_alarm(stream, clock, DELAY), out, checkpoint)
+    return rows, spark.read.parquet(out)
+
+
+_OUTAGE = "ts_us >= 150000000"
+
+
+@query(
+    "stream_silence_alarm",
+    with_views(
+        "packets",
+        f"""WITH p AS (SELECT * FROM packets WHERE NOT ({_OUTAGE})),
+c AS (SELECT iface, ts_us - ts_us % 30000000 AS window_us, count(*) AS packets FROM p GROUP BY 1, 2),
+s AS (SELECT iface, unnest(generate_series(lo, ((SELECT max(ts_us) FROM p) + {CLOCK_GOES_ON - 130_000_000}) // 30000000 * 30000000 - 60000000, 30000000)) AS window_us
+ FROM (SELECT iface, min(window_us) AS lo FROM c GROUP BY iface) i)
+SELECT s.iface, s.window_us, coalesce(packets, 0) AS packets FROM s LEFT JOIN c ON c.iface = s.iface AND c.window_us = s.window_us""",
+    ),
+)
+def stream_silence_alarm(spark, sf_dir):
+    """Every interface falls silent at once: the clock's timers tell it, up to the last window that is certain."""
+    return _rates(spark, sf_dir, _OUTAGE)[1]
+
+
+@query("stream_asof_dns_label", dq.ASOF_SQL)
+def stream_asof_dns_label(spark, sf_dir):
+    """Flows named by what DNS answers said when they ended, both as streams."""
+    session = jobs.stream_session(spark)
+    ended, told, out, checkpoint = jobs.new_folders(spark, "flows", "answers", "out", "checkpoint")
+    closed = dq.scored_flows(session, sf_dir).select("seg_id", "dst_ip", F.col("end_us").alias("ts_us"))
+    closed = dq.stored(session, closed, "flows")
+    answers = dq.answers(session, sf_dir).withColumn("ts_us", F.col("ts_us") + LATER)
+    closed = closed.withColumn("ts_us", F.col("ts_us") + LATER)
+    write_slices(closed, ended)
+    write_slices(answers, told, 3)
+    for rows, folder in ((closed, ended), (answers, told)):
+        write_tick(rows, folder)
+    flow_stream = session.readStream.schema(closed.schema).option("maxFilesPerTrigger", 8).parquet(ended)
+    answer_stream = session.readStream.schema(answers.schema).option("maxFilesPerTrigger", 8).parquet(told)
+    named = jobs.asof_dns_label(flow_stream, answer_stream, "dst_ip", DELAY, TEST_SERVICES)
+    jobs.run_available(named, out, checkpoint)
+    return spark.read.parquet(out).select("seg_id", "dst_ip", "service")
+
+
+CACHE_MOST, CACHE_EVICT = 20, 5
+_CACHE_SQL = f"""WITH ev AS (SELECT row_number() OVER (ORDER BY ts_us, ans_id) AS step, ts_us, qname FROM dns_answers),
+r AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS gone, FALSE AS fresh, CAST('' AS VARCHAR) AS name, CAST(0 AS BIGINT) AS ts_us
+ UNION ALL
+ SELECT step, CASE WHEN fresh THEN list_append(held, qname) ELSE held END, gone, fresh, qname, ts_us FROM (
+  SELECT *, NOT list_contains(held, qname) AS fresh FROM (
+   SELECT ev.step, ev.qname, ev.ts_us, CASE WHEN len(names) >= {CACHE_MOST} THEN names[{CACHE_EVICT + 1}:] ELSE names END AS held,
+    CASE WHEN len(names) >= {CACHE_MOST} THEN names[:{CACHE_EVICT}] ELSE CAST([] AS VARCHAR[]) END AS gone
+   FROM r JOIN ev ON ev.step = r.step + 1) h) f)
+SELECT step, 'put' AS op, name, ts_us FROM r WHERE fresh
+UNION ALL SELECT step, 'evict', unnest(gone), ts_us FROM r"""
+
+
+@query("stream_bounded_cache", with_views("dns_answers", _CACHE_SQL, recursive=True))
+def stream_bounded_cache(spark, sf_dir):
+    """A name cache of limited size over the stream of DNS answers: what enters it and what it throws out."""
+    session = jobs.stream_session(spark)
+    source, out, checkpoint = jobs.new_folders(spark, "in", "out", "checkpoint")
+    rows = dq.answers(session, sf_dir).select(F.lit("dns").alias("cache"), (F.col("ts_us") + LATER).alias("ts_us"), F.col("ans_id").alias("id"), F.col("qname").alias("name"))
+    write_slices(rows, source, 3)
     write_tick(rows, source)
-    stream = jobs.packet_stream(session, source, rows.schema).select("ts_us", "iface")
-    jobs.run_rate_alarm(stream, out, checkpoint, DELAY)
-    return spark.read.parquet(out).drop("batch_id")
+    stream = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(source)
+    jobs.run_available(jobs.bounded_cache(stream, CACHE_MOST, CACHE_EVICT, DELAY), out, checkpoint)
+    return spark.read.parquet(out).where("cache = 'dns'").select("step", "op", "name", (F.col("ts_us") - LATER).alias("ts_us"))
+
+
+@query(
+    "stream_backlog",
+    with_views("packets", f"SELECT unnest(range(0, {SLICES})) AS batch_id, (SELECT count(*) FROM packets) AS rows_read, unnest(range({SLICES - 1}, -1, -1)) AS files_waiting"),
+)
+def stream_backlog(spark, sf_dir):
+    """What waits while a stream catches up at one file per micro-batch, down to nothing."""
+    session = jobs.stream_session(spark)
+    source, out, checkpoint = jobs.new_folders(spark, "in", "out", "checkpoint")
+    rows = dq.packets(session, sf_dir)
+    lo, hi = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    for i in range(SLICES):
+        rows.where(F.least(F.lit(SLICES - 1), F.floor((F.col("ts_us") - lo) * SLICES / (hi - lo))) == i).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.packet_stream(session, source, rows.schema, max_files=1)
+    with jobs.ProgressTotals(session) as totals:
+        jobs.run_available(stream.select("pkt_id"), out, checkpoint)
+    read = totals.table().select("rows_read")
+    return jobs.file_backlog(spark, source, checkpoint).select("batch_id", "files_waiting").join(F.broadcast(read), F.lit(True))
 
 
 @query("stream_backpressure", with_views("packets", "SELECT count(*) AS rows_read, CAST(0 AS BIGINT) AS rows_late FROM packets"))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from flowloom.constants import UNKNOWN_MAC
 from flowloom.operators import health, names
 from flowloom.session import ROCKSDB, scratch_dir
-from flowloom.streaming.tracker import with_event_time
+from flowloom.streaming.ordered import asof, bounded_cache, with_event_time, with_silence
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -62,15 +62,6 @@ def run_batches(df: DataFrame, write, checkpoint: str, mode: str = "append") ->
     return query
 
 
-def _into_batch_folder(out: str):
-    """Each micro-batch owns one folder, so a repeated batch replaces itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return write
-
-
 def alert_log_sink(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Alert lines as text files, one folder per micro-batch. lines: one column ``line``."""
 
@@ -80,17 +71,51 @@ def alert_log_sink(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return run_batches(lines, write, checkpoint)
 
 
-def run_updates(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """A changing table: every micro-batch writes the rows that changed."""
-    return run_batches(df, _into_batch_folder(out), checkpoint, "update")
+def _snapshots(spark: SparkSession, out: str) -> list[int]:
+    """Batch ids of the finished snapshots below ``out``, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "batch_id=*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _drop_snapshot(spark: SparkSession, out: str, batch_id: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch_id={batch_id}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_updates(df: DataFrame, out: str, checkpoint: str, key: Sequence[str]) -> StreamingQuery:
+    """A changing table: every micro-batch merges the rows that changed into the snapshot of the batch before.
+
+    A snapshot is a folder named by its batch, published by its ``_SUCCESS`` file. Two are kept, as a batch that is
+    repeated after a failure starts from the snapshot before it and writes the same again; older ones go. So the table's size
+    follows its keys, not the time that the stream has run.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        known = _snapshots(session, out)
+        before = [b for b in known if b < batch_id]
+        rows = batch
+        if before:
+            old = session.read.schema(batch.schema).parquet(f"{out}/batch_id={before[-1]}")
+            on = [old[k].eqNullSafe(batch[k]) for k in key]
+            rows = old.join(batch.select(*key), on, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        for b in before[:-1]:
+            _drop_snapshot(session, out, b)
+
+    return run_batches(df, write, checkpoint, "update")
 
 
-def latest_rows(spark: SparkSession, out: str, key: Sequence[str]) -> DataFrame:
-    """The table as it stands: each key's row of the highest batch."""
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*key, "batch_id")]
-    newest = F.max_by(F.struct(*values), "batch_id").alias("_v")
-    return rows.groupBy(*key).agg(newest).select(*key, *[f"_v.{v}" for v in values])
+def latest_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The table as it stands: the newest finished snapshot."""
+    found = _snapshots(spark, out)
+    if not found:
+        raise ValueError(f"no finished snapshot below {out}")
+    return spark.read.parquet(f"{out}/batch_id={found[-1]}")
 
 
 def new_devices(sightings: DataFrame) -> DataFrame:
@@ -137,35 +162,25 @@ def health_windows(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
     )
 
 
-def run_rate_alarm(packets: DataFrame, out: str, checkpoint: str, delay: str = "10 seconds") -> StreamingQuery:
-    """Packets per interface and 30 s window, with rows for silent windows as well.
+def rate_alarm(packets: DataFrame, clock: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Packets per interface and 30 s window, and rows of 0 for the windows in which an interface was silent.
 
-    A micro-batch delivers the windows that became final. For every interface known so far
-    the windows since its last reported one are listed up to the newest final window; those
-    without packets are alarms. Only window rows are involved, never packets.
+    ``clock`` is a stream of ``ts_us`` alone, for instance Spark's rate source. It makes time go on, so that timers find
+    silence even when every interface falls silent at once. Packets are counted by a windowed aggregation; the keyed
+    operator behind it sees one row per interface and window.
     """
-    width = health.RATE_US
-    counts = windowed(packets, width // 1_000_000, delay, ["iface"], packets=F.count(F.lit(1)))
+    ticks = clock.select("ts_us", F.lit(None).cast("string").alias("iface"))
+    timed = with_event_time(packets.select("ts_us", "iface").unionByName(ticks), delay)
+    window = F.window("ts", f"{health.RATE_US // 1_000_000} seconds").alias("w")
+    counts = timed.groupBy(window, "iface").agg(F.count(F.lit(1)).alias("packets"))
+    return with_silence(counts, "iface", health.RATE_US)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.select("iface", "window_us", "packets")
-        reported = fresh.limit(0)
-        if batch_id > 0:
-            reported = session.read.schema(fresh.schema).option("recursiveFileLookup", True).parquet(
-                *[f"{out}/batch_id={i}" for i in range(batch_id)]
-            )
-        known = reported.groupBy("iface").agg((F.max("window_us") + width).alias("since")).unionByName(
-            fresh.groupBy("iface").agg(F.min("window_us").alias("since"))
-        )
-        since = known.groupBy("iface").agg(F.min("since").alias("since"))
-        newest = fresh.agg(F.max("window_us").alias("upto"))
-        listed = since.join(F.broadcast(newest), F.lit(True)).where("upto >= since")
-        spine = listed.select("iface", F.explode(F.sequence("since", "upto", F.lit(width).cast("bigint"))).alias("window_us"))
-        rows = spine.join(fresh, ["iface", "window_us"], "left").na.fill(0, ["packets"])
-        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return run_batches(counts, write, checkpoint)
+def asof_dns_label(flows: DataFrame, answers: DataFrame, ip: str, delay: str, services: Sequence[names.Service] = names.DEFAULT_SERVICES) -> DataFrame:
+    """Streams of flows (``ts_us`` is when they end) and of DNS answers -> flows with the service of ``ip`` at that time."""
+    right = names.with_service(answers, services).withColumn("_named", names.is_named())
+    right = right.select(F.col("answer_ip").alias(ip), "ts_us", "ans_id", "service", "_named")
+    return asof(flows, right, ip, "ans_id", ["service"], delay, F.col("_named"))
 
 
 class ProgressTotals(StreamingQueryListener):
@@ -212,6 +227,30 @@ class ProgressTotals(StreamingQueryListener):
         return self.spark.createDataFrame([row], "batches bigint, rows_read bigint, rows_late bigint")
 
 
+def file_backlog(spark: SparkSession, source: str, checkpoint: str, suffix: str = ".parquet") -> DataFrame:
+    """How far a stream over files lags: per micro-batch the files and bytes it took, and what waited after it.
+
+    From the list of the source folder and the source's own log in the checkpoint. A file waits from the moment
+    it was written; files written after a micro-batch had been planned do not count as waiting then.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(source)
+    files = listed.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.unix_millis("modificationTime").alias("written_ms"), "length")
+    log = spark.read.option("recursiveFileLookup", True).schema("path string, timestamp long, batchId long").json(f"{checkpoint}/sources/0")
+    taken = log.where("path IS NOT NULL").select(F.element_at(F.split("path", "/"), -1).alias("name"), "batchId").distinct()
+    commits = spark.read.format("binaryFile").load(f"{checkpoint}/offsets").select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.unix_millis("modificationTime").alias("planned_ms")
+    )
+    batches = commits.where(F.col("file").rlike("^[0-9]+$")).select(F.col("file").cast("bigint").alias("batch_id"), "planned_ms")
+    held = files.join(taken, "name", "left").withColumn("batchId", F.coalesce("batchId", F.lit(2**62)))
+    # micro-batches times files, by ranges of a few thousand rows each: counted per batch and summed up
+    here = held.groupBy("batchId").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.min("written_ms").alias("written_ms"))
+    later = here.select(F.col("batchId").alias("later"), F.col("files").alias("f"), F.col("bytes").alias("b"), F.col("written_ms").alias("w"))
+    waits = batches.join(later, (F.col("later") > F.col("batch_id")) & (F.col("w") <= F.col("planned_ms")), "left")
+    waits = waits.groupBy("batch_id").agg(F.coalesce(F.sum("f"), F.lit(0)).alias("files_waiting"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes_waiting"))
+    took = here.select(F.col("batchId").alias("batch_id"), F.col("files").alias("files_taken"), F.col("bytes").alias("bytes_taken"))
+    return waits.join(took, "batch_id", "left").na.fill(0).select("batch_id", "files_taken", "bytes_taken", "files_waiting", "bytes_waiting")
+
+
 def new_folders(spark: SparkSession, *labels: str) -> list[str]:
     base = scratch_dir(spark, "stream")
     return [f"{base}/{label}" for label in labels]

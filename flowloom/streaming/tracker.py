@@ -11,18 +11,14 @@ never emitted.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flowloom.operators.flows import FLOW_ID, IDLE_US
 from flowloom.operators.segments import KEY, FlowRules, closing_flag, cut, with_flow_key
+from flowloom.streaming.ordered import Ordered, with_event_time
 
 SERIES = ("pkt_len", "fwd_pkt_len", "bwd_pkt_len", "flow_iat", "fwd_iat", "bwd_iat", "active", "idle")
 FLAG_COUNTS = {
@@ -173,82 +169,33 @@ def _walk(rows: dict[str, np.ndarray], ifaces: np.ndarray, flow: _Flow | None, r
     return done, flow
 
 
-class Tracker(StatefulProcessor):
-    """One key: waiting packets (list), the open flow (value) and when it wakes next (value and timer)."""
+class Tracker(Ordered):
+    """The open flow of a key is the value state; a flow that falls silent is ended by the timer."""
 
     def __init__(self, rules: FlowRules) -> None:
+        super().__init__(WAITING, 2, OUTPUT.names)
         self.rules = rules
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+    def opened(self, handle):
         self.flow = handle.getValueState("flow", OPEN_FLOW)
-        self.wake = handle.getValueState("wake", T.StructType([T.StructField("at_ms", _long)]))
-
-    def _wake_at(self, at_us: int | None, known: int | None) -> None:
-        """Keeps a single timer, at the first moment after ``at_us``."""
-        at = None if at_us is None else at_us // 1000 + 1
-        if at == known:
-            return
-        if known is not None:
-            self.handle.deleteTimer(known)
-        if at is None:
-            self.wake.clear()
-        else:
-            self.handle.registerTimer(at)
-            self.wake.update((at,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            columns = [batch[c].tolist() for c in (*BUFFERED, "iface")]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
-            low = min(columns[0])
-            first = low if first is None else min(first, low)
-        known = self.wake.get()
-        if first is not None and (known is None or first // 1000 + 1 < known[0]):
-            self._wake_at(first, None if known is None else known[0])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+
+    def due(self, key, rows, next_us, watermark_us):
         state = self.flow.get()
         flow = _Flow.restore(*state) if state is not None else None
-        ready = bisect_right(held, watermark, key=lambda r: r[0])
         done = []
-        if ready:
-            due = np.array([r[:-1] for r in held[:ready]], dtype=np.int64).T
-            ifaces = np.array([r[-1] for r in held[:ready]], dtype=object)
-            done, flow = _walk(dict(zip(BUFFERED, due, strict=True)), ifaces, flow, self.rules, key)
-            rest = held[ready:]
-            if rest:
-                self.waiting.put([tuple(r) for r in rest])
-            else:
-                self.waiting.clear()
-            held = rest
-        next_ts = held[0][0] if held else None
+        if rows:
+            columns = np.array([r[:-1] for r in rows], dtype=np.int64).T
+            ifaces = np.array([r[-1] for r in rows], dtype=object)
+            done, flow = _walk(dict(zip(BUFFERED, columns, strict=True)), ifaces, flow, self.rules, key)
         stale_at = flow.head[3] + self.rules.stale_us if flow is not None and self.rules.stale_us is not None else None
-        if stale_at is not None and stale_at < watermark and (next_ts is None or next_ts > stale_at):
+        if stale_at is not None and stale_at < watermark_us and (next_us is None or next_us > stale_at):
             done.append(flow.row(key, "stale", False))
             flow = stale_at = None
         if flow is not None:
             self.flow.update(flow.state())
         elif state is not None:
             self.flow.clear()
-        wakes = [t for t in (next_ts, stale_at) if t is not None]
-        # what is left of this moment is due after the next move of the watermark
-        self.wake.clear()
-        self._wake_at(max(min(wakes), watermark) if wakes else None, None)
-        if done:
-            yield pd.DataFrame(done, columns=OUTPUT.names)
-
-    def close(self) -> None:
-        pass
-
-
-def with_event_time(packets: DataFrame, delay: str) -> DataFrame:
-    return packets.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
+        return done, stale_at
 
 
 def track(packets: DataFrame, rules: FlowRules, delay: str = "10 seconds") -> DataFrame:
