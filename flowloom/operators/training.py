@@ -154,4 +154,5 @@ def contract_check(model: FlowModel, df: DataFrame) -> DataFrame:
         F.array_join(F.array_except(want, have), ",").alias("missing"),
         F.array_join(F.array_except(have, want), ",").alias("unused"),
         F.col("score").between(0, 1).alias("zero_row_scored"),
+        F.col("score").alias("zero_row_score"),
     )

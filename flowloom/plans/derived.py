@@ -115,7 +115,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Packets and control messages are what a capture job leaves as a table; the queries start
 # from such a table, written once per application, instead of working it out in every scan.
 STAGED = ("packets", "control_msgs")
-_staged: dict[tuple[str, str, str], str] = {}
+_staged: dict[tuple, str] = {}
+
+
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """The path with the number, bytes and last change of its files: another table under the same path has another state."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getContentSummary(folder)
+    return path, size.getFileCount(), size.getLength(), files.getFileStatus(folder).getModificationTime()
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,7 +134,7 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     if name not in STAGED:
         return derived()
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, name, *table_state(spark, f"{sf_dir}/{source}.parquet"))
     if key not in _staged:
         path = scratch_dir(spark, name)
         derived().write.parquet(path)

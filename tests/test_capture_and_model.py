@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from flowloom.operators import clean, training
+from flowloom.plans.derived import table_state
 from flowloom.plans.model_queries import prepared
 from flowloom.plans.training_queries import FEATURES, IDS
 from flowloom.sources import pcap
@@ -122,6 +123,92 @@ def test_scaling_divides_by_one_without_variance(spark):
     assert [tuple(r) for r in training.scale(df, training.scaler_stats(df, ["a", "b"]), ["a", "b"]).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
 
 
+@pytest.fixture(scope="module")
+def small_forests(spark):
+    """Query results under forests of a size that suits tests."""
+    training.train_forest.__defaults__ = (SMALL,)
+    try:
+        names = ["train_forest", "predict_proba", "predict_label", "holdout_eval", "model_load", "model_contract_check", "eval_saved_model", "eval_saved_report", "stream_score", "batch_score", "alert_line_scored"]
+        yield {n: entry_module.queries()[n](spark, SF_SMALL).toPandas() for n in names}
+    finally:
+        training.train_forest.__defaults__ = (training.ForestConfig(),)
+
+
+def test_importances_are_shares(small_forests):
+    found = small_forests["train_forest"].set_index("feature").importance
+    assert list(found.index) == FEATURES and found.between(0, 1).all() and abs(found.sum() - 1) < 1e-9
+    # the class follows from these two
+    assert found["tot_fwd_pkts"] + found["syn_flag_cnt"] > 0.8 and found["bulk_zero"] == 0
+
+
+def test_scores_labels_and_saved_scores_agree(small_forests):
+    scored, labelled, loaded = (small_forests[n].sort_values(IDS) for n in ("predict_proba", "predict_label", "model_load"))
+    assert scored.score.between(0, 1).all() and scored.score.nunique() > 3
+    assert ((scored.score.to_numpy() > 0.5) == (labelled.predicted.to_numpy() == 1)).all()
+    assert (loaded.memory_score == loaded.loaded_score).all()
+    assert (loaded.loaded_score.to_numpy() == scored.score.to_numpy()).all()
+    unseen = scored[scored.is_test]
+    assert unseen[unseen[clean.LABEL_BINARY] == 1].score.min() > unseen[unseen[clean.LABEL_BINARY] == 0].score.quantile(0.95)
+
+
+def test_report_follows_from_the_scores(small_forests):
+    unseen = small_forests["predict_proba"].query("is_test")
+    report = small_forests["holdout_eval"].set_index("class")
+    y, hit = unseen[clean.LABEL_BINARY].to_numpy(), unseen.score.to_numpy() >= 0.5
+    line = report.loc["ATTACK"]
+    assert (line.tp, line.fp, line.fn, line.tn) == ((y & hit).sum(), ((1 - y) & hit).sum(), (y & ~hit).sum(), ((1 - y) & ~hit).sum())
+    assert line.accuracy == pytest.approx(((y == 1) == hit).mean()) and line.recall == pytest.approx(line.tp / y.sum())
+    assert report.loc["macro avg"].f1 == pytest.approx((report.loc["ATTACK"].f1 + report.loc["BENIGN"].f1) / 2)
+
+
+def test_sweep_of_the_whole_table(small_forests):
+    sweep, report = small_forests["eval_saved_model"], small_forests["eval_saved_report"]
+    for part, rows in sweep.groupby("part"):
+        rows = rows.sort_values("pos")
+        assert rows.threshold.tolist() == [0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]
+        # lower thresholds find more, and raise more false alarms
+        assert rows.tp.is_monotonic_increasing and rows.fp.is_monotonic_increasing and rows.tp.iloc[-1] <= rows.tp.iloc[-1] + rows.fn.iloc[-1]
+        assert ((rows.tn + rows.fp).nunique(), (rows.tp + rows.fn).nunique()) == (1, 1)
+        assert rows.detection.tolist() == pytest.approx((100 * rows.tp / (rows.tp + rows.fn)).tolist())
+        best = rows.loc[rows.f1.idxmax()]
+        line = report[(report.part == part) & (report["class"] == "ATTACK")].iloc[0]
+        assert (line.best_threshold, line.best_f1) == (best.threshold, pytest.approx(best.f1))
+        assert line.detection_pct == pytest.approx(rows.detection.iloc[0]) and line.false_alarm_pct == pytest.approx(rows.false_alarm.iloc[0])
+        assert rows.is_best_so_far.iloc[0] == (rows.f1.iloc[0] > 0)
+    totals = sweep.groupby("part").apply(lambda x: int((x.tn + x.fp + x.fn + x.tp).iloc[0]), include_groups=False)
+    assert 0 < totals["unseen rows"] < totals["all rows"]
+
+
+def test_contract_against_real_columns(small_forests):
+    found = small_forests["model_contract_check"].set_index("table")
+    assert found.missing.to_dict() == {"dirty_flows": "", "prepared": "", "without bulk_zero": "bulk_zero"}
+    assert found.loc["dirty_flows"].unused == "l_orderkey,l_linenumber,Label"
+    assert found.zero_row_score.between(0, 1).all() and found.zero_row_score.nunique() == 1
+
+
+def test_stream_scores_equal_batch_scores(small_forests):
+    key = ["ip_a", "ip_b", "port_a", "port_b", "proto", "seg_ts", "seg_id"]
+    both = small_forests["stream_score"].merge(small_forests["batch_score"], on=key, suffixes=("", "_batch"))
+    assert len(both) == len(small_forests["stream_score"]) == len(small_forests["batch_score"]) > 100
+    # a statistic may differ in its last digit and cross a limit of a tree
+    assert (abs(both.score - both.score_batch) < 1e-9).mean() > 0.99 and abs(both.score - both.score_batch).max() < 0.1
+    assert both.score.nunique() > 5
+
+
+def test_alert_lines_show_the_score(small_forests):
+    for _, row in small_forests["alert_line_scored"].iterrows():
+        assert ("ATTACK" in row.line) == (row.score > 0.4) and f"({row.score:.2f})" in row.line
+
+
+def test_another_table_under_the_same_path_is_another_state(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    first = table_state(spark, path)
+    assert table_state(spark, path) == first
+    spark.range(5).write.mode("append").parquet(path)
+    assert table_state(spark, path) != first
+
+
 CHECKED = ["flow_agg_pcap", "device_registry", "asof_dns_label", "health_counters", "iface_rate", "flow_segment_v1", "classification_report", "pcap_ingest"]
 
 
