@@ -4,27 +4,36 @@ Vectors are dealt into shards of nearly ``SHARD`` rows by hash. In each shard a
 search from the entry point proposes neighbours for each vector, and robust pruning keeps the diverse ones: a
 candidate goes if ``ALPHA`` times its distance to one that was kept is not above its distance to the vector. Kept edges
 are entered in the other direction too, and full lists are pruned again. Rows are inserted in batches
-whose searches run together in numpy. Queries go to every shard, each with a beam search of width ``BEAM``; the best
-of all shards are ranked by exact inner products in double precision.
+whose searches run together in numpy. A shard's graph is built once and is a row of a table in the shared folder.
+
+Queries go to every shard, each with a beam search of width ``BEAM``; the best of all shards are ranked by exact inner
+products in double precision. A task of the search has one graph and a stream of at most about ``QUERIES`` queries, of which it
+holds a batch at a time; beyond that the queries are cut into more slices, each a task of its own with a copy of the
+graph. So what a task holds does not grow with the table, and what it does is bounded.
 
 Largest inner product is not a distance. Vectors are so extended by one coordinate,
 ``sqrt(M**2 - |v|**2)`` with M the largest norm, where Euclidean nearness to a query with 0 there is the order of
 inner products.
 
-Null vectors, zero vectors and those with a null or non-finite component, or of another length than most, take no part. Equal
+Rows without id, null vectors, zero vectors and those with a null or non-finite component, or of another length than most, take no part. Equal
 vectors are different candidates; a shard holds them as one node with several members.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm import tables
 
 SHARD = 4096
+QUERIES = 1 << 16
 DEGREE = 32
 ALPHA = 1.2
 BEAM = 64
@@ -126,40 +135,74 @@ def build(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width:
     return edges, entry
 
 
-def _search(k: int, largest: float):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        # rows come as the shuffle delivers them; in order of id, members of a node are too
-        shard, queries = frame[~frame["asks"]].sort_values("vec_id", kind="stable"), frame[frame["asks"]]
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if len(shard) == 0 or len(queries) == 0:
-            return empty
-        exact = np.stack(shard["embedding"].to_numpy()).astype(np.float64)
-        asked = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        kinds, members = np.unique(exact, axis=0, return_inverse=True)
-        members = members.reshape(-1)
-        extra = np.sqrt(np.maximum(largest * largest - np.square(kinds).sum(axis=1), 0))
-        points = np.concatenate([kinds, extra[:, None]], axis=1).astype(np.float32)
-        edges, entry = build(points)
-        norms = np.square(points).sum(axis=1)
-        by_kind = np.argsort(members, kind="stable")
-        begin = np.searchsorted(members[by_kind], np.arange(len(kinds) + 1))
-        ids = shard["vec_id"].to_numpy(np.int64)
-        out = []
-        for lo in range(0, len(asked), BATCH):
-            q = asked[lo : lo + BATCH]
-            own = queries["vec_id"].to_numpy(np.int64)[lo : lo + BATCH]
-            found, _ = beam_search(points, norms, edges, entry, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), max(BEAM, 2 * k))
-            row, place = np.nonzero(found >= 0)
-            kind = found[row, place]
-            score = np.einsum("nd,nd->n", q[row], kinds[kind])
-            # of one node's members the smallest ids come first; more than k + 1 cannot be wanted
-            many = np.minimum(begin[kind + 1] - begin[kind], k + 1)
-            rows, scores = np.repeat(row, many), np.repeat(score, many)
-            member = by_kind[np.arange(len(rows)) - np.repeat(np.cumsum(many) - many - begin[kind], many)]
-            table = pd.DataFrame({"query_id": own[rows], "vec_id": ids[member], "score": scores})
-            table = table[table["query_id"] != table["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(table.groupby("query_id", sort=False).head(k))
-        return pd.concat(out, ignore_index=True)
+def _floats(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
+
+
+def graph_of(ids: np.ndarray, exact: np.ndarray, largest: float) -> dict[str, np.ndarray]:
+    """The graph of a shard: equal vectors are one node, whose members are in order of id."""
+    order = np.argsort(ids, kind="stable")
+    ids, exact = ids[order], exact[order]
+    kinds, members = np.unique(exact, axis=0, return_inverse=True)
+    members = members.reshape(-1)
+    extra = np.sqrt(np.maximum(largest * largest - np.square(kinds).sum(axis=1), 0))
+    points = np.concatenate([kinds, extra[:, None]], axis=1).astype(np.float32)
+    edges, entry = build(points)
+    by_kind = np.argsort(members, kind="stable")
+    begin = np.searchsorted(members[by_kind], np.arange(len(kinds) + 1))
+    return {"kinds": kinds, "points": points, "edges": edges.astype(np.int32), "entry": np.array(entry), "begin": begin, "ids": ids[by_kind]}
+
+
+def search(graph: dict[str, np.ndarray], own: np.ndarray, asked: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of a shard for each query, the query's own row excepted."""
+    out = []
+    points, kinds, begin, edges = graph["points"], graph["kinds"], graph["begin"], graph["edges"].astype(np.int64)
+    norms = np.square(points).sum(axis=1)
+    for lo in range(0, len(asked), BATCH):
+        q, ids = asked[lo : lo + BATCH], own[lo : lo + BATCH]
+        found, _ = beam_search(points, norms, edges, int(graph["entry"]), np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), max(BEAM, 2 * k))
+        row, place = np.nonzero(found >= 0)
+        kind = found[row, place]
+        score = np.einsum("nd,nd->n", q[row], kinds[kind])
+        # of one node's members the smallest ids come first; more than k + 1 cannot be wanted
+        many = np.minimum(begin[kind + 1] - begin[kind], k + 1)
+        rows, scores = np.repeat(row, many), np.repeat(score, many)
+        member = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many - begin[kind], many)
+        table = pd.DataFrame({"query": rows, "query_id": ids[rows], "vec_id": graph["ids"][member], "score": scores})
+        table = table[table["query_id"] != table["vec_id"]].sort_values(["query", "score", "vec_id"], ascending=[True, False, True])
+        out.append(table.groupby("query", sort=False).head(k).drop(columns="query"))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+
+def _building(largest: float):
+    def run(shard: pa.Table) -> pa.Table:
+        graph = graph_of(shard.column("vec_id").to_numpy(), _floats(shard.column("embedding")), largest)
+        packed = io.BytesIO()
+        np.savez(packed, **graph)
+        return pa.table({"shard": shard.column("shard").slice(0, 1), "graph": pa.array([packed.getvalue()], pa.binary())})
+
+    return run
+
+
+def _searching(k: int):
+    """Rows in order of (shard, slice): the graph, then its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, own = None, None
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            new = np.flatnonzero(batch.column("graph").is_valid().to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate([[0], new, np.flatnonzero(np.diff(place)) + 1, [len(place)]]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if batch.column("graph")[lo].is_valid:
+                    with np.load(io.BytesIO(batch.column("graph")[lo].as_py())) as packed:
+                        graph, own = {n: packed[n] for n in packed.files}, place[lo]
+                    lo += 1
+                if lo < hi and own == place[lo]:  # a shard that the hash left empty has no graph
+                    some = batch.slice(lo, hi - lo)
+                    found = search(graph, some.column("query_id").to_numpy(), _floats(some.column("vector")), k)
+                    yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     return run
 
@@ -180,11 +223,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
     n, largest = rows.agg(F.count("*"), F.sqrt(F.max(norm))).first()
     shards = tables.parts_for(n, SHARD)
-    placed = rows.withColumn("shard", tables.spread("vec_id", parts=shards, seed="shard"))
-    asked = rows.filter(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
-    search = _search(k, float(largest or 0.0))
-    found = tables.kept(both.repartition(shards, "shard").groupBy("shard").applyInPandas(search, "query_id long, vec_id long, score double"), "found")
+    # a partition for each shard, however many there are: a hash would put two into one
+    placed = rows.withColumn("shard", tables.spread("vec_id", parts=shards, seed="shard")).repartitionById(shards, F.col("shard"))
+    graphs = placed.groupBy("shard").applyInArrow(_building(float(largest or 0.0)), "shard int, graph binary")
+    graphs = tables.kept(graphs, "graphs")
+    asked = tables.kept(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "queries")
+    slices = tables.parts_for(asked.count(), QUERIES)
+    every = F.sequence(F.lit(0), F.lit(slices - 1))
+    held = graphs.withColumn("slice", F.explode(every)).select("shard", "slice", "graph")
+    sent = asked.withColumn("slice", tables.spread("query_id", parts=slices, seed="slice"))
+    sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = held.unionByName(sent, allowMissingColumns=True).withColumn("place", F.col("shard") * slices + F.col("slice"))
+    dealt = both.repartitionById(shards * slices, F.col("place")).sortWithinPartitions("place", F.col("graph").isNull(), "query_id")
+    walked = dealt.select("place", "graph", "query_id", "vector").mapInArrow(_searching(k), "query_id long, vec_id long, score double")
+    found = tables.kept(walked, "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

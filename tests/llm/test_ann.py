@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,10 +57,26 @@ def test_smallest_ids_of_equal_vectors_in_any_order():
     x = rng.normal(size=(60, 8))
     x[:40] = 3 * x[0]
     order = rng.permutation(60)
-    rows = pd.DataFrame({"vec_id": order, "embedding": [x[i] for i in order], "asks": False})
-    query = pd.DataFrame({"vec_id": [0], "embedding": [x[0]], "asks": [True]})
-    found = ann._search(20, float(np.sqrt(np.square(x).sum(axis=1).max())))(pd.concat([rows, query], ignore_index=True))
-    assert found.vec_id.tolist() == list(range(1, 21))
+    graph = ann.graph_of(order, x[order], float(np.sqrt(np.square(x).sum(axis=1).max())))
+    assert ann.search(graph, np.array([0]), x[:1], 20).vec_id.tolist() == list(range(1, 21))
+
+
+def test_what_a_task_holds_does_not_grow_with_the_queries(spark, monkeypatch):
+    """Many shards and slices: every pair of them once, with one graph and a part of the queries; results stay."""
+    table = "/root/testdata/sf0.01/embeddings.parquet"
+    vectors = spark.read.parquet(table)
+    whole = ann.nearest(vectors, F.col("vec_id") % 2 == 0, k=5).toPandas()
+    monkeypatch.setattr(ann, "SHARD", 120)
+    monkeypatch.setattr(ann, "QUERIES", 60)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cut = ann.nearest(vectors, F.col("vec_id") % 2 == 0, k=5).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(cut) == len(whole) == 5 * 250
+    both = cut.merge(whole, on=["query_id", "vec_id"])
+    assert len(both) > 0.97 * len(whole) and (both.score_x == both.score_y).all()
 
 
 def test_smallest_ids_of_equal_vectors_in_a_shuffled_table(spark):
