@@ -11,8 +11,11 @@ so few edits. Segments are indexed by (l, number, hash). A line looks up, for ea
 near and not longer line can have, those of its substrings that can be that line's segment: around
 the segment's place, as far as the edits before and after it allow. Index entries and look-ups meet in lists that are
 read in order as a stream; entries carry counts of bytes in 16 bins, and pairs whose counts differ by more
-than so many edits can are left out. Lists of more than ``LONG`` entries are cut into parts and each two parts meet in a
-task of their own. The rest is verified by banded bit-parallel edit distance on the lines themselves.
+than so many edits can are left out. The rest is verified by banded bit-parallel edit distance on the lines themselves.
+
+Lists of more than ``LONG`` entries (a template with a counter) come last. For classes each of their lines is compared with
+the list's ``PIVOTS`` first; then only lines of different classes are, so that a list whose lines are one class by
+then is not looked at again. Long lists are cut into parts and each two parts meet in a task of their own.
 
 Equal lines are one node, however many. Null and empty texts have no lines; a text of which every line repeats
 earlier ones is left empty. Rows with equal id and text are treated alike.
@@ -36,6 +39,9 @@ WORDS = 5
 EVERY = 1
 EXACT_BELOW = 32
 LONG = 2048
+PIVOTS = 4
+#: A line with more than this share of all lines is joined by a broadcast; there are at most 1 / HOT of them.
+HOT = 1e-4
 #: Pairs looked at together in memory.
 CHUNK = 1 << 20
 U = np.uint64
@@ -255,22 +261,39 @@ def _pairs(edits: int):
 
 def _met_in_parts(edits: int):
     def run(met: pd.DataFrame) -> pd.DataFrame:
+        met = met.sort_values("key", kind="stable")
         columns = [met[c].to_numpy(np.int64).view(U) for c in ("key", "entry", "bins")]
         found = list(_met(*columns, edits))
         both = np.unique(np.concatenate(found), axis=0).view(np.int64) if found else np.zeros((0, 2), np.int64)
+        if "root" in met.columns and len(both):
+            lines, at = np.unique(met["entry"].to_numpy(np.int64) & ~1, return_index=True)
+            roots = met["root"].to_numpy(np.int64)[at]
+            both = both[roots[np.searchsorted(lines, both[:, 0])] != roots[np.searchsorted(lines, both[:, 1])]]
         return pd.DataFrame(both, columns=["a", "b"])
 
     return run
 
 
 def _long_pairs(entries: DataFrame, edits: int) -> DataFrame:
+    """Pairs that long lists hold; with a column ``root`` only those of different roots."""
     counts = entries.groupBy("key").agg(F.ceil(F.count("*") / (2 * LONG)).cast("int").alias("parts"))
     parted = entries.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
     met = parted.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    met = met.select("key", F.greatest("part", "other").alias("high"), F.least("part", "other").alias("low"), "entry", "bins")
+    rooted = ["root"] if "root" in entries.columns else []
+    met = met.select("key", F.greatest("part", "other").alias("high"), F.least("part", "other").alias("low"), "entry", "bins", *rooted)
     return met.groupBy("key", "high", "low").applyInPandas(_met_in_parts(edits), "a long, b long")
 
 
+def _pivot_pairs(entries: DataFrame) -> DataFrame:
+    """Every line of a long list with the first few of the list."""
+    line = F.expr("entry & ~1L")
+    # the first few of each of 64 parts, then of these
+    parts = entries.groupBy("key", F.pmod(F.xxhash64("entry"), F.lit(64)).alias("part")).agg(F.min(line).alias("low"))
+    pivots = parts.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("low")), 1, PIVOTS).alias("pivots"))
+    met = entries.select("key", line.alias("x")).distinct().join(pivots, "key").select("x", F.explode("pivots").alias("p")).filter("x != p")
+    return met.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+
+
 def _line_texts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,14 +315,16 @@ def _verify(edits: int):
     return run
 
 
-def links(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
-    """All pairs ``a < b`` of ids of different lines within so many edits."""
+def _candidates(docs: DataFrame, edits: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of short lists, and the entries of long ones."""
     entries = docs.select("text").mapInArrow(_entries(edits, words), "key long, entry long, bins long")
     ordered = entries.repartition("key").sortWithinPartitions("key")
     found = tables.kept(ordered.mapInArrow(_pairs(edits), "a long, b long, key long, bins long"), "line-pairs")
-    short = found.filter("key IS NULL").select("a", "b")
-    long = _long_pairs(found.filter("key IS NOT NULL").select("key", F.col("a").alias("entry"), "bins"), edits)
-    pairs = tables.kept(short.unionByName(long).distinct(), "line-pairs")
+    return found.filter("key IS NULL").select("a", "b"), found.filter("key IS NOT NULL").select("key", F.col("a").alias("entry"), "bins")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, edits: int, words: int) -> DataFrame:
+    pairs = tables.kept(pairs.distinct(), "line-pairs")
     needed = tables.kept(pairs.select(F.col("a").alias("line")).distinct().unionByName(pairs.select(F.col("b").alias("line")).distinct()).distinct(), "needed")
     lines = docs.select("text").mapInArrow(_line_texts(words), "line long, bytes binary").join(tables.hinted(needed, 1_000_000), "line").dropDuplicates(["line"])
     lines = tables.kept(lines, "line-texts")
@@ -308,6 +333,24 @@ def links(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
     return tables.kept(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(edits), "a long, b long"), "line-links")
 
 
+def links(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
+    """All pairs ``a < b`` of ids of different lines within so many edits."""
+    short, entries = _candidates(docs, edits, words)
+    return _verified(docs, short.unionByName(_long_pairs(entries, edits)), edits, words)
+
+
+def components(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
+    """``node`` and ``root`` as links give them, without all pairs of long lists."""
+    short, entries = _candidates(docs, edits, words)
+    if not entries.take(1):
+        return graph.components(_verified(docs, short, edits, words))
+    roots = graph.components(_verified(docs, short.unionByName(_pivot_pairs(entries)), edits, words))
+    rooted = entries.withColumn("node", F.expr("entry & ~1L")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    more = _verified(docs, _long_pairs(rooted.join(mixed, "key"), edits), edits, words)
+    return graph.components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
+
 def occurrences(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``text_hash``, ``number`` and ``line`` (id) of all lines that are compared."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -319,7 +362,7 @@ def classes(docs: DataFrame, found: DataFrame, edits: int = EDITS, words: int =
     """One row for each distinct line: ``line``, ``copies``, ``class_id``, ``first`` and ``class_first`` (the
     smallest doc_id, text_hash and number where the line, or a line of its class, occurs; a null doc_id is smaller than
     others), ``class_copies``."""
-    roots = graph.components(links(docs, edits, words)).select(F.col("node").alias("line"), "root")
+    roots = components(docs, edits, words).select(F.col("node").alias("line"), "root")
     lines = found.groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").alias("d"), "text_hash", "number")).alias("first"))
     lines = lines.join(roots, "line", "left").withColumn("class_id", F.coalesce("root", "line")).drop("root")
     whole = lines.groupBy("class_id").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_copies"))
@@ -344,8 +387,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
     """The documents, each line only where it or a near one occurs first; texts of which nothing is left go."""
     found = tables.kept(occurrences(docs, words), "lines")
-    repeated = classes(docs, found, edits, words).filter("class_copies > 1").select("line", "class_first")
-    again = found.join(repeated, "line").filter(F.struct(F.col("doc_id").alias("d"), "text_hash", "number") != F.col("class_first"))
+    repeated = tables.kept(classes(docs, found, edits, words).filter("class_copies > 1").select("line", "copies", "class_first"), "repeated")
+    often = F.col("copies") > HOT * repeated.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot, rest = repeated.filter(often).drop("copies"), repeated.filter(~often).drop("copies")
+    cold = found.join(F.broadcast(hot.select("line")), "line", "left_anti").join(rest, "line")
+    again = found.join(F.broadcast(hot), "line").unionByName(cold).filter(F.struct(F.col("doc_id").alias("d"), "text_hash", "number") != F.col("class_first"))
     drops = again.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("number").alias("__drop"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").drop("__doc", "__hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -112,3 +112,15 @@ def test_every_line_in_query_and_pipeline(spark, tmp_path):
     found = queries.op4_line_dedup(spark, str(tmp_path)).collect()
     assert len(found) == len({line for x in texts for line in x.split("\n") if line.strip()})
     assert Counter(r["copies"] for r in found) == {1: 6, 2: 2} and sum(not r["kept"] for r in found) == 1
+
+
+@pytest.mark.parametrize("long", [2048, 8])
+def test_components_of_long_lists_equal_those_of_all_links(spark, monkeypatch, long):
+    """Also where a line is near none of a list's pivots."""
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    rng = random.Random(11)
+    rows = edited() + [data.row(7000 + i, f"one template that goes on {rng.randrange(10**6):06d} and on with a number in it") for i in range(150)]
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    wanted = line_dedup.graph.components(line_dedup.links(docs))
+    found = line_dedup.components(docs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
