@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from flowloom.llm import tables
 
 HEIGHT = 10
-#: Rows for each part of the order; a part is one task's sort.
-PART = 200_000
+#: Rows for each part of the order, at most and (unless that makes more parts than the cluster shuffles into) at least; a part is one task's sort.
+PART, LEAST_PART = 200_000, 2_000
 _PROOF = "array<struct<before:string,after:string>>"
 _PROOF_ARROW = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
 
@@ -129,7 +129,8 @@ def _down(block: pa.Table, above: pa.Table) -> pa.Table:
 
 def _placed(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` (tree, order columns ``o``, digest) with ``at``, the place in its tree, and ``rows``, the tree's number of them; written."""
-    parts = tables.parts_for(rows.count(), PART)
+    n = rows.count()
+    parts = max(tables.parts_for(n, PART), min(tables.parts_for(n, LEAST_PART), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.withColumn("__twin", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(parts, "tree", F.col("o").asc_nulls_first(), "digest", "__twin") if parts > 1 else rows.coalesce(1)
     dealt = tables.kept(dealt.withColumn("part", F.spark_partition_id()), f"{name}-dealt")
