@@ -330,7 +330,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, edits: int, words: int) -> Data
     lines = tables.kept(lines, "line-texts")
     x = lines.select(F.col("line").alias("a"), F.col("bytes").alias("x"))
     y = lines.select(F.col("line").alias("b"), F.col("bytes").alias("y"))
-    return tables.kept(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(edits), "a long, b long"), "line-links")
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return tables.kept_in_small_batches(met.mapInArrow(_verify(edits), "a long, b long"), "line-links")
 
 
 def links(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:

@@ -330,7 +330,8 @@ class _Search:
         full = tables.kept(full.dropDuplicates(["id"]), "full-sets")
         x = full.select(F.col("id").alias("a"), F.col("grams").alias("x"))
         y = full.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_exact(self.percent), "a long, b long")
+        met = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return tables.kept_in_small_batches(met.mapInArrow(_exact(self.percent), "a long, b long"), "verified")
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:

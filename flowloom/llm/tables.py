@@ -22,6 +22,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_in_small_batches(df: DataFrame, name: str, rows: int = 256) -> DataFrame:
+    """:func:`kept` with Arrow batches of at most ``rows`` rows, for Python steps whose rows hold whole texts or sets."""
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, str(rows))
+    try:
+        return kept(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 def hinted(stored: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """A stored table, marked for broadcasting if it is counted to be small; else Spark joins it as it sees fit."""
     return F.broadcast(stored) if stored.count() <= most_rows else stored
