@@ -2,17 +2,20 @@
 
 Each text becomes a vector of transformed statistics (``FEATURES``). For every (lang, source)
 a minimum-covariance-determinant estimate gives centre and scatter: concentration steps keep
-the ``SUPPORT`` share of vectors nearest to the estimate so far and estimate anew from them.
-A document whose squared Mahalanobis distance is above ``CUTOFF`` is rejected.
+the ``SUPPORT`` share of vectors nearest to the estimate so far and estimate anew from them. They begin at
+four deterministic starts: medians and quartile ranges; mean and covariance; and medians with the correlations of
+squashed values, or of directions from the median. Of the four ends the one with the smallest determinant counts (ties: the
+start named first). A document whose squared Mahalanobis distance is above ``CUTOFF`` is rejected.
 
-The steps are aggregations over all rows. The nearest share is found from a histogram of log
+The steps are aggregations over all rows, of all starts at once. The nearest share is found from a histogram of log
 distances whose cells also hold the moments, so one pass gives both; per group only its cells
 meet, never its rows. Estimates of groups are drawn towards those of all rows by the weight of
 ``PRIOR`` rows, and variances have a floor (``FLOORS``): a statistic that is zero in nearly
 every text would else reject any text where it is not. A group of any size follows this rule.
 
 Null texts are empty; null lang or source is a group of its own; empty texts have no words and
-fail the fixed limits. Repeated rows are judged alike, each on its own.
+fail the fixed limits. Repeated rows are judged alike, each on its own. Of an empty table nothing is left. Further columns
+may have any name: whole rows are carried in one column.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm import tables, texts
 
 SUPPORT = 0.75
-STEPS = 4
+#: The share after the starts, which are rough: fewer vectors, so fewer outliers among them.
+FIRST_SUPPORT = 0.5
+STEPS = 8
 PRIOR = 100
 #: One in 200,000 of chi-square with five degrees of freedom.
 CUTOFF = 32.3
@@ -85,8 +91,7 @@ def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the counts of each text, in columns ``__n_words`` and so on."""
     df = docs.select(*keep, F.col("text").alias("__text"))
     fields = [f for f in df.schema.fields if f.name != "__text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"__{c} long" for c in _COUNTS)])
-    return df.mapInArrow(_count, schema)
+    return df.mapInArrow(_count, T.StructType([*fields, *(T.StructField(f"__{c}", T.LongType()) for c in _COUNTS)]))
 
 
 def _vector() -> list[Column]:
@@ -115,12 +120,12 @@ def _estimate(n: float, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.nd
     return centre, q / max(n, 1) - np.outer(centre, centre)
 
 
-def _nearest(cells: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """Moments of the nearest share, and the median of squared distances."""
+def _nearest(cells: pd.DataFrame, share: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """Moments of the nearest ``share``, and the median of squared distances."""
     cells = cells.sort_values("cell")
     upto = cells["n"].cumsum().to_numpy()
     total = upto[-1]
-    used = cells[np.concatenate([[True], upto[:-1] < SUPPORT * total])]
+    used = cells[np.concatenate([[True], upto[:-1] < share * total])]
     q = np.zeros((len(FEATURES),) * 2)
     for i, j in _pairs():
         q[i, j] = q[j, i] = used[f"q{i}_{j}"].sum()
@@ -128,24 +133,73 @@ def _nearest(cells: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray, float]
     return float(used["n"].sum()), used[[f"s{i}" for i in range(len(FEATURES))]].sum().to_numpy(float), q, 2.0 ** ((median + 0.5) / CELLS_PER_DOUBLING)
 
 
-_PARAMS = ", ".join(["__group string", *(f"m{i} double" for i in range(len(FEATURES))), *(f"p{i}_{j} double" for i, j in _pairs())])
+_DIMS = range(len(FEATURES))
+_PARAMS = ", ".join(["__group string", "start int", "logdet double", *(f"m{i} double" for i in _DIMS), *(f"p{i}_{j} double" for i, j in _pairs())])
 
 
-def _group_params(prior: tuple[np.ndarray, np.ndarray]):
-    def fit(cells: pd.DataFrame) -> pd.DataFrame:
-        n, s, q, median = _nearest(cells)
+def _params(group: str, start: int, centre: np.ndarray, scatter: np.ndarray, scale: float = 1.0) -> dict:
+    """A row of :data:`_PARAMS`; variances are raised to their floor, ``scale`` is not part of the determinant."""
+    scatter = scatter + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(scatter)))
+    sign, logdet = np.linalg.slogdet(scatter)
+    inverse = np.linalg.pinv(scatter * scale)
+    return {"__group": group, "start": start, "logdet": logdet if sign > 0 else np.inf, **{f"m{i}": centre[i] for i in _DIMS}, **{f"p{i}_{j}": inverse[i, j] for i, j in _pairs()}}
+
+
+def _begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The starts of each group from its medians, scales and three sorts of moments of its scaled values."""
+    for batch in batches:
+        rows = []
+        for g in batch.to_dict("records"):
+            n, median, scale = g["n"], np.array([g[f"c{i}"] for i in _DIMS]), np.array([g[f"w{i}"] for i in _DIMS])
+            rows.append(_params(g["__group"], 0, median, np.diag(scale**2)))
+            for start, sort in enumerate(_SORTS, 1):
+                centre = np.array([g[f"{sort}{i}"] for i in _DIMS]) / n
+                q = np.zeros((len(FEATURES),) * 2)
+                for i, j in _pairs():
+                    q[i, j] = q[j, i] = g[f"{sort}{i}_{j}"] / n
+                if sort == "plain":
+                    q, middle = q - np.outer(centre, centre), median + scale * centre
+                else:
+                    # only the shape of bounded values is used: their correlations, about the median
+                    deviation = np.sqrt(np.maximum(np.diag(q), 1e-12))
+                    q, middle = q / np.outer(deviation, deviation), median
+                    np.fill_diagonal(q, 1.0)
+                rows.append(_params(g["__group"], start, middle, q * np.outer(scale, scale)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARAMS.split(", ")])
+
+
+#: Values whose moments give a start each: as they are, squashed one by one, and directions from the median.
+_SORTS = ("plain", "squashed", "direction")
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """For every ``__group`` one row of parameters for each start; two passes over the rows."""
+    cut = [F.percentile_approx(f"__x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"c{i}") for i in _DIMS]
+    found = vectors.groupBy("__group").agg(*cut)
+    scale = [F.greatest((F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349, F.lit(FLOORS[i])).alias(f"w{i}") for i in _DIMS]
+    found = tables.kept(found.select("__group", *(F.col(f"c{i}")[1].alias(f"c{i}") for i in _DIMS), *scale), "mcd-scales")
+    scaled = vectors.select("__group", *(f"__x{i}" for i in _DIMS)).join(tables.hinted(found), "__group")
+    scaled = scaled.select("*", *(((F.col(f"__x{i}") - F.col(f"c{i}")) / F.col(f"w{i}")).alias(f"plain_{i}") for i in _DIMS))
+    length = F.sqrt(sum((F.col(f"plain_{i}") * F.col(f"plain_{i}") for i in _DIMS), F.lit(0.0)))
+    scaled = scaled.select("*", F.greatest(length, F.lit(1e-9)).alias("length"), *(F.tanh(f"plain_{i}").alias(f"squashed_{i}") for i in _DIMS))
+    scaled = scaled.select("*", *((F.col(f"plain_{i}") / F.col("length")).alias(f"direction_{i}") for i in _DIMS))
+    sums = [F.sum(f"{t}_{i}").alias(f"{t}{i}") for t in _SORTS for i in _DIMS] + [F.sum(F.col(f"{t}_{i}") * F.col(f"{t}_{j}")).alias(f"{t}{i}_{j}") for t in _SORTS for i, j in _pairs()]
+    kept = [F.first(f"{c}{i}").alias(f"{c}{i}") for c in "cw" for i in _DIMS]
+    return scaled.groupBy("__group").agg(F.count("*").alias("n"), *kept, *sums).mapInPandas(_begin, _PARAMS)
+
+
+def _concentrate(priors: dict[int, tuple[np.ndarray, np.ndarray]], share: float):
+    def step(cells: pd.DataFrame) -> pd.DataFrame:
+        start, prior = int(cells["start"].iloc[0]), priors[int(cells["start"].iloc[0])]
+        n, s, q, median = _nearest(cells, share)
         centre, scatter = _estimate(n, s, q)
         # a steady scale: the median distance of a good estimate is that of chi-square
-        scatter = scatter * np.clip(median / CHI_MEDIAN, 1.0, 4.0) if cells["scaled"].iloc[0] else scatter
+        scale = float(np.clip(median / CHI_MEDIAN, 1.0, 4.0)) if cells["scaled"].iloc[0] else 1.0
         w, gap = n / (n + PRIOR), centre - prior[0]
-        scatter = w * scatter + (1 - w) * prior[1] + w * (1 - w) * np.outer(gap, gap)
-        centre = w * centre + (1 - w) * prior[0]
-        scatter = scatter + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(scatter)))
-        inverse = np.linalg.pinv(scatter)
-        row = {"__group": cells["__group"].iloc[0], **{f"m{i}": centre[i] for i in range(len(centre))}, **{f"p{i}_{j}": inverse[i, j] for i, j in _pairs()}}
-        return pd.DataFrame([row])
+        scatter = w * scatter + ((1 - w) * prior[1] + w * (1 - w) * np.outer(gap, gap)) / scale
+        return pd.DataFrame([_params(cells["__group"].iloc[0], start, w * centre + (1 - w) * prior[0], scatter, scale)])
 
-    return fit
+    return step
 
 
 def _distance() -> Column:
@@ -160,31 +214,42 @@ def _cell(distance: Column) -> Column:
     return F.floor(F.log2(F.greatest(distance, F.lit(1e-6))) * CELLS_PER_DOUBLING).cast("int")
 
 
-def fit(vectors: DataFrame) -> DataFrame:
-    """Centre and inverse scatter of every ``__group`` of ``vectors``, from all its rows.
+def concentrated(vectors: DataFrame) -> DataFrame:
+    """Parameters of every ``__group`` after all steps, one row for each start, with the logarithm of the determinant.
 
-    ``vectors`` should be a stored table: it is read once for the start and once for each step.
+    ``vectors`` should be a stored table: it is read twice for the starts and once for each step.
     """
-    cut = [F.percentile_approx(f"__x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"c{i}") for i in range(len(FEATURES))]
-    start = vectors.groupBy("__group").agg(*cut)
-    scale = [F.greatest((F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(len(FEATURES))]
-    params = start.select("__group", *(F.col(f"c{i}")[1].alias(f"m{i}") for i in range(len(FEATURES))), *((1 / scale[i] / scale[i] if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _pairs()))
-    params = tables.kept(params, "mcd")
-    sums = ["n", *(f"s{i}" for i in range(len(FEATURES))), *(f"q{i}_{j}" for i, j in _pairs())]
+    params = tables.kept(_starts(vectors), "mcd")
+    sums = ["n", *(f"s{i}" for i in _DIMS), *(f"q{i}_{j}" for i, j in _pairs())]
+    slim = vectors.select("__group", *(f"__x{i}" for i in _DIMS))
     for step in range(STEPS):
-        placed = vectors.join(tables.hinted(params), "__group").withColumn("cell", _cell(_distance()))
-        cells = tables.kept(placed.groupBy("__group", "cell").agg(*_moments()).withColumn("scaled", F.lit(step == STEPS - 1)), "mcd-cells")
-        # added up over the groups: one row for each cell, of which there are a few hundred
-        pooled = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in sums)).toPandas()
+        share = SUPPORT if step else FIRST_SUPPORT
+        placed = slim.join(tables.hinted(params), "__group").withColumn("cell", _cell(_distance()))
+        cells = tables.kept(placed.groupBy("__group", "start", "cell").agg(*_moments()).withColumn("scaled", F.lit(step == STEPS - 1)), "mcd-cells")
+        # added up over the groups: one row for each start and cell, of which there are a few hundred
+        pooled = cells.groupBy("start", "cell").agg(*(F.sum(c).alias(c) for c in sums)).toPandas()
         if len(pooled) == 0:
             return params
-        n, s, q, _ = _nearest(pooled)
-        centre, scatter = _estimate(n, s, q)
-        prior = centre, scatter + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(scatter)))
-        params = tables.kept(cells.groupBy("__group").applyInPandas(_group_params(prior), _PARAMS), "mcd")
+        priors = {}
+        for start, own in pooled.groupby("start"):
+            n, s, q, _ = _nearest(own, share)
+            centre, scatter = _estimate(n, s, q)
+            priors[int(start)] = centre, scatter + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(scatter)))
+        params = tables.kept(cells.groupBy("__group", "start").applyInPandas(_concentrate(priors, share), _PARAMS), "mcd")
     return params
 
 
+def smallest(found: DataFrame) -> DataFrame:
+    """Of every ``__group`` the parameters with the smallest determinant."""
+    best = found.groupBy("__group").agg(F.min_by(F.struct(*found.columns[1:]), F.struct("logdet", "start")).alias("best"))
+    return best.select("__group", "best.*").drop("start", "logdet")
+
+
+def fit(vectors: DataFrame) -> DataFrame:
+    """Centre and inverse scatter of every ``__group`` of ``vectors``, from all its rows."""
+    return tables.kept(smallest(concentrated(vectors)), "mcd")
+
+
 def vectors(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, the counts (``__n_words`` ..), ``__group`` and the vector (``__x0`` ..) of each document."""
     grouped = docs.withColumn("__group", F.to_json(F.array("lang", "source")))
@@ -206,5 +271,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; texts are read a second time instead of being stored."""
-    slim = tables.kept(vectors(docs, []), "quality")
-    return judge(vectors(docs, docs.columns), fit(slim)).filter("__kept").select(*docs.columns)
+    used = docs.select("lang", "source", "text")
+    slim = tables.kept(vectors(used, []), "quality")
+    rows = docs.select(F.struct("*").alias("__row"), "lang", "source", "text")
+    return judge(vectors(rows, ["__row"]), fit(slim)).filter("__kept").select("__row.*")

@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from flowloom.llm import quality
 from flowloom.llm.queries import op8_quality_rules
 from tests.llm import data
@@ -43,3 +46,62 @@ def test_empty_table_and_columns(spark):
     kept = quality.filtered(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert kept.exceptAll(docs).count() == 0
+
+
+def plain_mcd(x, share, floors):
+    """Centre, scatter and determinant by concentration steps on sorted distances, from many random starts."""
+    rng, best = np.random.default_rng(5), None
+    h = int(np.ceil(share * len(x)))
+    for _ in range(200):
+        own = x[rng.choice(len(x), 12, replace=False)]
+        for _ in range(60):
+            centre, scatter = own.mean(0), np.cov(own.T, bias=True)
+            scatter = scatter + np.diag(np.maximum(0, np.square(floors) - np.diag(scatter)))
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            own = x[np.argsort(d, kind="stable")[:h]]
+        det = np.linalg.slogdet(scatter)[1]
+        if best is None or det < best[2]:
+            best = centre, scatter, det
+    return best
+
+
+@pytest.mark.parametrize("kind", ["far cluster", "across the axis"])
+def test_smallest_determinant_against_a_plain_version(spark, monkeypatch, kind):
+    floors = (1e-3,) * 5
+    monkeypatch.setattr(quality, "FLOORS", floors)
+    rng = np.random.default_rng(7)
+    mixing = np.eye(5) + np.array([[0, 0.95, 0.9, 0, 0], [0, 0, 0.9, 0.5, 0], [0, 0, 0, 0.8, 0], [0, 0, 0, 0, 0.7], [0, 0, 0, 0, 0]])
+    x = rng.normal(size=(2000, 5)) @ mixing
+    if kind == "far cluster":
+        x[:400] = rng.normal(size=(400, 5)) * 0.2 + [9, -9, 9, -9, 9]
+    else:
+        x[:400] = (rng.normal(size=(400, 5)) * 0.3 + [2, -2, 2, -2, 2]) * np.array([1, 1, 1, 1, 1.5])
+    rows = [("g", *map(float, v)) for v in x]
+    vectors = spark.createDataFrame(rows, "__group string, " + ", ".join(f"__x{i} double" for i in range(5)))
+    centre, _, det = plain_mcd(x, quality.SUPPORT, floors)
+    every = quality.concentrated(vectors)
+    found = quality.smallest(every).toPandas().iloc[0]
+    ends = every.toPandas()
+    assert sorted(ends.start) == [0, 1, 2, 3] and ends.logdet.max() > ends.logdet.min() + 0.05
+    best = ends.sort_values(["logdet", "start"]).iloc[0]
+    assert best.m0 == found.m0 and best.p0_1 == found.p0_1
+    assert abs(best.logdet - det) < 0.1, (det, ends[["start", "logdet"]])
+    assert np.abs(found[[f"m{i}" for i in range(5)]].to_numpy(float) - centre).max() < 0.35
+    inverse = np.zeros((5, 5))
+    for i in range(5):
+        for j in range(i, 5):
+            inverse[i, j] = inverse[j, i] = found[f"p{i}_{j}"]
+    gap = x - found[[f"m{i}" for i in range(5)]].to_numpy(float)
+    out = np.einsum("ij,jk,ik->i", gap, inverse, gap) > quality.CUTOFF
+    assert out[400:].mean() < 0.01
+    if kind == "far cluster":
+        assert out[:400].all()
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame(data.odd_rows(), data.SCHEMA)
+    for i, name in enumerate(["__group", "__x0", "m0", "p0_0", "start", "__n_words", "__row", "__kept", "a.b", "a b"]):
+        docs = docs.withColumn(name, quality.F.lit(i))
+    kept = quality.filtered(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == quality.filtered(docs.select("doc_id", "text", "lang", "source", "n_chars")).count()
