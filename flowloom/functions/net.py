@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,16 +10,15 @@ from pyspark.sql import functions as F
 from flowloom.constants import ICMP_TYPES, PRIVATE_PATTERNS, PROTO_NAMES, UNKNOWN_MAC, VIRTUAL_PREFIXES
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 # IPv4 addresses mapped into IPv6 are as private as themselves.
 PRIVATE_PATTERN = "(?i)^((::ffff:)?(" + "|".join(p for p in PRIVATE_PATTERNS if "#" in p).replace("#", _OCTET) + ")|" + "|".join(p for p in PRIVATE_PATTERNS if "#" not in p) + ")$"
 
 
-def ipv4_number(ip: Column) -> Column:
-    """Dotted quad to bigint, null for any other text."""
+def four_numbers(ip: Column) -> list[Column]:
+    """The numbers of a dotted quad, which may be larger than an address allows (up to nine digits); null for any other text."""
     octets = F.split(ip, r"\.")
-    parts = [F.get(octets, F.lit(i)).try_cast("bigint") for i in range(4)]
-    return F.when(ip.rlike(IPV4_PATTERN), reduce(lambda acc, part: acc * 256 + part, parts))
+    quad = ip.rlike(r"^(0|[1-9][0-9]{0,8})(\.(0|[1-9][0-9]{0,8})){3}$")
+    return [F.when(quad, F.get(octets, F.lit(i)).try_cast("bigint")) for i in range(4)]
 
 
 def is_private(ip: Column) -> Column:

@@ -90,21 +90,25 @@ def with_display_name(devices: DataFrame, services: DataFrame, dhcp: DataFrame,
 
 
 def ip_bucket(ip: Column) -> Column:
-    """Rising with numeric address order: the /16 of an IPv4 address; other text comes after
-    all of them, by its first eight characters."""
+    """Rising with numeric address order: the first two numbers and the third by its multiples of 256, so the /16 of an
+    IPv4 address; other text comes after all of them, by its first eight characters."""
     text = [F.coalesce(F.ascii(F.substring(ip, i + 1, 1)), F.lit(0)).cast("bigint") * (128 ** (7 - i)) for i in range(8)]
     total = text[0]
     for t in text[1:]:
         total = total + t
-    return F.coalesce(F.shiftright(net.ipv4_number(ip), 16), F.lit(1 << 57) + total)
+    first, second, third, _ = net.four_numbers(ip)
+    return F.struct(
+        first.isNull().alias("is_text"), first.alias("first"), second.alias("second"), F.shiftright(third, 8).alias("third"),
+        F.when(first.isNull(), total).alias("text"),
+    )
 
 
 def ip_order(ip: Column) -> list[Column]:
-    return [net.ipv4_number(ip).asc_nulls_last(), ip.asc()]
+    return [*(n.asc_nulls_last() for n in net.four_numbers(ip)), ip.asc()]
 
 
 def sort_by_ip(df: DataFrame, ip: str = "ip") -> DataFrame:
-    """Rows by address as four numbers; text that is no IPv4 address comes last."""
+    """Rows by address as four numbers; text that is no dotted quad comes last."""
     return df.orderBy(*ip_order(F.col(ip)))
 
 

@@ -57,6 +57,15 @@ def test_numeric_order_puts_other_text_last(spark):
     assert [r.position for r in rows] == list(range(1, 8))
 
 
+def test_numbers_beyond_an_address_are_ordered_as_numbers(spark):
+    values = ["192.168.1000.2", "192.168.256.9", "192.168.99.1", "192.168.256.10", "300.1.1.1", "10.0.0.01", "192.168.70000.1", None]
+    frame = spark.createDataFrame([(v,) for v in values], "ip string")
+    wanted = ["192.168.99.1", "192.168.256.9", "192.168.256.10", "192.168.1000.2", "192.168.70000.1", "300.1.1.1"]
+    rows = devices.numbered_by_ip(frame).orderBy("position").collect()
+    assert [r.ip for r in rows][:6] == wanted and {r.ip for r in rows[6:]} == {"10.0.0.01", None}
+    assert [r.ip for r in devices.sort_by_ip(frame).collect()][:6] == wanted
+
+
 def test_alert_line(spark):
     df = spark.sql("SELECT 0.957D AS s, 3723000000L AS t, 'Wi-Fi' AS i, '10.0.0.5' AS a, '8.8.8.8' AS b, 5L AS sp, 443L AS dp, 6 AS p")
     flow = {"src_ip": F.col("a"), "dst_ip": F.col("b"), "sport": F.col("sp"), "dport": F.col("dp"), "proto": F.col("p")}
