@@ -61,10 +61,11 @@ def with_smallest_flag(
 
 
 def _with_group(df: DataFrame, per_group: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
-    """Join values that exist once per group; without groups there is a single row of them."""
-    if groups:
-        return df.join(per_group, groups, how)
-    return df.join(F.broadcast(per_group), F.lit(True), how)
+    """Join values that exist once per group; without groups there is a single row of them.
+
+    They are broadcast: a join that deals rows by group would sort the rows of a large one in a single task.
+    """
+    return df.join(F.broadcast(per_group), groups if groups else F.lit(True), how)
 
 
 def class_frequency(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +92,7 @@ def sample_cap(
     shares = class_frequency(df, label, [by])
     u = (hash_order(*[F.col(c) for c in ids], seed=seed) + F.lit(0.5)) / F.lit(float(HASH_RANGE))
     score = -F.log(u) * (F.col("share") if weighted else F.lit(1.0))
-    scored = df.join(shares.select(by, label, "share", "n_all"), [by, label]).withColumn("_score", score)
+    scored = _with_group(df, shares.select(by, label, "share", "n_all"), [by, label]).withColumn("_score", score)
     limits = shares.groupBy(by).agg(F.max("n_all").alias("n_all")).select(by, F.least("n_all", F.lit(cap)).alias("n_wanted"))
     # Buckets 1/64 wide on a log scale: the bucket that is ranked holds about cap / 64 rows.
     kept = keep_smallest(scored, [by], "_score", ids, F.floor(F.log("_score") * 64), limits)

@@ -102,3 +102,19 @@ def test_metrics_without_attacks(spark):
     sweep = metrics.threshold_sweep(scored)
     assert metrics.best_threshold(sweep).first() == (0.5, 0.0)
     assert metrics.detection_false_alarm(metrics.confusion_matrix(scored)).first() == (0.0, 50.0)
+
+
+def test_values_of_a_group_are_broadcast_whatever_the_threshold(spark):
+    """A join that deals rows by class or file sorts those of a large one in a single task."""
+    rows = spark.range(2000).selectExpr("id", "CAST(id % 2 AS INT) AS y", "concat('f', id % 3) AS source_file", "CAST(id % 2 AS STRING) AS Label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        split = sampling.split_stratified(rows, ["id"], label="y")
+        drawn = sampling.sample_cap(rows, ["id"], cap=100)
+        for df in (split, drawn):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert split.where("is_test").count() == 400 and drawn.count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
