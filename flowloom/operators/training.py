@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +17,10 @@ from flowloom.constants import SEED
 from flowloom.operators import clean, metrics
 
 
+# Counts of the bootstrap samples, one for each row and tree, that a part of the training rows may have (4 bytes each).
+COUNTS_IN_PART = 16_000_000
+
+
 @dataclass(frozen=True)
 class ForestConfig:
     trees: int = 300
@@ -112,15 +117,28 @@ def attack_probability(probability: Column) -> Column:
     return vector_to_array(probability)[1]
 
 
+def in_parts(df: DataFrame, rows: int, trees: int) -> DataFrame:
+    """Training rows in parts small enough to be cached one by one.
+
+    Spark keeps with each row how often each tree draws it, some 1.3 KB for 300 trees. A part is put into memory or, where
+    that is full, on disk as a whole, so a few large parts leave no memory to work in. Rows that lie in enough parts stay there.
+    """
+    wanted = math.ceil(rows * trees / COUNTS_IN_PART)
+    return df.repartition(wanted) if wanted > df.rdd.getNumPartitions() else df
+
+
 def train_forest(df: DataFrame, features: Sequence[str], config: ForestConfig = ForestConfig()) -> FlowModel:
     """Fit scaling and a class-weighted random forest on numeric feature columns.
 
     ``df`` is read several times (class counts, column statistics, bins, the forest's own
     cached copy); write or persist it first when it comes from raw files.
     """
-    weights = {r[config.label]: r.class_weight for r in class_weights(df, config.label).collect()}
+    classes = class_weights(df, config.label).collect()
+    weights = {r[config.label]: r.class_weight for r in classes}
     weight = F.lit(float(weights.get(0, 1.0)))
     weight = F.when(F.col(config.label) == 1, float(weights.get(1, 1.0))).otherwise(weight)
+    needed = df.select(*[clean.quoted(c) for c in features], clean.quoted(config.label), weight.alias("_weight"))
+    parted = in_parts(needed, sum(r.n_class for r in classes), config.trees)
     stages = [
         _scaling_stage(features, _collected(scaler_stats(df, features))),
         VectorAssembler(inputCols=[_scaled_name(i) for i in range(len(features))], outputCol="features"),
@@ -133,7 +151,7 @@ def train_forest(df: DataFrame, features: Sequence[str], config: ForestConfig =
             weightCol="_weight",
         ),
     ]
-    fitted = Pipeline(stages=stages).fit(df.withColumn("_weight", weight))
+    fitted = Pipeline(stages=stages).fit(parted)
     return FlowModel(fitted, list(features))
 
 

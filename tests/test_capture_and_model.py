@@ -95,6 +95,20 @@ def test_forest_finds_the_attacks(fitted):
     assert auc > 0.9
 
 
+def test_training_rows_lie_in_parts_of_bounded_size(spark, monkeypatch):
+    """Each row is cached with a count for every tree; parts that are small enough already stay as they are."""
+    monkeypatch.setattr(training, "COUNTS_IN_PART", 4000)
+    rows = spark.range(0, 1000, 1, 2).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS INT) AS Label_Binary", "id AS unused")
+    seen = []
+    fit = training.Pipeline.fit
+    monkeypatch.setattr(training.Pipeline, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    training.train_forest(rows, ["x"], training.ForestConfig(trees=40, depth=3))
+    training.train_forest(rows, ["x"], training.ForestConfig(trees=2, depth=3))
+    many, few = seen
+    assert many.rdd.getNumPartitions() == 10 and max(many.rdd.glom().map(len).collect()) <= 150
+    assert few.rdd.getNumPartitions() == 2 and many.count() == few.count() == 1000
+
+
 def test_balance_and_split(fitted):
     _, rows = fitted
     n = {(r.Label_Binary, r.is_test): r["count"] for r in rows.groupBy("Label_Binary", "is_test").count().collect()}
