@@ -214,3 +214,18 @@ def test_backlog_falls_to_nothing(spark, tmp_path):
     lag = jobs.file_backlog(spark, source, checkpoint).orderBy("batch_id").collect()
     assert [(r.files_taken, r.files_waiting) for r in lag] == [(4, 5), (4, 1), (1, 0)]
     assert lag[0].bytes_waiting == lag[1].bytes_taken + lag[2].bytes_taken and lag[-1].bytes_waiting == 0
+
+
+def test_even_files_when_most_rows_lie_in_a_short_time(spark, tmp_path):
+    from flowloom.plans.stream_queries import write_even_files
+
+    times = [i % 100 for i in range(3000)] + list(range(100, 60_000, 200)) + [None] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "pkt_id bigint, ts_us bigint").repartition(7)
+    write_even_files(df, str(tmp_path / "in"), 6)
+    written = spark.read.parquet(str(tmp_path / "in")).select("*", F.input_file_name().alias("file"))
+    sizes = sorted(r["count"] for r in written.groupBy("file").count().collect())
+    assert len(sizes) == 6 and sum(sizes) == len(times) and sizes[-1] <= 2 * len(times) / 6
+    spans = sorted((r.lo, r.hi) for r in written.where("ts_us IS NOT NULL").groupBy("file").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).collect())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    write_even_files(df.limit(0), str(tmp_path / "none"), 6)
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
