@@ -15,13 +15,12 @@ from flowloom.plans.catalog import query
 from flowloom.plans.derived import OWN_MACS, TEST_SERVICES, with_views
 from flowloom.plans.flow_queries import FLOW, rounded
 from flowloom.streaming import jobs
+from flowloom.streaming.ordered import LATER
 from flowloom.streaming.tracker import scorable, track
 
 SLICES = 6
 # Files of one slice arrive in any order, so the delay covers a slice.
 DELAY = "130 seconds"
-# Spark takes the moment 0 as behind a watermark that has not moved yet; tables that hold it are streamed a second later.
-LATER = 1_000_000
 # How long a clock runs on after the last packet.
 CLOCK_GOES_ON = 3_600_000_000
 

@@ -1,48 +1,63 @@
-"""Keyed stream operators that see the rows of a key in event order.
+"""Stream operators that see the rows of a key in event order.
 
-Rows may come in any order within the watermark delay. ``Ordered`` appends them to a list state without reading it
-and keeps one event-time timer per key, at the earliest moment that matters. When the watermark has passed that
-moment the rows that are due are handed on in order; the others go back to the list. What a subclass keeps
+Rows may come in any order within the watermark delay. ``Ordered`` appends them to a list state without reading it, as Arrow
+batches, and keeps one event-time timer per grouping key, at the earliest moment that matters. When the watermark has passed that
+moment the rows that are due are handed on as one table; the others stay in the list. What a subclass keeps
 between two calls is its own state. ``asof`` and ``bounded_cache`` are two such operators, the flow tracker is a third.
 
-Rows behind the watermark are dropped by Spark and counted in the query progress. All rows of a key meet in one task,
+A call to the state takes as long as the work on hundreds of rows, so operators with many small keys group by a share of the keys
+(``in_groups``) and work on all of its rows at once; the number of calls then follows the groups and not the keys.
+
+Rows behind the watermark are dropped by Spark and counted in the query progress. All rows of a group meet in one task,
 as keyed state requires; the source's rate limit bounds what a micro-batch brings, the delay what waits.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _AT = T.StructType([T.StructField("at_ms", T.LongType())])
+_CHUNK = T.StructType([T.StructField("low_us", T.LongType()), T.StructField("high_us", T.LongType()), T.StructField("rows", T.BinaryType())])
+# Spark takes the moment 0 as behind a watermark that has not moved yet; tables that hold it are streamed a second later.
+LATER = 1_000_000
+#: Shares that keys are dealt into; with state partitions by the hundred, take several for each.
+GROUPS = 512
 
 
 def with_event_time(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
 
 
+def in_groups(rows: DataFrame, key: str, groups: int = GROUPS) -> GroupedData:
+    """Rows grouped by a share of the keys."""
+    return rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups))).groupBy("_group")
+
+
 class Ordered(StatefulProcessor):
-    """rows: the columns kept of each row, microseconds first; the first ``order`` of them give the order. output: column names."""
+    """schema: the columns kept of each row, microseconds first as ``ts_us``."""
 
-    def __init__(self, rows: T.StructType, order: int, output: Sequence[str]) -> None:
-        self.rows, self.order, self.output = rows, order, list(output)
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema = schema
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
         """Takes the state that a subclass needs."""
 
-    def due(self, key: tuple, rows: list[tuple], next_us: int | None, watermark_us: int) -> tuple[list, int | None]:
-        """Takes rows in order; gives output rows, and when to be called again without any (microseconds)."""
+    def due(self, key: tuple, rows: pa.Table, watermark_us: int) -> tuple[pd.DataFrame | None, int | None]:
+        """Takes rows in any order; gives output rows, and when to be called again without any (microseconds)."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getListState("waiting", _CHUNK)
         self.wake = handle.getValueState("wake", _AT)
         self.opened(handle)
 
@@ -51,77 +66,96 @@ class Ordered(StatefulProcessor):
         self.handle.registerTimer(at)
         self.wake.update((at,))
 
+    def _chunk(self, rows: pa.RecordBatch) -> tuple[int, int, bytes]:
+        span = pc.min_max(rows.column(0)).as_py()
+        return span["min"], span["max"], rows.serialize().to_pybytes()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            columns = [batch[c].tolist() for c in self.rows.names]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
-            low = min(columns[0])
-            first = low if first is None else min(first, low)
-        known = self.wake.get()
-        if first is not None and (known is None or first // 1000 + 1 < known[0]):
-            if known is not None:
-                self.handle.deleteTimer(known[0])
-            self._wake_at(first)
+        chunks = [self._chunk(pa.RecordBatch.from_pandas(b[self.schema.names], schema=self.schema, preserve_index=False)) for b in rows if len(b)]
+        if chunks:
+            self.waiting.appendList(chunks)
+            first, known = min(c[0] for c in chunks), self.wake.get()
+            if known is None or first // 1000 + 1 < known[0]:
+                if known is not None:
+                    self.handle.deleteTimer(known[0])
+                self._wake_at(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[: self.order])
-        ready = bisect_right(held, watermark, key=lambda r: r[0])
-        due, rest = held[:ready], held[ready:]
-        next_us = rest[0][0] if rest else None
-        out, again = self.due(key, due, next_us, watermark)
+        due, rest = [], []
+        for low, high, data in self.waiting.get():
+            if low > watermark:
+                rest.append((low, high, data))
+                continue
+            rows = pa.ipc.read_record_batch(pa.py_buffer(data), self.schema)
+            if high > watermark:
+                ready = pc.less_equal(rows.column(0), watermark)
+                rest.append(self._chunk(rows.filter(pc.invert(ready))))
+                rows = rows.filter(ready)
+            due.append(rows)
+        out, again = self.due(key, pa.Table.from_batches(due, self.schema), watermark)
         if due and rest:
             self.waiting.put(rest)
         elif due:
             self.waiting.clear()
-        wakes = [t for t in (next_us, again) if t is not None]
+        wakes = [c[0] for c in rest] + ([] if again is None else [again])
         if wakes:
             self._wake_at(max(min(wakes), watermark))
         else:
             self.wake.clear()
-        if out:
-            yield pd.DataFrame(out, columns=self.output)
+        if out is not None and len(out):
+            yield out
 
     def close(self) -> None:
         pass
 
 
 _TEXT = T.StringType()
-_ASOF_ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ("ts_us", "side", "tie")] + [T.StructField("body", _TEXT)])
+_ASOF_ROWS = pa.schema([("ts_us", pa.int64()), ("side", pa.int64()), ("tie", pa.int64()), ("key", pa.string()), ("body", pa.string())])
 _ASOF_OUT = T.StructType([T.StructField("key", _TEXT), T.StructField("body", _TEXT), T.StructField("value", _TEXT)])
+_VALUES = T.StructType([T.StructField("keys", T.ArrayType(_TEXT)), T.StructField("bodies", T.ArrayType(_TEXT))])
 
 
 class _AsOf(Ordered):
-    """The value that is valid now is all that is kept of the past; values to come wait with the rows that ask."""
+    """The value that is valid now is all that is kept of a key's past; values to come wait with the rows that ask."""
 
     def __init__(self) -> None:
-        super().__init__(_ASOF_ROWS, 3, _ASOF_OUT.names)
+        super().__init__(_ASOF_ROWS)
 
     def opened(self, handle):
-        self.value = handle.getValueState("value", T.StructType([T.StructField("body", _TEXT)]))
-
-    def due(self, key, rows, next_us, watermark_us):
-        held = self.value.get()
-        now = held[0] if held is not None else None
-        out, was = [], now
-        for _, side, _, body in rows:
-            if side == 0:
-                now = body
-            elif side == 1:
-                out.append((key[0], body, now))
-        if now is not None and now != was:
-            self.value.update((now,))
-        return out, None
-
-
-def asof(left: DataFrame, right: DataFrame, by: str, tie: str, values: Sequence[str], delay: str, valid: Column | None = None) -> DataFrame:
+        self.values = handle.getValueState("values", _VALUES)
+
+    def due(self, key, rows, watermark_us):
+        if not rows.num_rows:
+            return None, None
+        state = self.values.get()
+        held = dict(zip(*state, strict=True)) if state is not None else {}
+        ts, side, names, bodies = (rows[c].to_numpy() for c in ("ts_us", "side", "key", "body"))
+        tie = rows["tie"].combine_chunks().fill_null(0).to_numpy()
+        code, known = pd.factorize(names, use_na_sentinel=False)
+        order = np.lexsort((tie, side, ts, code))
+        code, side, names, bodies = code[order], side[order], names[order], bodies[order]
+        at = np.arange(len(code))
+        first = np.maximum.accumulate(np.where(np.diff(code, prepend=-1) != 0, at, 0))
+        told = np.maximum.accumulate(np.where(side == 0, at, -1))
+        asks = np.flatnonzero(side == 1)
+        before = np.array([held.get(k) if isinstance(k, str) else held.get(None) for k in known], dtype=object)
+        value = np.where(told[asks] >= first[asks], bodies[told[asks]], before[code[asks]])
+        ends = np.flatnonzero(np.diff(code, append=-1))
+        changed = {names[i]: bodies[told[i]] for i in ends[told[ends] >= first[ends]].tolist() if bodies[told[i]] != before[code[i]]}
+        if changed:
+            held |= changed
+            self.values.update((list(held), list(held.values())))
+        return pd.DataFrame({"key": names[asks], "body": bodies[asks], "value": value}, columns=_ASOF_OUT.names), None
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, tie: str, values: Sequence[str], delay: str, valid: Column | None = None, groups: int = GROUPS) -> DataFrame:
     """Stream form of ``timeline.asof_latest``: each left row with the ``values`` of the latest right row at or before its time.
 
     Both are streams with ``by`` and ``ts_us``; of right rows of one time the one with the largest ``tie`` counts. A row is given
     out once both streams' watermarks have passed it. Right rows that are not ``valid`` only move the watermark; a
-    filter in front of it would hold time back while nothing valid comes.
+    filter in front of it would hold time back while nothing valid comes. ``groups`` has to stay the same for a checkpoint.
     """
     taken = [c for c in left.columns if c != by]
 
@@ -133,13 +167,13 @@ def asof(left: DataFrame, right: DataFrame, by: str, tie: str, values: Sequence[
     valid = F.lit(True) if valid is None else valid
     told = rows(right, F.when(valid, 0).otherwise(2), F.when(valid, F.col(by)), F.col(tie), values)
     both = told.unionByName(rows(left, F.lit(1), F.col(by), F.lit(0), taken))
-    found = both.groupBy("key").transformWithStateInPandas(_AsOf(), _ASOF_OUT, "append", "EventTime")
+    found = in_groups(both, "key", groups).transformWithStateInPandas(_AsOf(), _ASOF_OUT, "append", "EventTime")
     asked = F.from_json("body", T.StructType([left.schema[c] for c in taken]))
     value = F.from_json("value", T.StructType([right.schema[c] for c in values]))
     return found.select(F.col("key").alias(by), asked.alias("_l"), value.alias("_v")).select(by, "_l.*", "_v.*").select(*left.columns, *values)
 
 
-_CACHE_ROWS = T.StructType([T.StructField("ts_us", T.LongType()), T.StructField("id", T.LongType()), T.StructField("name", _TEXT)])
+_CACHE_ROWS = pa.schema([("ts_us", pa.int64()), ("id", pa.int64()), ("name", pa.string())])
 _CACHE_OUT = T.StructType(
     [T.StructField("cache", _TEXT), T.StructField("step", T.LongType()), T.StructField("op", _TEXT), T.StructField("name", _TEXT), T.StructField("ts_us", T.LongType())]
 )
@@ -147,18 +181,19 @@ _CACHE_OUT = T.StructType(
 
 class _Cache(Ordered):
     def __init__(self, most: int, evict: int) -> None:
-        super().__init__(_CACHE_ROWS, 2, _CACHE_OUT.names)
+        super().__init__(_CACHE_ROWS)
         self.most, self.evict = most, evict
 
     def opened(self, handle):
         # at most ``most`` names, in the order in which they came in
         self.names = handle.getValueState("names", T.StructType([T.StructField("step", T.LongType()), T.StructField("names", T.ArrayType(_TEXT))]))
 
-    def due(self, key, rows, next_us, watermark_us):
+    def due(self, key, rows, watermark_us):
         held = self.names.get()
         step, names = (held[0], dict.fromkeys(held[1])) if held is not None else (0, {})
         out = []
-        for ts, _, name in rows:
+        rows = rows.sort_by([("ts_us", "ascending"), ("id", "ascending")])
+        for ts, name in zip(rows["ts_us"].to_pylist(), rows["name"].to_pylist(), strict=True):
             step += 1
             if len(names) >= self.most:
                 for old in list(names)[: self.evict]:
@@ -167,9 +202,9 @@ class _Cache(Ordered):
             if name not in names:
                 names[name] = None
                 out.append((key[0], step, "put", name, ts))
-        if rows:
+        if rows.num_rows:
             self.names.update((step, list(names)))
-        return out, None
+        return pd.DataFrame(out, columns=_CACHE_OUT.names), None
 
 
 def bounded_cache(rows: DataFrame, most: int, evict: int, delay: str) -> DataFrame:

@@ -229,3 +229,62 @@ def test_even_files_when_most_rows_lie_in_a_short_time(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
     write_even_files(df.limit(0), str(tmp_path / "none"), 6)
     assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def packet_rows(session, packets, flows, start=0):
+    """Packets of one way; flows: key number -> [(ts_us, length, flags)]."""
+    zero = {"string": "", "boolean": False}
+    rows, ids = [], iter(range(start, 10**9))
+    for k, told in flows.items():
+        for ts, length, flags in told:
+            own = {"pkt_id": next(ids), "ts_us": ts, "src_ip": f"10.1.{k // 200}.{k % 200 + 1}", "dst_ip": "8.8.8.8", "proto": 6, "pkt_len": length, "tcp_flags": flags}
+            rows.append(tuple(own.get(f.name, zero.get(f.dataType.simpleString(), 0)) for f in packets.schema))
+    return session.createDataFrame(rows, packets.schema)
+
+
+def plain_moments(values):
+    """Mean of exact sums; deviation value by value, as a SQL engine takes it."""
+    mean = m2 = 0.0
+    for n, x in enumerate(values, 1):
+        new = mean + (x - mean) / n
+        m2 += (x - new) * (x - mean)
+        mean = new
+    return sum(values) / len(values), (m2 / len(values)) ** 0.5
+
+
+def test_statistics_are_those_of_one_packet_after_the_other(spark, packets, tmp_path):
+    """Bit for bit, over several micro-batches; the first packets come at the moment 0."""
+    import random
+
+    session = jobs.stream_session(spark)
+    source, out, checkpoint = folders(tmp_path)
+    rng, flows_of = random.Random(5), {}
+    for k in range(40):
+        times = [0] + sorted(rng.sample(range(1, 4_900_000), rng.randint(3, 60)))
+        flows_of[k] = [(t, rng.randint(54, 1514), 1 if t == times[-1] else 16) for t in times]
+    for lo, hi in ((0, 2_000_000), (2_000_000, 10**9)):
+        packet_rows(session, packets, {k: [p for p in f if lo <= p[0] < hi] for k, f in flows_of.items()}, lo).write.mode("append").parquet(source)
+        stream = jobs.packet_stream(session, source, packets.schema)
+        jobs.run_available(track(stream, LIVE_TWO_WAY, "1 second"), out, checkpoint)
+    write_tick(session.read.parquet(source), source)
+    jobs.run_available(track(jobs.packet_stream(session, source, packets.schema), LIVE_TWO_WAY, "1 second"), out, checkpoint)
+    found = {r.ip_a: r for r in spark.read.parquet(out).collect()}
+    assert len(found) == len(flows_of)
+    for k, f in flows_of.items():
+        r, gaps = found[f"10.1.0.{k + 1}"], [b[0] - a[0] for a, b in zip(f, f[1:])]
+        assert (r.seg_ts, r.last_us, r.n_pkts, r.status) == (0, f[-1][0], len(f), "closed")
+        assert (r.pkt_len_mean, r.pkt_len_std) == plain_moments([p[1] for p in f])
+        assert (r.flow_iat_mean, r.flow_iat_std) == plain_moments(gaps) and (r.flow_iat_max, r.fwd_iat_tot) == (max(gaps), sum(gaps))
+
+
+def test_state_follows_the_groups_and_not_the_keys(spark, packets, tmp_path):
+    session = jobs.stream_session(spark)
+    source, out, checkpoint = folders(tmp_path)
+    many = packet_rows(session, packets, {k: [(1_000_000 + k, 60, 16), (2_000_000 + k, 60, 16), (9_000_000, 60, 16), (50_000_000, 60, 16)] for k in range(900)})
+    many.repartition(2).write.parquet(source)
+    write_tick(many, source)
+    stream = jobs.packet_stream(session, source, packets.schema, max_files=1)
+    query = jobs.run_available(track(stream, LIVE_TWO_WAY, "100 seconds", groups=8), out, checkpoint)
+    statuses = {r.status: r["count"] for r in spark.read.parquet(out).groupBy("status").count().collect()}
+    assert statuses == {"closed": 900, "stale": 900}
+    assert max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) <= 8 * 8
