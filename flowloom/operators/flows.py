@@ -145,10 +145,27 @@ def closed_flows(packets: DataFrame, rules: FlowRules, iface: bool = False) -> D
     with ``iface``, the interface of the first packet."""
     rows = flow_rows(segment(packets, rules, FLOW_COLUMNS))
     kept = with_features(rows.where(F.col("closed") & (F.col("n_pkts") >= rules.min_packets)))
-    if not iface:
-        return kept.drop("iface_hash")
+    return _named_iface(kept, packets) if iface else kept.drop("iface_hash")
+
+
+def closed_ends(packets: DataFrame, rules: FlowRules, iface: bool = False) -> DataFrame:
+    """The flows of ``closed_flows`` without their statistics: id, ``n_pkts``, ``last_us`` and on request the interface.
+
+    Nothing but times and flags passes through the walk.
+    """
+    segmented = segment(packets, rules, ["iface"] if iface else [], gaps=False)
+    opens = (F.col("ts_us") == F.col("seg_ts")) & (F.col("pkt_id") == F.col("seg_id"))
+    first_iface = F.min(F.when(opens & F.col("iface").isNotNull(), F.xxhash64("iface"))).alias("iface_hash") if iface else None
+    aggs = [F.count(F.lit(1)).alias("n_pkts"), F.bool_or("closes").alias("closed"), F.max("ts_us").alias("last_us"), *([first_iface] if iface else [])]
+    rows = segmented.groupBy(*FLOW_ID).agg(*aggs)
+    kept = rows.where(F.col("closed") & (F.col("n_pkts") >= rules.min_packets)).drop("closed")
+    return _named_iface(kept, packets) if iface else kept
+
+
+def _named_iface(rows: DataFrame, packets: DataFrame) -> DataFrame:
+    """The names of ``iface_hash``: the few interfaces of the packets."""
     known = packets.where("iface IS NOT NULL").select("iface").distinct().select(F.xxhash64("iface").alias("iface_hash"), "iface")
-    return kept.join(known, "iface_hash", "left").drop("iface_hash")
+    return rows.join(known, "iface_hash", "left").drop("iface_hash")
 
 
 def flow_features(packets: DataFrame, rules: FlowRules) -> DataFrame:

@@ -509,7 +509,7 @@ def _segment_batches(limit: int):
 PACKET_COLUMNS = ("ts_us", "pkt_id", "src_ip", "dst_ip", "sport", "dport", "proto", "tcp_flags")
 
 
-def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = None) -> DataFrame:
+def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = None, gaps: bool = True) -> DataFrame:
     """Packets -> packets with their flow.
 
     Adds the key columns and: ``seg_ts, seg_id`` (time and id of the flow's first packet),
@@ -519,6 +519,7 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
 
     keep: the packet columns to carry along, all by default. Whatever is carried is
     shuffled and passes through Arrow, so name only what is read afterwards.
+    gaps: whether ``gap_us`` and ``dgap_us`` are wanted; they take window functions of their own.
     """
     needed = [c for c in packets.columns if keep is None or c in keep or c in PACKET_COLUMNS]
     keyed, counts = blocked(packets.select(*needed), rules)
@@ -529,6 +530,10 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
 
     order, before = _in_block()
     at = F.struct("ts_us", "pkt_id")
+    sides = [
+        F.last(F.when(F.col("from_a"), at), ignorenulls=True).over(before).alias("last_a"),
+        F.last(F.when(~F.col("from_a"), at), ignorenulls=True).over(before).alias("last_b"),
+    ]
     carried = [c for c in needed if keep is None or c in keep or c in ("ts_us", "pkt_id", "proto")]
     placed = keyed.select(
         *on,
@@ -538,11 +543,17 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
         F.lag("ts_us").over(order).alias("in_block_prev_ts"),
         F.lag("flag_close").over(order).alias("prev_close"),
         F.lead("ts_us").over(order).alias("next_ts"),
-        F.last(F.when(F.col("from_a"), at), ignorenulls=True).over(before).alias("last_a"),
-        F.last(F.when(~F.col("from_a"), at), ignorenulls=True).over(before).alias("last_b"),
+        *(sides if gaps else []),
     ).join(known, on)
     block_first = F.col("in_block_prev_ts").isNull()
-    same_side = F.when(F.col("from_a"), F.coalesce("last_a", "prev_a")).otherwise(F.coalesce("last_b", "prev_b"))
+    earlier = []
+    if gaps:
+        same_side = F.when(F.col("from_a"), F.coalesce("last_a", "prev_a")).otherwise(F.coalesce("last_b", "prev_b"))
+        earlier = [
+            F.coalesce("in_block_prev_ts", "block_prev_ts").alias("prev_ts"),
+            same_side["ts_us"].alias("same_ts"),
+            same_side["pkt_id"].alias("same_id"),
+        ]
     forced = F.when(block_first, F.col("hard_first") | F.col("entry_ts").isNull()).otherwise(
         F.col("prev_close") | _silent(F.col("ts_us") - F.col("in_block_prev_ts"), rules)
     )
@@ -553,9 +564,7 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
         "flag_close",
         block_first.alias("block_first"),
         forced.alias("forced"),
-        F.coalesce("in_block_prev_ts", "block_prev_ts").alias("prev_ts"),
-        same_side["ts_us"].alias("same_ts"),
-        same_side["pkt_id"].alias("same_id"),
+        *earlier,
         (F.col("next_ts").isNull() & F.col("next_block").isNull()).alias("is_last"),
         "entry_ts",
         "entry_id",
@@ -569,6 +578,10 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
     same_flow = (F.col("same_ts") > F.col("seg_ts")) | (
         (F.col("same_ts") == F.col("seg_ts")) & (F.col("same_id") >= F.col("seg_id"))
     )
+    since = [
+        F.when(~opens, F.col("ts_us") - F.col("prev_ts")).alias("gap_us"),
+        F.when(same_flow, F.col("ts_us") - F.col("same_ts")).alias("dgap_us"),
+    ]
     return walked.select(
         *KEY,
         *[c for c in carried if c not in KEY],
@@ -579,6 +592,5 @@ def segment(packets: DataFrame, rules: FlowRules, keep: Sequence[str] | None = N
         "seg_id",
         "fwd",
         "closes",
-        F.when(~opens, F.col("ts_us") - F.col("prev_ts")).alias("gap_us"),
-        F.when(same_flow, F.col("ts_us") - F.col("same_ts")).alias("dgap_us"),
+        *(since if gaps else []),
     )

@@ -262,3 +262,26 @@ def test_both_aggregations_hash(spark):
     for df in (flows.flow_features(packets, LIVE_TWO_WAY), flows.closed_flows(packets, LIVE_TWO_WAY, iface=True)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_ends_of_flows_without_their_statistics(spark):
+    """The same flows, ends and interfaces; no length or flag field is read or passes through the walk."""
+    from flowloom.operators import filters, flows
+    from flowloom.operators.segments import LIVE_TWO_WAY
+    from flowloom.plans.derived import derive
+    from tests.conftest import SF_SMALL
+
+    packets = filters.tracked(derive(spark, SF_SMALL, "packets"))
+    columns = [*flows.FLOW_ID, "n_pkts", "last_us", "iface"]
+    full, ends = (f(packets, LIVE_TWO_WAY, iface=True).select(*columns) for f in (flows.closed_flows, flows.closed_ends))
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, ends.collect())) != []
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (full, ends)]
+    assert ["tcp_window" in p for p in plans] == [True, False]
+
+
+def test_named_flows_do_not_carry_statistics(spark):
+    from flowloom.plans import device_queries as dq
+    from tests.conftest import SF_SMALL
+
+    for iface in (True, False):
+        assert "tcp_window" not in dq.scored_flows(spark, SF_SMALL, iface=iface)._jdf.queryExecution().executedPlan().toString()
