@@ -288,3 +288,14 @@ def test_state_follows_the_groups_and_not_the_keys(spark, packets, tmp_path):
     statuses = {r.status: r["count"] for r in spark.read.parquet(out).groupBy("status").count().collect()}
     assert statuses == {"closed": 900, "stale": 900}
     assert max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) <= 8 * 8
+
+
+def test_asof_state_follows_the_groups_and_not_the_keys(spark, tmp_path):
+    session = jobs.stream_session(spark)
+    left, right, out, checkpoint = (str(tmp_path / n) for n in ("left", "right", "out", "checkpoint"))
+    asked = stream_of(session, left, "i bigint, k string, ts_us bigint", [(i, f"k{i % 900}", 5_000_000 + i) for i in range(1800)] + [(-1, "x", FAR)])
+    names = stream_of(session, right, "ts_us bigint, id bigint, k string, v string", [(1_000_000, i, f"k{i}", f"v{i}") for i in range(0, 900, 2)] + [(FAR, 9, "x", "x")])
+    query = jobs.run_available(ordered.asof(asked, names, "k", "id", ["v"], "100 seconds", groups=8), out, checkpoint)
+    found = {r.i: r.v for r in spark.read.parquet(out).collect()}
+    assert found == {i: f"v{i % 900}" if i % 2 == 0 else None for i in range(1800)}
+    assert max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) <= 8 * 8
