@@ -103,14 +103,21 @@ def _hash_bucket(order: str, bits: int = 20) -> Column:
     return F.shiftrightunsigned(F.col(order), 32 - bits)
 
 
+def _ordered(df: DataFrame, ids: Sequence[str], seed: int, order: str | None) -> tuple[DataFrame, str, list[str]]:
+    """Rows, the column of their hash order, and what to drop of it: a column that ``order`` names is taken as it is and kept."""
+    if order:
+        return df, order, []
+    return df.withColumn("_order", hash_order(*[F.col(c) for c in ids], seed=seed)), "_order", ["_order"]
+
+
 def undersample_benign(
-    df: DataFrame, ids: Sequence[str], label: str = "Label_Binary", ratio: int = BENIGN_PER_ATTACK, seed: int = SEED
+    df: DataFrame, ids: Sequence[str], label: str = "Label_Binary", ratio: int = BENIGN_PER_ATTACK, seed: int = SEED, order: str | None = None
 ) -> DataFrame:
     """All attack rows and at most ``ratio`` times as many benign rows."""
-    ordered = df.withColumn("_order", hash_order(*[F.col(c) for c in ids], seed=seed))
+    ordered, by, own = _ordered(df, ids, seed, order)
     wanted = df.agg((F.count_if(F.col(label) == 1) * ratio).alias("n_wanted"))
-    benign = keep_smallest(ordered.where(F.col(label) == 0), [], "_order", ids, _hash_bucket("_order"), wanted)
-    return union_classes(benign, ordered.where(F.col(label) == 1)).drop("_order")
+    benign = keep_smallest(ordered.where(F.col(label) == 0), [], by, ids, _hash_bucket(by), wanted)
+    return union_classes(benign, ordered.where(F.col(label) == 1)).drop(*own)
 
 
 def union_classes(benign: DataFrame, attack: DataFrame) -> DataFrame:
@@ -118,13 +125,13 @@ def union_classes(benign: DataFrame, attack: DataFrame) -> DataFrame:
 
 
 def split_stratified(
-    df: DataFrame, ids: Sequence[str], label: str = "Label_Binary", test_share: float = TEST_SHARE, seed: int = SEED
+    df: DataFrame, ids: Sequence[str], label: str = "Label_Binary", test_share: float = TEST_SHARE, seed: int = SEED, order: str | None = None
 ) -> DataFrame:
     """Add ``is_test``: in each class the ceil(share * n) rows first in hash order."""
-    ordered = df.withColumn("_order", hash_order(*[F.col(c) for c in ids], seed=seed))
+    ordered, by, own = _ordered(df, ids, seed, order)
     sizes = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_share)).alias("n_wanted"))
-    flagged = with_smallest_flag(ordered, [label], "_order", ids, _hash_bucket("_order"), sizes)
-    return flagged.withColumnRenamed("is_smallest", "is_test").drop("_order")
+    flagged = with_smallest_flag(ordered, [label], by, ids, _hash_bucket(by), sizes)
+    return flagged.withColumnRenamed("is_smallest", "is_test").drop(*own)
 
 
 def shuffle_rows(df: DataFrame, ids: Sequence[str], seed: int = SEED) -> DataFrame:

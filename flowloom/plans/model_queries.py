@@ -28,23 +28,28 @@ _NAMES = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATURES))
 _trained: dict[tuple, str] = {}
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned, labelled, balanced, split rows, written once: training reads them many times."""
+def prepared(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Cleaned, labelled, balanced, split rows, written once: training reads them many times.
+
+    So are the rows before balancing, with their hash order, and before the split, as both steps read them several times.
+    """
     rows = clean.drop_incomplete_rows(clean.inf_to_null(dirty(spark, sf_dir), FEATURES))
-    labelled = clean.with_binary_label(clean.drop_header_rows(rows))
-    balanced = sampling.undersample_benign(labelled, IDS)
-    split = sampling.split_stratified(balanced, IDS)
-    return dq.stored(spark, clean.numeric_matrix(split, FEATURES), "prepared")
+    labelled = clean.numeric_matrix(clean.with_binary_label(clean.drop_header_rows(rows)), FEATURES)
+    ordered = dq.stored(spark, labelled.withColumn("_order", numeric.hash_order(*[F.col(c) for c in IDS])), "labelled")
+    balanced = dq.stored(spark, sampling.undersample_benign(ordered, IDS, order="_order"), "balanced")
+    split = sampling.split_stratified(balanced, IDS, order="_order").drop("_order")
+    path = path or scratch_dir(spark, "prepared")
+    split.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def saved(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A stored forest and its rows. Queries that only apply a model share one for each state of the table's files."""
     key = (spark.sparkContext.applicationId, *table_state(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _trained:
-        rows = prepared(spark, sf_dir)
         folder = scratch_dir(spark, "model")
+        rows = prepared(spark, sf_dir, f"{folder}/rows")
         training.train_forest(rows.where("NOT is_test"), FEATURES).save(spark, folder)
-        rows.write.parquet(f"{folder}/rows")
         _trained[key] = folder
     return _trained[key], spark.read.parquet(f"{_trained[key]}/rows")
 
