@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.constants import SEED
-from flowloom.operators import clean, metrics
+from flowloom.operators import clean, forest, metrics
 
 
 # Counts of the bootstrap samples, one for each row and tree, that a part of the training rows may have (4 bytes each).
 COUNTS_IN_PART = 16_000_000
+# Counts up to which Spark's learner fits the forest; beyond, it is grown from cells of equal rows.
+COUNTS_BY_ROW = 64_000_000
+# Models of few features are looked up: as many features, and combinations of intervals between their thresholds, at most.
+LOOKED_UP_FEATURES, LOOKED_UP_CELLS = 8, 131_072
 
 
 @dataclass(frozen=True)
@@ -105,7 +110,12 @@ class FlowModel:
         named = {k: f"_keep_{i}" for i, k in enumerate(keep)}
         held = df.withColumns({new: clean.quoted(k) for k, new in named.items()}) if named else df
         aligned = clean.align_features(held, self.features, keep=list(named.values()))
-        scored = self.pipeline.transform(aligned)
+        scaling, assembler, trees = self.pipeline.stages
+        limits = thresholds(trees, len(self.features))
+        if limits is None:
+            scored = self.pipeline.transform(aligned)
+        else:
+            scored = _looked_up(scaling.transform(aligned), limits, assembler, trees)
         return scored.select(
             *[F.col(new).alias(k) for k, new in named.items()],
             attack_probability(F.col("probability")).alias("score"),
@@ -113,6 +123,39 @@ class FlowModel:
         )
 
 
+def thresholds(trees: RandomForestClassificationModel, n_features: int) -> list[list[float]] | None:
+    """Per feature the rising thresholds of all trees; none where there are many features or combinations."""
+    if n_features > LOOKED_UP_FEATURES:
+        return None
+    found: list[set[float]] = [set() for _ in range(n_features)]
+    for feature, limit in set(re.findall(r"If \(feature (\d+) <= ([^)]+)\)", trees.toDebugString)):
+        found[int(feature)].add(float(limit))
+    return [sorted(f) for f in found] if math.prod(len(f) + 1 for f in found) <= LOOKED_UP_CELLS else None
+
+
+def _looked_up(scaled: DataFrame, limits: list[list[float]], assembler: VectorAssembler, trees: RandomForestClassificationModel) -> DataFrame:
+    """Trees only tell apart on which side of their thresholds a row lies: they are walked once per combination of
+    intervals, and every row takes the result of its own."""
+    placed = assembler.transform(scaled).withColumn("_values", vector_to_array("features")).withColumn("_cell", F.lit(0))
+    inside, size = {}, 1
+    for i, of_column in enumerate(limits):
+        n = len(of_column)
+        if n:
+            # Limits below the value, as a tree sends equal values to the left: signs are turned, as a bucket begins with its limit.
+            ends = [-math.inf, *[0.0 - x for x in reversed(of_column)], math.inf]
+            turned = placed.withColumn("_turned", F.lit(0.0) - F.get("_values", F.lit(i)))
+            found = Bucketizer(splits=ends, inputCol="_turned", outputCol="_bucket").transform(turned)
+            placed = found.withColumn("_cell", F.col("_cell") + F.lit(size) * (F.lit(n) - F.col("_bucket").cast("int"))).drop("_turned", "_bucket")
+        # the upper ends of the intervals, and a value above the last limit
+        values = F.array(*[F.lit(x) for x in [*of_column, math.inf if n else 0.0]])
+        inside[_scaled_name(i)] = F.get(values, F.floor(F.col("_cell") / size).cast("int") % (n + 1))
+        size *= n + 1
+    cells = scaled.sparkSession.range(size).select(F.col("id").cast("int").alias("_cell")).withColumns(inside)
+    walked = trees.transform(assembler.transform(cells)).select("_cell", "probability", "prediction")
+    # each cell is there; an inner join would ask first whether the number is null, and work it out twice
+    return placed.join(F.broadcast(walked), "_cell", "left")
+
+
 def attack_probability(probability: Column) -> Column:
     return vector_to_array(probability)[1]
 
@@ -135,23 +178,26 @@ def train_forest(df: DataFrame, features: Sequence[str], config: ForestConfig =
     """
     classes = class_weights(df, config.label).collect()
     weights = {r[config.label]: r.class_weight for r in classes}
+    n_rows = sum(r.n_class for r in classes)
     weight = F.lit(float(weights.get(0, 1.0)))
     weight = F.when(F.col(config.label) == 1, float(weights.get(1, 1.0))).otherwise(weight)
     needed = df.select(*[clean.quoted(c) for c in features], clean.quoted(config.label), weight.alias("_weight"))
-    parted = in_parts(needed, sum(r.n_class for r in classes), config.trees)
-    stages = [
-        _scaling_stage(features, _collected(scaler_stats(df, features))),
-        VectorAssembler(inputCols=[_scaled_name(i) for i in range(len(features))], outputCol="features"),
-        RandomForestClassifier(
-            numTrees=config.trees,
-            maxDepth=config.depth,
-            minInstancesPerNode=config.min_leaf,
-            seed=config.seed,
-            labelCol=config.label,
-            weightCol="_weight",
-        ),
-    ]
-    fitted = Pipeline(stages=stages).fit(parted)
+    scaling = _scaling_stage(features, _collected(scaler_stats(df, features)))
+    scaled_names = [_scaled_name(i) for i in range(len(features))]
+    assembler = VectorAssembler(inputCols=scaled_names, outputCol="features")
+    learner = RandomForestClassifier(
+        numTrees=config.trees,
+        maxDepth=config.depth,
+        minInstancesPerNode=config.min_leaf,
+        seed=config.seed,
+        labelCol=config.label,
+        weightCol="_weight",
+    )
+    if n_rows * config.trees > COUNTS_BY_ROW and set(weights) <= {0, 1}:
+        grown = forest.fitted_forest(scaling.transform(needed), scaled_names, learner, weights)
+        fitted = PipelineModel([scaling, assembler, grown])
+    else:
+        fitted = Pipeline(stages=[scaling, assembler, learner]).fit(in_parts(needed, n_rows, config.trees))
     return FlowModel(fitted, list(features))
 
 
