@@ -26,7 +26,7 @@ BINS = 32
 # Ranks at which the values of a class are taken for split candidates.
 POINTS = 500
 # Bytes of rows that a task puts together before it hands on their cells or ranks, and cells of a stored block.
-HELD_BYTES, BLOCK_CELLS = 64_000_000, 65_536
+HELD_BYTES, BLOCK_CELLS = 32_000_000, 65_536
 # Nodes whose histograms are worked out at once.
 NODES = 2_048
 TASKS = 8
