@@ -187,7 +187,7 @@ def grow(matrix: np.ndarray, draws: np.ndarray, weights: np.ndarray, depth: int,
     for level in range(depth):
         if not len(at):
             break
-        # As with stochastic ties, a node's features follow from the tree's generator, node by node.
+        # Drawn in the order of the nodes, so that they follow from the tree's generator alone.
         features = np.argsort(rng.random((len(at), n_features)), axis=1)[:, :taken]
         if len(at) > NODES:
             order = np.argsort(slot, kind="stable")
